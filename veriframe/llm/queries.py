@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, quality_rules
-from .common import table
+from . import byte_bpe, language_id, packing, quality_rules, sharding, token_counts
+from .common import bucket_of, shared_dir, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, capacity=2048, end_id=0)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = token_counts.zipf_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), scores)
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    store.append(table(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum()
+    return store.places("doc_id")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket_of("doc_id", 4) == 2)
+    model = language_id.fit(language_id.sample(docs.where(~docs.held_out), sample_docs=300), order=4)
+    held_out = (bucket_of("doc_id", 4) == 2).alias("held_out")
+    return language_id.predict(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -28,6 +49,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op4_token_counts,
+        op6_sharding,
+        op7_language_id,
         op9_byte_bpe,
         op10_quality_rules,
     )
