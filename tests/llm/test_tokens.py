@@ -26,7 +26,7 @@ def reference():
 
 
 def test_codec_equals_rank_merging(reference):
-    c = byte_bpe.Codec(MULTI, P.PATTERN)
+    c, same = byte_bpe.Codec(MULTI, P.PATTERN), byte_bpe.Codec(MULTI, byte_bpe.PIECES)
     rng = random.Random(5)
     texts = [t or "" for t in ODD]
     texts += ["".join(rng.choice("ab \n'sé日😀1") for _ in range(rng.randrange(60))) for _ in range(3000)]
@@ -36,6 +36,16 @@ def test_codec_equals_rank_merging(reference):
         ids = c.encode(t)
         assert list(memoryview(ids).cast("I")) == reference.encode_ordinary(t), t
         assert c.decode(ids).decode() == t
+        assert same.encode(t) == ids
+
+
+def test_forgetting(monkeypatch):
+    c = byte_bpe.Codec(PLAIN, byte_bpe.PIECES)
+    texts = [f"w{i} x{i % 7} y{i % 3}\n" * 3 for i in range(400)] + ["", "w1 w2"]
+    want = list(c.encode_texts(texts))
+    monkeypatch.setattr(byte_bpe, "CACHE_PIECES", 10)
+    monkeypatch.setattr(byte_bpe, "LEARN_PIECES", 20)
+    assert list(byte_bpe.Codec(PLAIN, P.PATTERN).encode_texts(texts)) == want
 
 
 def test_whole_table(spark, reference):

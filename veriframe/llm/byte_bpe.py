@@ -15,14 +15,19 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Distinct pieces that a task keeps; beyond that it forgets them all and starts anew.
-CACHE_PIECES = 600_000
+#: Distinct pieces that a worker keeps in each of two generations; the older one goes when the newer is full.
+CACHE_PIECES = 500_000
+#: Pieces that are looked up together.
+LEARN_PIECES = 200_000
+#: The same cuts as public_tokenizers.PATTERN makes; its letters are tried first, as most pieces are words.
+PIECES = r""" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def byte_characters() -> list[str]:
@@ -58,30 +63,40 @@ class Codec:
         self._bytes = [table.get(i, b"") for i in range(max(table) + 1)]
         self._lengths = np.array([len(b) for b in self._bytes], dtype=np.int64)
         self._known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self._known) + len(pieces) > CACHE_PIECES:
-            self._known.clear()
-        for k in range(0, len(pieces), 20_000):
-            part = pieces[k : k + 20_000]
+        self._older: dict[str, bytes] = {}
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Makes all of ``pieces`` known; what the older generation has isn't merged again."""
+        if len(self._known) > CACHE_PIECES:
+            self._older, self._known = self._known, {}
+        missing = pieces.difference(self._known)
+        known = missing.intersection(self._older)
+        self._known.update(zip(known, map(self._older.__getitem__, known), strict=True))
+        new = list(missing.difference(known))
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
             encoding = self._tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(encoding.ids, dtype="<u4")
             cuts = np.searchsorted(np.array(encoding.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * 4
             raw = ids.tobytes()
             self._known.update((p, raw[a:b]) for p, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
+    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        at = 0
+        while at < len(texts):
+            cut, size = [], 0
+            while at < len(texts) and (not cut or size < LEARN_PIECES):
+                cut.append(self._split(texts[at]))
+                size += len(cut[-1])
+                at += 1
+            self._learn(set(chain.from_iterable(cut)))
+            known = self._known.__getitem__
+            for pieces in cut:
+                yield b"".join(map(known, pieces))
+
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        pieces = self._split(text)
-        known = self._known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            self._learn(list(dict.fromkeys(p for p in pieces if p not in known)))
-            missing = list(dict.fromkeys(p for p in pieces if p not in known))  # forgotten meanwhile
-            if missing:
-                self._learn(missing)
-            return b"".join(map(known.__getitem__, pieces))
+        return next(self.encode_texts([text]))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self._bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -114,7 +129,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id")
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                coded = [c.encode(t) for t in texts]
+                coded = list(c.encode_texts(texts))
                 places = [c.offsets(t, i) for t, i in zip(texts, coded, strict=True)]
                 whole = lambda arrays: pa.array([np.asarray(a).astype(np.int32) for a in arrays], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), whole([np.frombuffer(i, dtype="<u4") for i in coded]), whole([p[0] for p in places]), whole([p[1] for p in places])], ["id", "ids", "starts", "ends"])
@@ -144,8 +159,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         c = codec(path, pattern)
         for batch in batches:
             n, ids_hex, text_hex = [], [], []
-            for t in batch.column(1):
-                ids = c.encode(t.as_py() or "")
+            for ids in c.encode_texts([t or "" for t in batch.column(1).to_pylist()]):
                 n.append(len(ids) // 4)
                 ids_hex.append(hashlib.sha256(ids).hexdigest())
                 text_hex.append(hashlib.sha256(c.decode(ids)).hexdigest())

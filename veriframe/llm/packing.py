@@ -46,8 +46,8 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_i
             for k in range(0, len(batch), 512):
                 part = batch.slice(k, 512)
                 row, at, start, length, crc, raw = [], [], [], [], [], []
-                for i, t in enumerate(part.column(1)):
-                    ids = c.encode(t.as_py() or "") + end
+                for i, ids in enumerate(c.encode_texts([t or "" for t in part.column(1).to_pylist()])):
+                    ids += end
                     for p, (s, m) in enumerate(cut(len(ids) // 4, capacity)):
                         own = ids[4 * s : 4 * (s + m)]
                         row.append(i), at.append(p), start.append(s), length.append(m), crc.append(zlib.crc32(own))
