@@ -70,7 +70,7 @@ class Codec:
         if len(self._known) > CACHE_PIECES:
             self._older, self._known = self._known, {}
         missing = pieces.difference(self._known)
-        known = missing.intersection(self._older)
+        known = self._older.keys() & missing
         self._known.update(zip(known, map(self._older.__getitem__, known), strict=True))
         new = list(missing.difference(known))
         for k in range(0, len(new), 20_000):

@@ -156,3 +156,25 @@ def as_long(x: np.ndarray) -> np.ndarray:
 def bucket_of(column: str, modulus: int):
     """crc32 of the id as text, modulo; the folds of the contracts."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % F.lit(modulus)
+
+
+def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row and sorted distinct shingle hashes of each text of a column; a text of fewer words has its whole sequence as
+    its only shingle, one without words has none."""
+    for i, j, data, bounds in text_slices(column):
+        words, doc, _, _ = hash_words(data, bounds)
+        whole, owner = hash_shingles(words, doc, width)
+        cut = np.searchsorted(owner, np.arange(j - i + 1))
+        word_cut = np.searchsorted(doc, np.arange(j - i + 1))
+        for k in range(j - i):
+            if cut[k] < cut[k + 1]:
+                yield i + k, np.unique(whole[cut[k] : cut[k + 1]])
+            elif word_cut[k] < word_cut[k + 1]:
+                own = words[word_cut[k] : word_cut[k + 1]]
+                h = np.uint64(len(own))
+                with np.errstate(over="ignore"):
+                    for w in own:
+                        h = h * np.uint64(0xFF51AFD7ED558CCD) + w
+                yield i + k, mix64(np.array([h]))
+            else:
+                yield i + k, words[:0]
