@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, jaccard_join, language_id, packing, quality_rules, sharding, token_counts
+from . import byte_bpe, embedding_dedup, jaccard_join, language_id, packing, pitman_yor, quality_rules, sharding, token_counts
 from .common import bucket_of, shared_dir, table
 
 
@@ -25,6 +25,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), scores)
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = bucket_of("doc_id", 5) == 1
+    scores = pitman_yor.score(docs, pitman_yor.fit(docs.where(~held_out)))
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = sharding.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
     store.append(table(spark, sf_dir, "documents"))
@@ -59,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_best_fit_packing,
         op3_ngram_jaccard,
         op4_token_counts,
+        op5_pitman_yor,
         op6_sharding,
         op7_language_id,
         op8_embedding_dedup,
