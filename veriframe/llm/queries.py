@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, jaccard_join, language_id, packing, pitman_yor, quality_rules, sharding, token_counts
+from . import byte_bpe, embedding_dedup, jaccard_join, language_id, packing, pitman_yor, quality_rules, sharding, substring_dedup, token_counts
 from .common import bucket_of, shared_dir, table
 
 
@@ -16,6 +16,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), byte_bpe.PIECES, capacity=2048, end_id=0)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"), min_words=50, width=5, percent=80)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id")
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_substring_dedup,
         op3_ngram_jaccard,
         op4_token_counts,
         op5_pitman_yor,
