@@ -10,9 +10,10 @@ bounds the symmetric difference from below: candidates above the bound go, the r
 
 Equal sets are a class and take part once.  Sets that share a key are first compared with the key's smallest only; the
 links found join classes to components.  Keys whose sets are then in one component are done.  Small keys that are left
-give their remaining pairs; large ones are compared bit sketch by bit sketch in tasks of ``chunk`` by ``chunk`` sets,
-and only pairs within the bound leave those tasks.  So no pair within the similarity is lost, unless two different sets
-have the same 64-bit fingerprint.
+give their remaining pairs.  Large ones are compared in tasks of ``chunk`` by ``chunk`` sets by long bit sketches, whose
+distance is nearly the symmetric difference; a task proposes a spanning forest of the pairs within the bound that aren't
+yet connected or refuted, these are verified, and that goes on until nothing new is proposed.  So no pair within the
+similarity is left unconnected, unless two different sets have the same 64-bit fingerprint.
 
 Defined cases: null text counts as empty; a text without words has no shingles and links with nothing; one with fewer
 words than a shingle has one shingle, the whole sequence; repeated rows are equal sets; an empty table gives an empty
@@ -34,6 +35,8 @@ from .graph import components
 
 #: Sets under a key up to which its pairs are listed.
 SMALL_KEY = 32
+#: How much shorter the bit sketches are that go with single pairs.
+BRIEF = 4
 
 
 def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,8 +85,8 @@ def symbols(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: i
 
 def bit_sketch(tokens: np.ndarray) -> np.ndarray:
     """Parity bits in 64-bit words; the number of words is a power of two that grows with the set."""
-    bits = 64
-    while bits < 2 * len(tokens):
+    bits = 64 * BRIEF
+    while bits < 8 * len(tokens):
         bits *= 2
     at = (mix64(tokens + np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
     parity = np.zeros(bits, dtype=np.uint8)
@@ -180,28 +183,30 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, sets: DataFrame, shared: DataFrame, width: int) -> DataFrame:
-    """fp, n, sketch and text, one row for each set that shares a key."""
+    """fp, n, sketch, brief (the sketch folded) and text, one row for each set that shares a key."""
     chosen = sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(shared.select("fp").distinct(), "fp", "left_semi")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(chosen.select("doc_id"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, fp, sketch, rows = [], [], [], []
+            n, fp, sketch, brief, rows = [], [], [], [], []
             for row, tokens in shingle_sets(batch.column(0), width):
                 if len(tokens):
-                    rows.append(row), n.append(len(tokens)), fp.append(fingerprint(tokens)), sketch.append(bit_sketch(tokens).tobytes())
+                    bits = bit_sketch(tokens)
+                    rows.append(row), n.append(len(tokens)), fp.append(fingerprint(tokens))
+                    sketch.append(bits.tobytes()), brief.append(fold(bits, len(bits) // BRIEF).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(as_long(np.array(fp, dtype=np.uint64))), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), batch.column(0).take(pa.array(rows, pa.int64())).cast(pa.string())],
-                ["fp", "n", "sketch", "text"],
+                [pa.array(as_long(np.array(fp, dtype=np.uint64))), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(brief, pa.binary()), batch.column(0).take(pa.array(rows, pa.int64())).cast(pa.string())],
+                ["fp", "n", "sketch", "brief", "text"],
             )
 
     # rows of one id may hold several texts; one row for each set is enough
-    return texts.select("text").mapInArrow(run, "fp long, n long, sketch binary, text string").dropDuplicates(["fp"])
+    return texts.select("text").mapInArrow(run, "fp long, n long, sketch binary, brief binary, text string").dropDuplicates(["fp"])
 
 
 def _near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose bit sketches allow the similarity."""
-    k = known.select("fp", "n", "sketch")
+    k = known.select("fp", "n", "brief")
     both = pairs.join(k.toDF("b", "nb", "sb"), "b").join(k.toDF("a", "na", "sa"), "a")
     both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
@@ -244,37 +249,74 @@ def _verify(pairs: DataFrame, known: DataFrame, width: int, percent: int) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
-def _large_key_pairs(rows: DataFrame, known: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Pairs (a, b) within large keys, of different components and within the bound of their bit sketches.
+def _forest(left: np.ndarray, right: np.ndarray, distance: np.ndarray, component: np.ndarray) -> list[int]:
+    """Which of the pairs (of places in ``component``), nearest first, join components that no pair before has joined."""
+    parent: dict[int, int] = {}
 
-    ``rows``: key, fp, c (component), size (sets under the key).
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    chosen, apart = [], len(np.unique(component)) - 1
+    for k in np.argsort(distance, kind="stable").tolist():
+        if not apart:
+            break
+        x, y = find(int(component[left[k]])), find(int(component[right[k]]))
+        if x != y:
+            parent[x] = y
+            chosen.append(k)
+            apart -= 1
+    return chosen
+
+
+def _large_key_pairs(rows: DataFrame, known: DataFrame, refuted: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Pairs (a, b) that would connect the components under large keys, within the bound of their bit sketches.
+
+    ``rows``: key, fp, c (component), size (sets under the key); ``refuted``: pairs (a, b) that are not to come again.
     """
     parts = F.ceil(F.col("size") / chunk).cast("int")
-    rows = rows.join(known.select("fp", "n", "sketch"), "fp").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), parts).cast("int"))
+    not_again = refuted.groupBy("a").agg(F.collect_set("b").alias("refuted")).withColumnRenamed("a", "fp")
+    rows = rows.join(known.select("fp", "n", "sketch"), "fp").join(not_again, "fp", "left")
+    rows = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "c", "n", "sketch")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "c", "n", "sketch", "refuted")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = pdf["sketch"].map(len) // 8
-        least = int(words.min())
+        least = int(pdf["sketch"].map(len).min()) // 8
         sketch = np.stack([fold(np.frombuffer(s, dtype=np.uint64), least) for s in pdf["sketch"]])
         fp, c, n, own = (pdf[x].to_numpy() for x in ("fp", "c", "n", "own"))
         same = pdf["i"].iat[0] == pdf["j"].iat[0]
         left = np.flatnonzero(own == pdf["i"].iat[0])
         right = left if same else np.flatnonzero(own != pdf["i"].iat[0])
-        found = []
+        xs, ys, ds = [], [], []
         for s in left:
-            d = np.bitwise_count(sketch[right] ^ sketch[s]).sum(axis=1, dtype=np.int64)
-            ok = within(d, n[right] + n[s], percent) & (c[right] != c[s]) & (100 * np.minimum(n[right], n[s]) >= percent * np.maximum(n[right], n[s]))
+            other = right[(c[right] != c[s]) & (100 * np.minimum(n[right], n[s]) >= percent * np.maximum(n[right], n[s]))]
             if same:
-                ok &= fp[right] > fp[s]
-            found.append(np.stack([np.minimum(fp[right[ok]], fp[s]), np.maximum(fp[right[ok]], fp[s])], axis=1))
-        found = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+                other = other[fp[other] > fp[s]]
+            d = np.bitwise_count(sketch[other] ^ sketch[s]).sum(axis=1, dtype=np.int64)
+            ok = within(d, n[other] + n[s], percent)
+            xs.append(np.full(int(ok.sum()), s)), ys.append(other[ok]), ds.append(d[ok])
+        x, y, d = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (xs, ys, ds))
+        a, b = np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y])
+        told = {(f, g) for f, gs in zip(fp.tolist(), pdf["refuted"], strict=True) if gs is not None for g in gs}
+        if told:
+            new = np.array([p not in told for p in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
+            x, y, d, a, b = x[new], y[new], d[new], a[new], b[new]
+        chosen = _forest(x, y, d, c)
+        return pd.DataFrame({"a": a[chosen], "b": b[chosen]})
 
     return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
+def _open_keys(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, fp, hub, c and size for the keys whose sets are in several components; and the components."""
+    groups = materialize(components(links), "components")
+    rows = shared.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "hub", F.coalesce("component", "fp").alias("c"))
+    several = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most")
+    return materialize(rows.join(several.select("key", "size"), "key"), "open"), groups
+
+
 def link_classes(docs: DataFrame, width: int, percent: int, chunk: int = 1024) -> tuple[DataFrame, DataFrame]:
     """doc_id, n, fp of every row, and node (an fp), component of the classes that link with another one."""
     sets = materialize(_sets(docs, width), "sets")
@@ -282,18 +324,29 @@ def link_classes(docs: DataFrame, width: int, percent: int, chunk: int = 1024) -
     known = materialize(_candidates(docs, sets, shared, width), "candidates")
     stars = shared.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
     links = materialize(_verify(materialize(_near(stars, known, percent), "near"), known, width, percent), "links")
-    groups = components(links)
-    rows = shared.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "hub", F.coalesce("component", "fp").alias("c"))
-    open_keys = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most")
-    rest = materialize(rows.join(open_keys.select("key", "size"), "key"), "open")
+    rest, groups = _open_keys(shared, links)
     small = rest.where(F.col("size") <= SMALL_KEY)
     x, y = small.select("key", F.col("fp").alias("a"), F.col("c").alias("ca"), "hub"), small.select("key", F.col("fp").alias("b"), F.col("c").alias("cb"))
     # pairs with the hub have been compared
     pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("hub"))).select("a", "b").distinct()
-    near = _near(pairs, known, percent).union(_large_key_pairs(rest.where(F.col("size") > SMALL_KEY), known, percent, chunk))
-    more = materialize(_verify(materialize(near.distinct(), "near"), known, width, percent), "links")
-    discard(shared, rest, known)
-    return sets, components(links.union(more))
+    proposed = materialize(_near(pairs, known, percent), "near")
+    links = links.union(materialize(_verify(proposed, known, width, percent), "links"))
+    refuted = None
+    while True:
+        # sets that a pair of a small key has joined meanwhile, or the round before, count as one
+        rest, groups = _open_keys(rest.select("key", "fp", "hub"), links)
+        large = rest.where(F.col("size") > SMALL_KEY)
+        if not large.limit(1).count():
+            break
+        refuted = large.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0) if refuted is None else refuted
+        proposed = materialize(_large_key_pairs(large, known, refuted, percent, chunk), "near")
+        if not proposed.limit(1).count():
+            break
+        good = materialize(_verify(proposed, known, width, percent), "links")
+        links, refuted = links.union(good), refuted.union(proposed.join(good, ["a", "b"], "left_anti"))
+        rest = large
+    discard(shared, known)
+    return sets, groups
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int = 1024) -> DataFrame:
