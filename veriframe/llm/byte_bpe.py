@@ -59,7 +59,8 @@ class Codec:
             text = lambda t: "".join(map(shown.__getitem__, t))
             merges = [(text(t[:k]), text(t[k:])) for t in sorted(ranks, key=ranks.__getitem__) for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
             self._tokenizer = Tokenizer(models.BPE({text(t): r for t, r in ranks.items()}, merges, ignore_merges=True))
-            self._tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # pieces come cut already; the bytes are still to be mapped
+        self._tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._bytes = [table.get(i, b"") for i in range(max(table) + 1)]
         self._lengths = np.array([len(b) for b in self._bytes], dtype=np.int64)
         self._known: dict[str, bytes] = {}
@@ -75,11 +76,15 @@ class Codec:
         new = list(missing.difference(known))
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            encoding = self._tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            encoding = self._tokenizer.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0]
             ids = np.array(encoding.ids, dtype="<u4")
-            cuts = np.searchsorted(np.array(encoding.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * 4
-            raw = ids.tobytes()
-            self._known.update((p, raw[a:b]) for p, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            # a piece's tokens end where its bytes do
+            sizes = np.cumsum(np.fromiter((len(p.encode()) for p in part), dtype=np.int64, count=len(part)))
+            cuts = 4 * (np.searchsorted(np.cumsum(self._lengths[ids]), sizes) + 1)
+            raw, at = ids.tobytes(), 0
+            for p, b in zip(part, cuts.tolist(), strict=True):
+                self._known[p] = raw[at:b]
+                at = b
 
     def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
