@@ -188,20 +188,22 @@ def _candidates(docs: DataFrame, sets: DataFrame, shared: DataFrame, width: int)
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(chosen.select("doc_id"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[np.uint64] = set()  # repeated rows of a document come to one task
         for batch in batches:
             n, fp, sketch, brief, rows = [], [], [], [], []
             for row, tokens in shingle_sets(batch.column(0), width):
-                if len(tokens):
+                if len(tokens) and (f := fingerprint(tokens)) not in seen:
+                    seen.add(f)
                     bits = bit_sketch(tokens)
-                    rows.append(row), n.append(len(tokens)), fp.append(fingerprint(tokens))
+                    rows.append(row), n.append(len(tokens)), fp.append(f)
                     sketch.append(bits.tobytes()), brief.append(fold(bits, len(bits) // BRIEF).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(as_long(np.array(fp, dtype=np.uint64))), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(brief, pa.binary()), batch.column(0).take(pa.array(rows, pa.int64())).cast(pa.string())],
                 ["fp", "n", "sketch", "brief", "text"],
             )
 
-    # rows of one id may hold several texts; one row for each set is enough
-    return texts.select("text").mapInArrow(run, "fp long, n long, sketch binary, brief binary, text string").dropDuplicates(["fp"])
+    # a row too many for a set (ids with several texts, tasks split for skew) only repeats links
+    return texts.select("text").mapInArrow(run, "fp long, n long, sketch binary, brief binary, text string")
 
 
 def _near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -359,3 +361,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk
     classes = classes.join(smallest, "component").select("fp", "class_id", "component_id", F.lit(True).alias("linked"))
     out = sets.withColumn("linked", F.col("n") > 0).join(classes, ["fp", "linked"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose document has the smallest id of its component; repeated rows of it stay together."""
+    found = jaccard_components(docs, width, percent)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")

@@ -142,8 +142,9 @@ def sample(docs: DataFrame, sample_docs: int) -> list[tuple[str, bytes]]:
 _scorers: dict[int, Scorer] = {}
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (the winner's posterior under equal priors) and bits_per_byte of the winner's code."""
+def predict(docs: DataFrame, model: Model, carry: str = "doc_id") -> DataFrame:
+    """The column ``carry``, lang_pred, score (the winner's posterior under equal priors) and bits_per_byte of the
+    winner's code."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +167,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 best = np.where(letters, best, len(m.languages))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(names[best].tolist(), pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(np.where(letters, least / size, 0.0))],
-                    ["doc_id", "lang_pred", "score", "bits_per_byte"],
+                    [carry, "lang_pred", "score", "bits_per_byte"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    read = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_letters"))
-    return read.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    kind = docs.schema[carry].dataType.simpleString()
+    read = docs.select(carry, "text", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_letters"))
+    return read.mapInArrow(run, f"`{carry}` {kind}, lang_pred string, score double, bits_per_byte double")
 
 
 def identify(docs: DataFrame, training: DataFrame | None = None, order: int = 4, sample_docs: int = 300) -> DataFrame:
     """Fits on a sample of ``training`` (doc_id, text, lang; ``docs`` if none) and predicts ``docs``."""
     return predict(docs, fit(sample(docs if training is None else training, sample_docs), order))
+
+
+def keep_known(docs: DataFrame, model: Model, max_bits_per_byte: float = 7.0) -> DataFrame:
+    """The rows of ``docs`` in a learned language: neither ``und`` nor with a code length near that of random bytes."""
+    rows = predict(docs.select(F.struct("*").alias("row"), "text"), model, carry="row")
+    return rows.where((F.col("lang_pred") != UNDETERMINED) & (F.col("bits_per_byte") <= max_bits_per_byte)).select("row.*")

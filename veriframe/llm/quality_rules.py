@@ -149,3 +149,8 @@ def apply(docs: DataFrame, rules: QualityRules | None = None, order: list[Rule]
         verdict = verdict.when(F.coalesce(rule.fails, F.lit(False)), F.lit(rule.name))
     out = measures(docs.drop("base_failed", "rejected_by", "kept")).withColumn("base_failed", rules.base_failed())
     return out.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
+
+
+def keep_good(docs: DataFrame, rules: QualityRules | None = None) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with all their columns."""
+    return apply(docs.select(F.struct("*").alias("_row"), "text"), rules).where("kept").select("_row.*")
