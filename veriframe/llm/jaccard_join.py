@@ -11,8 +11,9 @@ bounds the symmetric difference from below: candidates above the bound go, the r
 Equal sets are a class and take part once.  Sets that share a key are first compared with the key's smallest only; the
 links found join classes to components.  Keys whose sets are then in one component are done.  Small keys that are left
 give their remaining pairs.  Large ones are compared in tasks of ``chunk`` by ``chunk`` sets by long bit sketches, whose
-distance is nearly the symmetric difference; a task proposes a spanning forest of the pairs within the bound that aren't
-yet connected or refuted, these are verified, and that goes on until nothing new is proposed.  So no pair within the
+distance is nearly the symmetric difference; of the pairs within the bound that aren't yet connected or refuted a task
+proposes all, or if there are many the nearest that span its components, these are verified, and that goes on until
+nothing new is proposed.  So no pair within the
 similarity is left unconnected, unless two different sets have the same 64-bit fingerprint.
 
 Defined cases: null text counts as empty; a text without words has no shingles and links with nothing; one with fewer
@@ -305,18 +306,21 @@ def _large_key_pairs(rows: DataFrame, known: DataFrame, refuted: DataFrame, perc
         if told:
             new = np.array([p not in told for p in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
             x, y, d, a, b = x[new], y[new], d[new], a[new], b[new]
-        chosen = _forest(x, y, d, c)
-        return pd.DataFrame({"a": a[chosen], "b": b[chosen]})
+        if len(x) > 2 * len(pdf):
+            chosen = _forest(x, y, d, c)
+            left_over = np.setdiff1d(np.arange(len(x)), chosen)
+            chosen += left_over[_forest(x[left_over], y[left_over], d[left_over], c)].tolist()
+            a, b = a[chosen], b[chosen]
+        return pd.DataFrame({"a": a, "b": b})
 
     return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def _open_keys(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """key, fp, hub, c and size for the keys whose sets are in several components; and the components."""
-    groups = materialize(components(links), "components")
+def _open_keys(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, fp, hub, c (component) and size for the keys whose sets are in several components."""
     rows = shared.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "hub", F.coalesce("component", "fp").alias("c"))
     several = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most")
-    return materialize(rows.join(several.select("key", "size"), "key"), "open"), groups
+    return materialize(rows.join(several.select("key", "size"), "key"), "open")
 
 
 def link_classes(docs: DataFrame, width: int, percent: int, chunk: int = 1024) -> tuple[DataFrame, DataFrame]:
@@ -326,27 +330,25 @@ def link_classes(docs: DataFrame, width: int, percent: int, chunk: int = 1024) -
     known = materialize(_candidates(docs, sets, shared, width), "candidates")
     stars = shared.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
     links = materialize(_verify(materialize(_near(stars, known, percent), "near"), known, width, percent), "links")
-    rest, groups = _open_keys(shared, links)
+    groups = materialize(components(links), "components")
+    rest = _open_keys(shared, groups)
     small = rest.where(F.col("size") <= SMALL_KEY)
     x, y = small.select("key", F.col("fp").alias("a"), F.col("c").alias("ca"), "hub"), small.select("key", F.col("fp").alias("b"), F.col("c").alias("cb"))
     # pairs with the hub have been compared
     pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("hub"))).select("a", "b").distinct()
-    proposed = materialize(_near(pairs, known, percent), "near")
-    links = links.union(materialize(_verify(proposed, known, width, percent), "links"))
-    refuted = None
+    good = materialize(_verify(materialize(_near(pairs, known, percent), "near"), known, width, percent), "links")
+    large = rest.where(F.col("size") > SMALL_KEY)
+    refuted = rest.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     while True:
-        # sets that a pair of a small key has joined meanwhile, or the round before, count as one
-        rest, groups = _open_keys(rest.select("key", "fp", "hub"), links)
-        large = rest.where(F.col("size") > SMALL_KEY)
-        if not large.limit(1).count():
-            break
-        refuted = large.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0) if refuted is None else refuted
+        if good.limit(1).count():
+            # the stars found so far and the new links
+            groups = materialize(components(groups.union(good)), "components")
+            large = _open_keys(large.select("key", "fp", "hub"), groups)
         proposed = materialize(_large_key_pairs(large, known, refuted, percent, chunk), "near")
         if not proposed.limit(1).count():
             break
         good = materialize(_verify(proposed, known, width, percent), "links")
-        links, refuted = links.union(good), refuted.union(proposed.join(good, ["a", "b"], "left_anti"))
-        rest = large
+        refuted = refuted.union(proposed.join(good, ["a", "b"], "left_anti"))
     discard(shared, known)
     return sets, groups
 
