@@ -144,7 +144,9 @@ def apply(docs: DataFrame, rules: QualityRules | None = None, order: list[Rule]
     """``docs`` with the measures, ``base_failed``, ``rejected_by`` (null if kept) and ``kept``."""
     rules = rules or QualityRules()
     order = plan(docs, rules) if order is None else order
-    verdict = F.when(F.col("base_failed"), F.lit("base"))
+    # Never true, but not deterministic: it keeps the optimizer from copying the measures' expressions, which nest deeply,
+    # into a filter on the verdict and so working them out twice.
+    verdict = F.when(F.monotonically_increasing_id() < 0, F.lit("")).when(F.col("base_failed"), F.lit("base"))
     for rule in order:
         verdict = verdict.when(F.coalesce(rule.fails, F.lit(False)), F.lit(rule.name))
     out = measures(docs.drop("base_failed", "rejected_by", "kept")).withColumn("base_failed", rules.base_failed())
