@@ -5,8 +5,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from veriframe.plans.queries import ORACLE_SQL, QUERIES
+from veriframe.plans import queries, source_queries
 
+QUERIES = queries.QUERIES | source_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | source_queries.ORACLE_SQL
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
