@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Distinct pieces that a worker keeps in each of two generations; the older one goes when the newer is full.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 350_000
 #: Pieces that are looked up together.
 LEARN_PIECES = 200_000
 #: The same cuts as public_tokenizers.PATTERN makes; its letters are tried first, as most pieces are words.
