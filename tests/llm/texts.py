@@ -16,6 +16,7 @@ ODD = [
     "one two three four five six seven eight nine ten " * 12,
     "one two three four five six seven eight nine ten " * 12,
     "The Quick brown fox jumps over the lazy dog. " * 400,
+    "=" * 60_000,
 ]
 
 

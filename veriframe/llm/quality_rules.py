@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: white space between words, as a Java character class.
 SPACE = "[\\x20\\x09-\\x0D]+"
+#: From a word's beginning to its first letter; matches begin at words only, so a long word isn't read again and again.
+LETTERED = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D\\p{L}]*+\\p{L}"
 #: Fixed value: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
@@ -57,7 +59,7 @@ class QualityRules:
             Rule("symbols", 100 * F.col("n_symbols") > self.max_symbols_per_100_words * n),
             Rule("mean_word", (F.col("word_chars") < self.min_mean_word * n) | (F.col("word_chars") > self.max_mean_word * n)),
             Rule("dup_lines", 100 * F.col("n_dup_lines") > self.max_dup_line_percent * F.col("n_lines")),
-            Rule("alpha_words", 100 * F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D\\p{L}]*+\\p{L}[^\\x20\\x09-\\x0D]*+")) < self.min_alpha_words_percent * n),
+            Rule("alpha_words", 100 * F.regexp_count(text, F.lit(LETTERED)) < self.min_alpha_words_percent * n),
             Rule("upper_case", 100 * F.regexp_count(text, F.lit("\\p{Lu}")) > self.max_upper_percent * letters),
         ]
 
