@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import worker_keeps
+
 #: Distinct pieces that a worker keeps in each of two generations; the older one goes when the newer is full.
 CACHE_PIECES = 350_000
 #: Pieces that are looked up together.
@@ -115,14 +117,9 @@ class Codec:
         return (number[start], number[stop - 1] + 1) if len(stop) else (stop, stop)
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    """One for each worker process and vocabulary."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    """One for each worker process, until it does something else."""
+    return worker_keeps((path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id") -> DataFrame:

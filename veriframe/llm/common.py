@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that the numpy functions take at once; a longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -60,6 +60,17 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_kept: dict[object, object] = {}
+
+
+def worker_keeps(key: object, make):
+    """What a worker process keeps between tasks: one thing at a time, as workers go on to the next operator's tasks."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finalizer of 64-bit values (splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -16,6 +16,7 @@ Defined cases: text that is null or without letters gives ``und`` with score 0;
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import text_slices, worker_keeps
 
 UNDETERMINED = "und"
 
@@ -139,23 +140,25 @@ def sample(docs: DataFrame, sample_docs: int) -> list[tuple[str, bytes]]:
     return [(r["lang"], r["text"].encode()) for r in chosen.select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id")).limit(2 * sample_docs * len(counts)).select("lang", "text").collect()]
 
 
-_scorers: dict[int, Scorer] = {}
+#: Bytes that are scored at once.
+SCORE_BYTES = 1 << 19
 
 
 def predict(docs: DataFrame, model: Model, carry: str = "doc_id") -> DataFrame:
-    """The column ``carry``, lang_pred, score (the winner's posterior under equal priors) and bits_per_byte of the
+    """The column ``carry`` (doc_id, or a struct that holds the text), lang_pred, score (the winner's posterior under equal priors) and bits_per_byte of the
     winner's code."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    own = uuid.uuid4().hex
+    nested = carry != "doc_id"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if id(m) not in _scorers:
-            _scorers.clear()
-            _scorers[id(m)] = Scorer(m)
-        scorer, names = _scorers[id(m)], np.array([*m.languages, UNDETERMINED], dtype=object)
+        scorer, names = worker_keeps(own, lambda: Scorer(m)), np.array([*m.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            for i, j, data, bounds in text_slices(batch.column(1)):
-                letters = np.asarray(batch.column(2).slice(i, j - i)) & bool(m.languages)
+            text = batch.column(0).field("text") if nested else batch.column(2)
+            for i, j, data, bounds in text_slices(text, SCORE_BYTES):
+                letters = np.asarray(batch.column(1).slice(i, j - i)) & bool(m.languages)
                 size = np.maximum(np.diff(bounds), 1)
                 if m.languages:
                     bits = scorer.bits(data, bounds)
@@ -171,7 +174,8 @@ def predict(docs: DataFrame, model: Model, carry: str = "doc_id") -> DataFrame:
                 )
 
     kind = docs.schema[carry].dataType.simpleString()
-    read = docs.select(carry, "text", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_letters"))
+    text = F.col(f"{carry}.text") if nested else F.col("text")
+    read = docs.select(carry, F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("_letters"), *([] if nested else ["text"]))
     return read.mapInArrow(run, f"`{carry}` {kind}, lang_pred string, score double, bits_per_byte double")
 
 
@@ -182,5 +186,5 @@ def identify(docs: DataFrame, training: DataFrame | None = None, order: int = 4,
 
 def keep_known(docs: DataFrame, model: Model, max_bits_per_byte: float = 7.0) -> DataFrame:
     """The rows of ``docs`` in a learned language: neither ``und`` nor with a code length near that of random bytes."""
-    rows = predict(docs.select(F.struct("*").alias("row"), "text"), model, carry="row")
+    rows = predict(docs.select(F.struct("*").alias("row")), model, carry="row")
     return rows.where((F.col("lang_pred") != UNDETERMINED) & (F.col("bits_per_byte") <= max_bits_per_byte)).select("row.*")
