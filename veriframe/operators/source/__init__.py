@@ -105,4 +105,4 @@ def read_files(spark: SparkSession, root: str, include: Iterable[str] = ("*.ex",
         keep = keep | base.rlike(p.pattern.replace("(?s:", "(?:").replace(r")\Z", ")$").replace(r")\z", ")$"))
     for e in exclude:
         keep = keep & ~F.col("path").contains(e)
-    return df.where(keep).select(F.col("path").alias("file"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return df.where(keep).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("content"))

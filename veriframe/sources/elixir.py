@@ -458,6 +458,10 @@ class _Parser:
                 left = Node("|", [left, self._keywords(None)], t.line, t.column)
                 continue
             other = self._keywords(None) if op == "when" and self._is_key() else self.expr(level if right else level + 1)
+            if op == "in" and isinstance(left, Node) and left.name == "not" and not left.parens:
+                # "not a in b" is read as "not (a in b)"
+                left = Node("not", [Node("in", [left.args[0], other], t.line, t.column)], left.line, left.column)
+                continue
             node = Node("in" if op == "not_in" else op, [left, other], t.line, t.column)
             left = Node("not", [node], t.line, t.column) if op == "not_in" else node
 
