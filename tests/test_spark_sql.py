@@ -1,0 +1,58 @@
+import json
+
+import pytest
+
+from veriframe.operators import querylint
+from veriframe.sources.query_ir import compile_queries
+from veriframe.sources.spark_sql import tree, trees
+
+FIELDS = [("app.posts", "id", "integer", True), ("app.posts", "tenant_id", "integer", False), ("app.posts", "day", "date", False), ("app.posts", "at", "utc_datetime", False), ("app.posts", "deleted_at", "utc_datetime", False), ("users", "id", "integer", True)]
+TENANT = ("mandatory_where_keys", {"rules": {"fields": ["tenant_id"]}})
+
+
+def codes(spark, sql, *specs):
+    fields = spark.createDataFrame([(s, f, f, t, k) for s, f, t, k in FIELDS], "schema string, field string, column_name string, type string, is_pk boolean")
+    q = querylint.Queries(compile_queries(trees(spark, [(1, sql)])), fields)
+    return sorted(r.code for r in querylint.validate(q, specs).collect())
+
+
+@pytest.mark.parametrize(
+    ("sql", "spec", "want"),
+    [
+        ("SELECT * FROM app.posts p, users u", "cartesian_joins", ["cartesian_join"]),
+        ("SELECT * FROM app.posts p JOIN users u ON true", "cartesian_joins", ["cartesian_join"]),
+        ("SELECT * FROM app.posts p JOIN users u ON p.id = u.id", "cartesian_joins", []),
+        ("SELECT * FROM app.posts p JOIN users u USING (id)", "cartesian_joins", []),
+        ("SELECT * FROM app.posts p, LATERAL (SELECT * FROM users u WHERE u.id = p.id) l", "cartesian_joins", []),
+        ("SELECT * FROM app.posts WHERE id = 1 AND id = 2", "conflicting_where_predicates", ["conflicting_predicates"]),
+        ("SELECT * FROM app.posts WHERE id = 1 AND (id = 2 OR id IN (1, 3))", "conflicting_where_predicates", []),
+        ("SELECT * FROM app.posts WHERE day < at", "date_datetime_mixed_comparisons", ["date_datetime_comparison"]),
+        ("SELECT * FROM app.posts WHERE day < CAST(at AS date)", "date_datetime_mixed_comparisons", []),
+        ("SELECT * FROM app.posts ORDER BY day", "deterministic_order", ["unstable_order"]),
+        ("SELECT * FROM app.posts ORDER BY day, id", "deterministic_order", []),
+        ("SELECT * FROM app.posts WHERE at > timestamp '2024-01-01 00:00:00'", "half_open_temporal_intervals", ["closed_interval"]),
+        ("SELECT * FROM app.posts WHERE at >= timestamp_ntz '2024-01-01 00:00:00'", "utc_datetime_naive_comparisons", ["naive_comparison"]),
+        ("DELETE FROM app.posts WHERE id = 1", "hard_delete_on_soft_delete_schema", ["hard_delete"]),
+        ("DELETE FROM app.posts", "unbounded_deletes", ["unbounded_delete"]),
+        ("UPDATE app.posts SET day = null WHERE true", "unbounded_updates", ["unbounded_update"]),
+        ("UPDATE app.posts SET day = null WHERE id = 1", "unbounded_updates", []),
+        ("SELECT * FROM users u LEFT JOIN app.posts p ON u.id = p.id WHERE p.day = date '2024-01-01'", "left_join_where_predicates", ["left_join_rejected"]),
+        ("SELECT * FROM users u LEFT JOIN app.posts p ON u.id = p.id WHERE p.id IS NULL", "left_join_where_predicates", []),
+        ("SELECT * FROM (SELECT * FROM app.posts LIMIT 3) x", "required_order", ["missing_order"]),
+        ("WITH c AS (SELECT * FROM app.posts OFFSET 3) SELECT * FROM c", "offset_without_limit", ["offset_without_limit"]),
+        ("SELECT id FROM app.posts WHERE tenant_id = 1 UNION ALL SELECT id FROM app.posts", TENANT, ["missing_where_key"]),
+        ("SELECT id FROM app.posts WHERE tenant_id IN (1, 2) AND day IS NOT NULL", TENANT, []),
+        ("SELECT id FROM app.posts WHERE tenant_id = 1 OR day IS NULL", TENANT, ["missing_where_key"]),
+        ("SELECT * FROM app.posts p JOIN users u ON p.id = u.id JOIN users v ON p.id = v.id", "duplicate_joins", ["duplicate_join"]),
+        ("SELECT * FROM app.posts p WHERE EXISTS (SELECT 1 FROM users u WHERE u.id = p.id LIMIT 2)", "required_order", ["missing_order"]),
+    ],
+)
+def test_statement(spark, sql, spec, want):
+    assert codes(spark, sql, spec) == want
+
+
+def test_tree(spark):
+    got = tree(spark, "SELECT id, count(*) FROM app.posts AS p WHERE p.id <> 3 GROUP BY id HAVING count(*) > 1")
+    assert got["from"] == {"schema": "app.posts", "table": "posts", "prefix": "app", "as": "p"}
+    assert got["wheres"] == [{"op": "and", "expr": ["!=", ["field", "p", "id"], ["lit", 3, "integer"]]}]
+    assert len(got["havings"]) == 1 and json.dumps(got)

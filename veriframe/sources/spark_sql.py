@@ -1,0 +1,199 @@
+"""Query trees from Spark SQL text.
+
+Spark's own parser reads the text on the driver; its unresolved plan becomes a tree as ``query_ir`` takes it.  The
+optimized plan isn't used, as the optimizer repairs what the checks look for.  A table's dotted name stands for its
+schema, so schema facts are keyed by it.  A table without an alias is named by its own name.  A qualifier that the query
+doesn't know belongs to the query around it.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterable
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Class names of the parser's plans and expressions.
+COMPARE = {"EqualTo": "==", "EqualNullSafe": "==", "LessThan": "<", "LessThanOrEqual": "<=", "GreaterThan": ">", "GreaterThanOrEqual": ">="}
+SETS = {"Union": "union", "Intersect": "intersect", "Except": "except"}
+JOINS = {"Inner": "inner", "LeftOuter": "left", "RightOuter": "right", "FullOuter": "full", "Cross": "cross", "LeftSemi": "semi", "LeftAnti": "anti"}
+TYPES = {"timestamp": "utc_datetime", "timestamp_ntz": "naive_datetime"}
+
+
+def _tree(rows: list[dict]) -> dict:
+    """A node with ``kids`` from Spark's list of nodes, parents first."""
+    at = iter(rows)
+
+    def take() -> dict:
+        row = dict(next(at))
+        row["kind"] = row["class"].rsplit(".", 1)[-1]
+        row["kids"] = [take() for _ in range(row["num-children"])]
+        return row
+
+    return take()
+
+
+def _names(text: str) -> list[str]:
+    return text.strip("[]").split(", ") if isinstance(text, str) else list(text)
+
+
+def _object(x: Any) -> str:
+    return x.get("object", x.get("product-class", "")).rsplit(".", 1)[-1].rstrip("$") if isinstance(x, dict) else ""
+
+
+class _Reader:
+    def __init__(self) -> None:
+        self.aliases: list[list[str]] = []
+
+    def expression(self, rows: list[dict] | None) -> Any:
+        return None if rows is None else self._expr(_tree(rows))
+
+    def _expr(self, e: dict) -> Any:
+        kind, kids = e["kind"], e["kids"]
+        if kind == "UnresolvedAttribute":
+            *owner, name = _names(e["nameParts"])
+            if not owner:
+                return ["field", 0, name] if len(self.aliases[-1]) == 1 else ["field", "?", name]
+            return ["field", owner[-1], name] if owner[-1] in self.aliases[-1] else ["parent", name]
+        if kind == "Literal":
+            value, kindof = e.get("value"), e.get("dataType")
+            if kindof == "boolean":
+                value = value == "true"
+            elif kindof in ("integer", "long", "short", "byte") and value is not None:
+                value = int(value)
+            return ["lit", value, TYPES.get(kindof, kindof)]
+        if kind in ("And", "Or"):
+            return [kind.lower(), *map(self._expr, kids)]
+        if kind == "Not":
+            inner = self._expr(kids[0])
+            return ["!=", *inner[1:]] if kids[0]["kind"] == "EqualTo" else ["not", inner]
+        if kind in COMPARE:
+            return [COMPARE[kind], *map(self._expr, kids)]
+        if kind == "In":
+            return ["in", self._expr(kids[0]), [self._expr(k) for k in kids[1:]]]
+        if kind == "IsNull":
+            return ["is_nil", self._expr(kids[0])]
+        if kind == "IsNotNull":
+            return ["not", ["is_nil", self._expr(kids[0])]]
+        if kind == "Cast":
+            return ["type", self._expr(kids[0]), TYPES.get(e.get("dataType"), e.get("dataType"))]
+        if kind in ("NamedParameter", "PosParameter"):
+            return ["param", e.get("name", "?")]
+        if kind in ("Alias", "UnresolvedAlias", "SortOrder"):
+            return self._expr(kids[0])
+        if "plan" in e and isinstance(e["plan"], list):
+            return ["subquery", self.query(_tree(e["plan"]))]
+        if kind == "InSubquery":
+            values = [self.expression(v) for v in e.get("values", []) if isinstance(v, list)] or [self._expr(k) for k in kids[:-1]]
+            inner = e["query"] if isinstance(e.get("query"), list) else None
+            return ["in", values[0] if values else ["fragment"], self.expression(inner) if inner else self._expr(kids[-1])]
+        return ["fragment", *map(self._expr, kids)]
+
+    def _source(self, p: dict) -> dict:
+        """A table or subquery, with its name."""
+        if p["kind"] == "SubqueryAlias":
+            return self._source(p["kids"][0]) | {"as": p["identifier"]["name"]}
+        if p["kind"] == "UnresolvedRelation":
+            parts = _names(p["multipartIdentifier"])
+            return {"schema": ".".join(parts), "table": parts[-1], "prefix": ".".join(parts[:-1]) or None, "as": parts[-1]}
+        return {"subquery": self.query(p)}
+
+    def _flat(self, p: dict) -> tuple[dict, list[tuple[dict, dict]]]:
+        """The first source and the joins (source, join node)."""
+        if p["kind"] == "Join":
+            first, rest = self._flat(p["kids"][0])
+            return first, [*rest, (self._source(p["kids"][1]), p)]
+        if p["kind"] == "LateralJoin":
+            first, rest = self._flat(p["kids"][0])
+            right = _tree(p["right"])
+            return first, [*rest, (self._source(_tree(right["plan"])), p)]
+        return self._source(p), []
+
+    def query(self, p: dict) -> dict:
+        out: dict[str, Any] = {"operation": "all", "wheres": [], "havings": [], "order_by": [], "joins": [], "ctes": [], "combinations": []}
+        late: list[tuple[str, Any]] = []  # expressions, read once the names are known
+        while True:
+            kind = p["kind"]
+            if kind == "UnresolvedWith":
+                out["ctes"] += [{"name": c["_1"], "query": self.query(_tree(c["_2"])["kids"][0])} for c in p["cteRelations"]]
+            elif kind in ("GlobalLimit", "LocalLimit"):
+                late.append(("limit", p["limitExpr"]))
+            elif kind == "Offset":
+                late.append(("offset", p["offsetExpr"]))
+            elif kind == "Sort":
+                late += [("order_by", o) for o in p["order"]]
+            elif kind == "Distinct":
+                out["distinct"] = ["lit", True]
+            elif kind == "Project":
+                late += [("select", x) for x in p["projectList"]]
+            elif kind == "Aggregate":
+                late += [("group_by", x) for x in p["groupingExpressions"]] + [("select", x) for x in p["aggregateExpressions"]]
+            elif kind == "UnresolvedHaving":
+                late.append(("havings", p.get("havingCondition")))
+            elif kind == "Filter":
+                late.append(("wheres", p["condition"]))
+            elif kind in ("DeleteFromTable", "UpdateTable"):
+                out["operation"] = "delete_all" if kind == "DeleteFromTable" else "update_all"
+                if p.get("condition"):
+                    late.append(("wheres", p["condition"]))
+            elif kind == "InsertIntoStatement":
+                inner = self.query(_tree(p["query"])) if isinstance(p.get("query"), list) else self.query(p["kids"][-1])
+                return inner | {"operation": "insert_all"}
+            else:
+                break
+            p = p["kids"][0]
+        if p["kind"] in SETS:
+            first, *rest = [self.query(k) for k in p["kids"]]
+            first["combinations"] += [{"op": SETS[p["kind"]], "query": q} for q in rest]
+            self.aliases.append([first["from"].get("as") or ""])
+            self._late(first, late)
+            self.aliases.pop()
+            return first | {"ctes": out["ctes"] + first["ctes"]}
+        root, joins = self._flat(p)
+        out["from"] = root
+        self.aliases.append([s.get("as") or "" for s in (root, *(s for s, _ in joins))])
+        for k, (s, j) in enumerate(joins):
+            kindof = j["joinType"]
+            using = kindof.get("usingColumns") if isinstance(kindof, dict) else None
+            name = _object(kindof.get("tpe")) if using else _object(kindof)
+            qual, on = JOINS.get(name, name.lower()), self.expression(j.get("condition"))
+            if using:
+                names = self.aliases[-1]
+                pairs = [["==", ["field", names[k], c], ["field", names[k + 1], c]] for c in _names(using)]
+                on = pairs[0] if len(pairs) == 1 else ["and", *pairs]
+            if j["kind"] == "LateralJoin":
+                qual = ("cross" if on is None else qual) + "_lateral"
+            elif on is None and qual == "inner":
+                qual = "cross"
+            out["joins"].append(s | {"qual": qual, "on": on})
+        self._late(out, late)
+        self.aliases.pop()
+        return out
+
+    def _late(self, out: dict, late: list[tuple[str, Any]]) -> None:
+        for key, rows in late:
+            e = self.expression(rows)
+            if key in ("wheres", "havings"):
+                out[key].append({"op": "and", "expr": e})
+            elif key in ("limit", "offset"):
+                out[key] = e
+            elif key == "select" and "select" not in out:
+                out[key] = e
+            else:
+                out[key] = [*(out.get(key) or []), e] if key != "select" or _many(out[key]) else [out[key], e]
+
+
+def _many(x: Any) -> bool:
+    return isinstance(x, list) and bool(x) and isinstance(x[0], list)
+
+
+def tree(spark: SparkSession, sql: str) -> dict:
+    """The query tree of one statement."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    return _Reader().query(_tree(json.loads(plan.toJSON())))
+
+
+def trees(spark: SparkSession, statements: Iterable[tuple[int, str]]) -> DataFrame:
+    """query_id and tree of statements, for ``query_ir.compile_queries``."""
+    return spark.createDataFrame([(i, json.dumps(tree(spark, s))) for i, s in statements], "query_id long, tree string")
