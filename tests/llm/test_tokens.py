@@ -39,6 +39,17 @@ def test_codec_equals_rank_merging(reference):
         assert same.encode(t) == ids
 
 
+def test_latin_cuts():
+    import regex
+
+    rng = random.Random(2)
+    general, c = regex.compile(P.PATTERN).findall, byte_bpe.Codec(PLAIN, P.PATTERN)
+    for _ in range(4000):
+        t = "".join(rng.choice((chr(rng.randrange(256)), " ", "a", "'", "s", "l", "7", "\n")) for _ in range(rng.randrange(25)))
+        assert c._split(t) == general(t), t
+    assert c._split("aŁ²") == general("aŁ²") == ["aŁ", "²"]
+
+
 def test_forgetting(monkeypatch):
     c = byte_bpe.Codec(PLAIN, byte_bpe.PIECES)
     texts = [f"w{i} x{i % 7} y{i % 3}\n" * 3 for i in range(400)] + ["", "w1 w2"]

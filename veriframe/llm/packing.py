@@ -108,7 +108,7 @@ def place(found: DataFrame, capacity: int = 2048) -> DataFrame:
     keyed = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     before = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).drop("_n")
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")) - 1)
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_bucket", "_before")
     if len(ranges) > BROADCAST_RANGES:
         spark = found.sparkSession
