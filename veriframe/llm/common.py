@@ -60,6 +60,47 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bits of a filter of ids at most: 8 MB on every executor, whatever the number of ids.
+FILTER_BITS = 1 << 26
+_FILTER_SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
+
+
+def _filter_places(ids: np.ndarray, bits: int) -> np.ndarray:
+    return mix64(ids.astype(np.int64).view(np.uint64)[:, None] ^ _FILTER_SEEDS) & np.uint64(bits - 1)
+
+
+def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the rows of ``docs`` with one of ``ids`` (column doc_id, distinct, materialized).
+
+    A Bloom filter of the ids leaves most of the other texts out before the join shuffles them.  Its size is bounded; for
+    very many ids it lets more through, which the join then drops.
+    """
+    spark, n = docs.sparkSession, ids.count()
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * n).bit_length()))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_filter_places(np.asarray(batch.column(0)), bits).ravel())
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(word)), pa.array(as_long(mask))], ["word", "mask"])
+
+    known = ids.select(F.col("doc_id").cast("long")).where("doc_id is not null")
+    found = known.mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    table = np.zeros(bits >> 6, dtype=np.uint64)
+    table[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+    shared = spark.sparkContext.broadcast(table)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _filter_places(np.asarray(batch.column(0)), bits)
+            there = ((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+            yield batch.filter(pa.array(there))
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(keep, "doc_id long, text string")
+    return rows.join(known, "doc_id", "left_semi")
+
+
 _kept: dict[object, object] = {}
 
 

@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, discard, materialize, mix64, shingle_sets
+from .common import as_long, discard, materialize, mix64, rows_of, shingle_sets
 from .graph import components
 
 #: Sets under a key up to which its pairs are listed.
 SMALL_KEY = 32
-#: How much shorter the bit sketches are that go with single pairs.
-BRIEF = 4
+#: How much shorter the bit sketches are that go with single pairs: half a bit to one bit for each shingle.
+BRIEF = 8
 
 
 def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +87,7 @@ def symbols(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: i
 def bit_sketch(tokens: np.ndarray) -> np.ndarray:
     """Parity bits in 64-bit words; the number of words is a power of two that grows with the set."""
     bits = 64 * BRIEF
-    while bits < 8 * len(tokens):
+    while bits < 4 * len(tokens):
         bits *= 2
     at = (mix64(tokens + np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
     parity = np.zeros(bits, dtype=np.uint8)
@@ -109,18 +109,21 @@ def within(distance: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n and fp of every row."""
+    """doc_id, n, fp, sketch and brief (the sketch folded) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, fp = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch), dtype=np.uint64)
+            sketch, brief = [b""] * len(batch), [b""] * len(batch)
             for row, tokens in shingle_sets(batch.column(1), width):
                 n[row] = len(tokens)
                 if len(tokens):
                     fp[row] = fingerprint(tokens)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(as_long(fp))], ["doc_id", "n", "fp"])
+                    bits = bit_sketch(tokens)
+                    sketch[row], brief[row] = bits.tobytes(), fold(bits, len(bits) // BRIEF).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(as_long(fp)), pa.array(sketch, pa.binary()), pa.array(brief, pa.binary())], ["doc_id", "n", "fp", "sketch", "brief"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fp long, sketch binary, brief binary")
 
 
 def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -183,28 +186,23 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "key long, fp long, hub long")
 
 
-def _candidates(docs: DataFrame, sets: DataFrame, shared: DataFrame, width: int) -> DataFrame:
-    """fp, n, sketch, brief (the sketch folded) and text, one row for each set that shares a key."""
-    chosen = sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(shared.select("fp").distinct(), "fp", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(chosen.select("doc_id"), "doc_id", "left_semi")
+def _texts(docs: DataFrame, ids: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """fp and text, one row for each set in the pairs. ``ids``: fp and the smallest doc_id with it."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    chosen = materialize(ids.join(wanted, "fp", "left_semi").select("doc_id").distinct(), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[np.uint64] = set()  # repeated rows of a document come to one task
         for batch in batches:
-            n, fp, sketch, brief, rows = [], [], [], [], []
+            fp, rows = [], []
             for row, tokens in shingle_sets(batch.column(0), width):
                 if len(tokens) and (f := fingerprint(tokens)) not in seen:
                     seen.add(f)
-                    bits = bit_sketch(tokens)
-                    rows.append(row), n.append(len(tokens)), fp.append(f)
-                    sketch.append(bits.tobytes()), brief.append(fold(bits, len(bits) // BRIEF).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(as_long(np.array(fp, dtype=np.uint64))), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(brief, pa.binary()), batch.column(0).take(pa.array(rows, pa.int64())).cast(pa.string())],
-                ["fp", "n", "sketch", "brief", "text"],
-            )
+                    rows.append(row), fp.append(f)
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(np.array(fp, dtype=np.uint64))), batch.column(0).take(pa.array(rows, pa.int64())).cast(pa.string())], ["fp", "text"])
 
     # a row too many for a set (ids with several texts, tasks split for skew) only repeats links
-    return texts.select("text").mapInArrow(run, "fp long, n long, sketch binary, brief binary, text string")
+    return rows_of(docs, chosen).select("text").mapInArrow(run, "fp long, text string")
 
 
 def _near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -226,9 +224,9 @@ def _near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough, from their whole texts."""
-    t = known.select("fp", "text")
+    t = _texts(docs, ids, pairs, width)
     both = pairs.join(t.toDF("b", "tb"), "b").join(t.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,16 +325,17 @@ def link_classes(docs: DataFrame, width: int, percent: int, chunk: int = 1024) -
     """doc_id, n, fp of every row, and node (an fp), component of the classes that link with another one."""
     sets = materialize(_sets(docs, width), "sets")
     shared = materialize(_shared_keys(_keys(docs, width, percent)), "keys")
-    known = materialize(_candidates(docs, sets, shared, width), "candidates")
+    known = materialize(sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("brief").alias("brief")).join(shared.select("fp").distinct(), "fp", "left_semi"), "candidates")
+    ids = known.select("fp", "doc_id")
     stars = shared.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
-    links = materialize(_verify(materialize(_near(stars, known, percent), "near"), known, width, percent), "links")
+    links = materialize(_verify(materialize(_near(stars, known, percent), "near"), docs, ids, width, percent), "links")
     groups = materialize(components(links), "components")
     rest = _open_keys(shared, groups)
     small = rest.where(F.col("size") <= SMALL_KEY)
     x, y = small.select("key", F.col("fp").alias("a"), F.col("c").alias("ca"), "hub"), small.select("key", F.col("fp").alias("b"), F.col("c").alias("cb"))
     # pairs with the hub have been compared
     pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("hub"))).select("a", "b").distinct()
-    good = materialize(_verify(materialize(_near(pairs, known, percent), "near"), known, width, percent), "links")
+    good = materialize(_verify(materialize(_near(pairs, known, percent), "near"), docs, ids, width, percent), "links")
     large = rest.where(F.col("size") > SMALL_KEY)
     refuted = rest.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     while True:
@@ -347,10 +346,10 @@ def link_classes(docs: DataFrame, width: int, percent: int, chunk: int = 1024) -
         proposed = materialize(_large_key_pairs(large, known, refuted, percent, chunk), "near")
         if not proposed.limit(1).count():
             break
-        good = materialize(_verify(proposed, known, width, percent), "links")
+        good = materialize(_verify(proposed, docs, ids, width, percent), "links")
         refuted = refuted.union(proposed.join(good, ["a", "b"], "left_anti"))
     discard(shared, known)
-    return sets, groups
+    return sets.select("doc_id", "n", "fp"), groups
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int = 1024) -> DataFrame:
