@@ -24,10 +24,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import worker_keeps
+from .common import lean, worker_keeps
 
 #: Distinct pieces that a worker keeps in each of two generations; the older one goes when the newer is full.
-CACHE_PIECES = 350_000
+CACHE_PIECES = 250_000
 #: Pieces that are looked up together.
 LEARN_PIECES = 200_000
 #: The same cuts as public_tokenizers.PATTERN makes; its letters are tried first, as most pieces are words.
@@ -156,7 +156,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id")
                 yield pa.RecordBatch.from_arrays([part.column(0), whole([np.frombuffer(i, dtype="<u4") for i in coded]), whole([p[0] for p in places]), whole([p[1] for p in places])], ["id", "ids", "starts", "ends"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {kind}, ids array<int>, starts array<int>, ends array<int>")
+    return docs.select(id_column, "text").mapInArrow(lean(run), f"`{id_column}` {kind}, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_column: str = "doc_id") -> DataFrame:
@@ -169,7 +169,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_column: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     kind = encoded.schema[id_column].dataType.simpleString()
-    return encoded.select(id_column, "ids").mapInArrow(run, f"`{id_column}` {kind}, text string")
+    return encoded.select(id_column, "ids").mapInArrow(lean(run), f"`{id_column}` {kind}, text string")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -187,4 +187,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,6 +6,7 @@ Words are maximal runs of bytes other than space and \\t \\n \\v \\f \\r, with A
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -86,7 +87,7 @@ def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(as_long(word)), pa.array(as_long(mask))], ["word", "mask"])
 
     known = ids.select(F.col("doc_id").cast("long")).where("doc_id is not null")
-    found = known.mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    found = known.mapInArrow(lean(words), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
     table = np.zeros(bits >> 6, dtype=np.uint64)
     table[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(table)
@@ -97,10 +98,29 @@ def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             there = ((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
             yield batch.filter(pa.array(there))
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(keep, "doc_id long, text string")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(lean(keep), "doc_id long, text string")
     return rows.join(known, "doc_id", "left_semi")
 
 
+def _give_back() -> None:
+    """Hands memory that a task has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run):
+    """``run`` over Arrow batches; a worker that waits for its next task then holds no more than it keeps."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return go
+
+
 _kept: dict[object, object] = {}
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 from .graph import components
 
 
@@ -162,7 +162,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, target_recall:
                     query = np.arange(i, i + len(cells)) >= len(batch)
                     yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(query), batch.column(0).take(part), batch.column(1).take(part), packed.take(part)], ["cell", "query", "rep", "m", "raw"])
 
-    cells = classes.select("rep", "m", "v").mapInArrow(grid, "cell long, query boolean, rep long, m long, raw binary")
+    cells = classes.select("rep", "m", "v").mapInArrow(lean(grid), "cell long, query boolean, rep long, m long, raw binary")
     sums = cells.groupBy("cell").agg(F.count_if(~F.col("query")).alias("stored"), F.count_if("query").alias("asked")).where("stored > 0")
     sums = sums.select("cell", F.ceil(F.col("stored") / chunk).cast("int").alias("ic"), F.ceil(F.col("asked") / chunk).cast("int").alias("qc"))
     own_chunk = F.pmod(F.xxhash64("rep"), F.when(F.col("query"), F.col("qc")).otherwise(F.col("ic"))).cast("int")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, discard, materialize, mix64, rows_of, shingle_sets
+from .common import as_long, discard, lean, materialize, mix64, rows_of, shingle_sets
 from .graph import components
 
 #: Sets under a key up to which its pairs are listed.
@@ -123,7 +123,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                     sketch[row], brief[row] = bits.tobytes(), fold(bits, len(bits) // BRIEF).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(as_long(fp)), pa.array(sketch, pa.binary()), pa.array(brief, pa.binary())], ["doc_id", "n", "fp", "sketch", "brief"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fp long, sketch binary, brief binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n long, fp long, sketch binary, brief binary")
 
 
 def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
                         group, size = [], 0
             yield from flush(group)
 
-    return docs.select("text").mapInArrow(run, "key long, fp long")
+    return docs.select("text").mapInArrow(lean(run), "key long, fp long")
 
 
 def _shared_keys(keys: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
             single = size[-1] == 1 and not (goes_on and len(size) == 1)
             last, hub = key[-1], hubs[-1]
 
-    return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "key long, fp long, hub long")
+    return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lean(run), "key long, fp long, hub long")
 
 
 def _texts(docs: DataFrame, ids: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
@@ -202,7 +202,7 @@ def _texts(docs: DataFrame, ids: DataFrame, pairs: DataFrame, width: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(as_long(np.array(fp, dtype=np.uint64))), batch.column(0).take(pa.array(rows, pa.int64())).cast(pa.string())], ["fp", "text"])
 
     # a row too many for a set (ids with several texts, tasks split for skew) only repeats links
-    return rows_of(docs, chosen).select("text").mapInArrow(run, "fp long, text string")
+    return rows_of(docs, chosen).select("text").mapInArrow(lean(run), "fp long, text string")
 
 
 def _near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -221,7 +221,7 @@ def _near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 distance[i] = np.bitwise_count(fold(p, w) ^ fold(q, w)).sum()
             yield batch.select(["a", "b"]).filter(pa.array(within(distance, total, percent)))
 
-    return both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, percent: int) -> DataFrame:
@@ -247,7 +247,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, perce
                     good[i] = 100 * common >= percent * (len(x) + len(y) - common)
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def _forest(left: np.ndarray, right: np.ndarray, distance: np.ndarray, component: np.ndarray) -> list[int]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, worker_keeps
+from .common import lean, text_slices, worker_keeps
 
 UNDETERMINED = "und"
 
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: Model, carry: str = "doc_id") -> DataFrame:
     kind = docs.schema[carry].dataType.simpleString()
     text = F.col(f"{carry}.text") if nested else F.col("text")
     read = docs.select(carry, F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("_letters"), *([] if nested else ["text"]))
-    return read.mapInArrow(run, f"`{carry}` {kind}, lang_pred string, score double, bits_per_byte double")
+    return read.mapInArrow(lean(run), f"`{carry}` {kind}, lang_pred string, score double, bits_per_byte double")
 
 
 def identify(docs: DataFrame, training: DataFrame | None = None, order: int = 4, sample_docs: int = 300) -> DataFrame:

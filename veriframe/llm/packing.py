@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import codec
-from .common import materialize
+from .common import lean, materialize
 
 #: Ranges that are sent to all executors at most, 40 bytes each; a longer plan is joined instead.
 BROADCAST_RANGES = 500_000
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_i
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * with_ids, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -132,7 +132,7 @@ def place(found: DataFrame, capacity: int = 2048) -> DataFrame:
 
     ranked = ranked.withColumn("_rank", F.col("_rank").cast("long"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(run), f"{schema}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 #: Nodes and distinct words that a task keeps; beyond that the trie starts anew.
 TRIE_NODES = 1_500_000
 CACHE_WORDS = 600_000
@@ -99,4 +101,4 @@ def count_tokens(docs: DataFrame, scores: dict[str, float], byte_score: float =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_words long, n_tokens long")
