@@ -99,7 +99,8 @@ def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(there))
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(lean(keep), "doc_id long, text string")
-    return rows.join(known, "doc_id", "left_semi")
+    # one plan at every size: the filter has made this side small already
+    return rows.join(known.hint("merge"), "doc_id", "left_semi")
 
 
 def _give_back() -> None:
