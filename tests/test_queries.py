@@ -23,7 +23,7 @@ def duck():
 
 def rows(df):
     def one(v):
-        return "" if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return "" if pd.isna(v) else str(v) if isinstance(v, (bool, str)) or type(v).__name__ == "bool" else f"{float(v):.6f}"
 
     return sorted(tuple(map(one, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 

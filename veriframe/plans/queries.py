@@ -154,7 +154,8 @@ def _layout(rule: layout.Rule, columns: tuple[str, ...]) -> Callable[[SparkSessi
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rules, _ = layout.rule_table(spark, [rule])
         found = layout.evaluate(rules, *snapshots(spark, sf_dir))
-        return found.withColumn("actual", F.round("actual", 6)).select("snapshot_id", *columns)
+        places = {c: F.coalesce(c, F.lit(-1)) for c in ("member_ix", "other_ix")}
+        return found.withColumns(places | {"actual": F.round("actual", 6)}).select("snapshot_id", *columns)
 
     return run
 
@@ -174,9 +175,9 @@ ok AS (SELECT * FROM g WHERE snapshot_id NOT IN (SELECT snapshot_id FROM g WHERE
 
 def _group_sql(found: str, container: bool = False) -> str:
     return f"""{_GROUP_FROM.format(_gate("cn", "ch", "cw", "chh") if container else "CAST(NULL AS VARCHAR)")}
-SELECT snapshot_id, gm AS code, CAST(k AS INT) AS member_ix, CAST(NULL AS INT) AS other_ix, CAST(NULL AS DOUBLE) AS actual FROM g WHERE gm IS NOT NULL
+SELECT snapshot_id, code, coalesce(member_ix, -1) AS member_ix, coalesce(other_ix, -1) AS other_ix, actual FROM (SELECT snapshot_id, gm AS code, CAST(k AS INT) AS member_ix, CAST(NULL AS INT) AS other_ix, CAST(NULL AS DOUBLE) AS actual FROM g WHERE gm IS NOT NULL
 UNION ALL SELECT DISTINCT snapshot_id, gr, CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS DOUBLE) FROM g WHERE gr IS NOT NULL
-UNION ALL SELECT snapshot_id, code, CAST(member_ix AS INT), CAST(other_ix AS INT), round(actual, 6) FROM ({found}) WHERE code IS NOT NULL"""
+UNION ALL SELECT snapshot_id, code, CAST(member_ix AS INT), CAST(other_ix AS INT), round(actual, 6) FROM ({found}) WHERE code IS NOT NULL)"""
 
 
 _GROUPS = {
