@@ -10,8 +10,7 @@ bounds the symmetric difference from below: candidates above the bound go, the r
 
 Equal sets are a class and take part once.  Sets that share a key are first compared with the key's smallest only; the
 links found join classes to components.  Keys whose sets are then in one component are done.  Small keys that are left
-give their remaining pairs.  Large ones are compared in tasks of ``chunk`` by ``chunk`` sets by long bit sketches, whose
-distance is nearly the symmetric difference; of the pairs within the bound that aren't yet connected or refuted a task
+give their remaining pairs.  Large ones are compared by their bit sketches in tasks of ``chunk`` by ``chunk`` sets; of the pairs within the bound that aren't yet connected or refuted a task
 proposes all, or if there are many the nearest that span its components, these are verified, and that goes on until
 nothing new is proposed.  So no pair within the
 similarity is left unconnected, unless two different sets have the same 64-bit fingerprint.
@@ -36,8 +35,6 @@ from .graph import components
 
 #: Sets under a key up to which its pairs are listed.
 SMALL_KEY = 32
-#: How much shorter the bit sketches are that go with single pairs: half a bit to one bit for each shingle.
-BRIEF = 8
 
 
 def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,9 +82,9 @@ def symbols(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: i
 
 
 def bit_sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity bits in 64-bit words; the number of words is a power of two that grows with the set."""
-    bits = 64 * BRIEF
-    while bits < 4 * len(tokens):
+    """Parity bits, one or two for each token, in 64-bit words; the number of words is a power of two."""
+    bits = 64
+    while bits < len(tokens):
         bits *= 2
     at = (mix64(tokens + np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
     parity = np.zeros(bits, dtype=np.uint8)
@@ -109,21 +106,20 @@ def within(distance: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, fp, sketch and brief (the sketch folded) of every row."""
+    """doc_id, n, fp and bit sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, fp = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch), dtype=np.uint64)
-            sketch, brief = [b""] * len(batch), [b""] * len(batch)
+            sketch = [b""] * len(batch)
             for row, tokens in shingle_sets(batch.column(1), width):
                 n[row] = len(tokens)
                 if len(tokens):
                     fp[row] = fingerprint(tokens)
-                    bits = bit_sketch(tokens)
-                    sketch[row], brief[row] = bits.tobytes(), fold(bits, len(bits) // BRIEF).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(as_long(fp)), pa.array(sketch, pa.binary()), pa.array(brief, pa.binary())], ["doc_id", "n", "fp", "sketch", "brief"])
+                    sketch[row] = bit_sketch(tokens).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(as_long(fp)), pa.array(sketch, pa.binary())], ["doc_id", "n", "fp", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n long, fp long, sketch binary, brief binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n long, fp long, sketch binary")
 
 
 def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -207,7 +203,7 @@ def _texts(docs: DataFrame, ids: DataFrame, pairs: DataFrame, width: int) -> Dat
 
 def _near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose bit sketches allow the similarity."""
-    k = known.select("fp", "n", "brief")
+    k = known.select("fp", "n", "sketch")
     both = pairs.join(k.toDF("b", "nb", "sb"), "b").join(k.toDF("a", "na", "sa"), "a")
     both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
@@ -325,7 +321,7 @@ def link_classes(docs: DataFrame, width: int, percent: int, chunk: int = 1024) -
     """doc_id, n, fp of every row, and node (an fp), component of the classes that link with another one."""
     sets = materialize(_sets(docs, width), "sets")
     shared = materialize(_shared_keys(_keys(docs, width, percent)), "keys")
-    known = materialize(sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("brief").alias("brief")).join(shared.select("fp").distinct(), "fp", "left_semi"), "candidates")
+    known = materialize(sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")).join(shared.select("fp").distinct(), "fp", "left_semi"), "candidates")
     ids = known.select("fp", "doc_id")
     stars = shared.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
     links = materialize(_verify(materialize(_near(stars, known, percent), "near"), docs, ids, width, percent), "links")
