@@ -70,13 +70,10 @@ def _filter_places(ids: np.ndarray, bits: int) -> np.ndarray:
     return mix64(ids.astype(np.int64).view(np.uint64)[:, None] ^ _FILTER_SEEDS) & np.uint64(bits - 1)
 
 
-def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the rows of ``docs`` with one of ``ids`` (column doc_id, distinct, materialized).
-
-    A Bloom filter of the ids leaves most of the other texts out before the join shuffles them.  Its size is bounded; for
-    very many ids it lets more through, which the join then drops.
-    """
-    spark, n = docs.sparkSession, ids.count()
+def bloom(ids: DataFrame, column: str):
+    """A function that tells on executors which of an array of 64-bit values may be among ``column`` of ``ids`` (without
+    nulls): none that is there is left out.  For very many it lets more through."""
+    spark, n = ids.sparkSession, ids.count()
     bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * n).bit_length()))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,17 +83,30 @@ def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
             yield pa.RecordBatch.from_arrays([pa.array(as_long(word)), pa.array(as_long(mask))], ["word", "mask"])
 
-    known = ids.select(F.col("doc_id").cast("long")).where("doc_id is not null")
-    found = known.mapInArrow(lean(words), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    found = ids.select(column).mapInArrow(lean(words), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
     table = np.zeros(bits >> 6, dtype=np.uint64)
     table[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(table)
 
+    def there(values: np.ndarray) -> np.ndarray:
+        at = _filter_places(values, bits)
+        return ((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+
+    return there
+
+
+def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the rows of ``docs`` with one of ``ids`` (column doc_id, distinct, materialized).
+
+    A Bloom filter of the ids leaves most of the other texts out before the join shuffles them.  Its size is bounded; for
+    very many ids it lets more through, which the join then drops.
+    """
+    known = ids.select(F.col("doc_id").cast("long")).where("doc_id is not null")
+    there = bloom(known, "doc_id")
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _filter_places(np.asarray(batch.column(0)), bits)
-            there = ((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
-            yield batch.filter(pa.array(there))
+            yield batch.filter(pa.array(there(np.asarray(batch.column(0)))))
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(lean(keep), "doc_id long, text string")
     # one plan at every size: the filter has made this side small already
@@ -202,6 +212,14 @@ def hash_shingles(words: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.nd
     return mix64(h)[whole], doc[:n][whole]
 
 
+def interval_hashes(values: np.ndarray):
+    """A function of starts and lengths that gives the hashes of these intervals of ``values``."""
+    powers, inverse = _power_tables(len(values) + 1)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers[: len(values)], out=sums[1:], dtype=np.uint64)
+    return lambda start, n: mix64((sums[start + n] - sums[start]) * inverse[start] + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string column into runs of rows of about ``limit`` bytes: first row, past-the-last row, bytes, bounds.
 
