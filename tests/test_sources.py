@@ -66,6 +66,33 @@ def lint(spark, tree, *specs):
     return [(r.check, r.code, json.loads(r.meta or "{}")) for r in querylint.validate(q, specs).collect()]
 
 
+def test_checks_beyond_the_branch_limit(spark):
+    eq = lambda f, v=1, b=0: ["==", ["field", b, f], ["lit", v]]
+    wide = [{"op": "and", "expr": ["or", eq(f"a{k}"), eq(f"b{k}")]} for k in range(13)]
+    other = [{"op": "and", "expr": ["or", eq("tenant_id"), ["and", eq("tenant_id", 2), eq("z")]]}]
+    left = {"joins": [{"qual": "left", "as": "c", "table": "c", "on": eq("id", 1, 1)}]}
+    keys = lambda *f, **how: ("mandatory_where_keys", {"rules": {"fields": list(f)} | how})
+    assert compile_query({"from": {"schema": "Post"}, "wheres": wide})["over_limit"]
+
+    def codes(wheres, spec, more=None):
+        facts = query_facts(spark, spark.createDataFrame([(1, json.dumps({"from": {"schema": "S", "table": "s"}, "wheres": wheres} | (more or {})))], "query_id long, tree string")).facts
+        fields = spark.createDataFrame([("S", f, f, "string", False) for f in ("deleted_at", "tenant_id", "x")], "schema string, field string, column_name string, type string, is_pk boolean")
+        return [(r.code, json.loads(r.meta or "{}").get("field")) for r in querylint.validate(querylint.Queries(facts, fields), [spec]).collect()]
+
+    assert codes(wide, "hard_delete_on_soft_delete_schema", {"operation": "delete_all"}) == [("hard_delete", "deleted_at")]
+    assert codes(wide, "empty_in_predicates") == []
+    assert codes([*wide, {"op": "and", "expr": ["in", ["field", 0, "x"], []]}], "empty_in_predicates") == [("empty_in", "x")]
+    assert codes(wide, keys("tenant_id", match="all")) == [("missing_where_key", None)]
+    assert codes(wide + other, keys("tenant_id", match="all")) == [] == codes(wide + other, keys("tenant_id", "x"))
+    assert codes(wide, keys("tenant_id")) == [("analysis-limit", None)]
+    few = [{"op": "and", "expr": ["or", eq("x"), eq("tenant_id")]}] * 13
+    assert codes(few, keys("tenant_id", "x")) == [] and codes(few, keys("tenant_id")) == [("missing_where_key", None)]
+    seen = ("explicit_visibility_predicates", {"rules": {"fields": ["tenant_id", "x"]}})
+    assert codes(wide + other, seen) == [("missing_visibility", "x")]
+    assert codes(wide, "left_join_where_predicates", left) == []
+    assert codes([*wide, {"op": "and", "expr": ["or", eq("p", 1, 1), eq("q", 1, 1)]}], "left_join_where_predicates", left) == [("left_join_rejected", None)]
+
+
 def test_nested_queries(spark):
     inner = {"from": {"table": "b", "as": "b"}, "limit": ["lit", 3], "offset": ["param", None]}
     assert lint(spark, {"ctes": [{"name": "c", "query": inner}]}, "required_order") == [("required_order", "missing_order", {"reasons": ["limit", "offset"]})]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,7 +52,7 @@ def _issues(rows: DataFrame, code: str | Column, message: Column | str, seq: Col
 
 def _limited(rows: DataFrame) -> DataFrame:
     """Queries with too many branches to tell: an issue of its own, never a silent pass."""
-    return _issues(rows.where("over_limit"), "analysis-limit", "too many branches to analyze")
+    return _issues(rows, "analysis-limit", "too many branches to analyze")
 
 
 def _all_branches(test) -> Column:
@@ -81,8 +82,8 @@ def conflicting_where_predicates(q: Queries, options: Mapping[str, Any]) -> Data
     rows = _scope(q.facts, options).where("schema is not null")
     none = lambda b: F.forall(b["predicates"], lambda d: F.exists(d, lambda p: _conflict(d, p) | (F.size(p["vals"]) == 0)))
     clash = F.flatten(F.transform("branches", lambda b: F.flatten(F.transform(b["predicates"], lambda d: F.transform(F.filter(d, lambda p: _conflict(d, p)), lambda p: p["field"])))))
-    found = rows.where(_all_branches(none)).select("query_id", F.posexplode(F.array_sort(F.array_distinct(clash))).alias("k", "field"))
-    return _issues(found, "conflicting_predicates", F.concat(F.lit("predicates on "), F.col("field"), F.lit(" contradict each other")), F.col("k"), field="field").unionByName(_limited(rows))
+    found = rows.where(~F.col("over_limit") & _all_branches(none)).select("query_id", F.posexplode(F.array_sort(F.array_distinct(clash))).alias("k", "field"))
+    return _issues(found, "conflicting_predicates", F.concat(F.lit("predicates on "), F.col("field"), F.lit(" contradict each other")), F.col("k"), field="field").unionByName(_limited(rows.where("over_limit")))
 
 
 def empty_in_predicates(q: Queries, options: Mapping[str, Any]) -> DataFrame:
@@ -91,7 +92,7 @@ def empty_in_predicates(q: Queries, options: Mapping[str, Any]) -> DataFrame:
     every = lambda b: F.forall(b["predicates"], lambda d: F.exists(d, empty))
     names = F.flatten(F.transform("branches", lambda b: F.flatten(F.transform(b["predicates"], lambda d: F.transform(F.filter(d, empty), lambda p: p["field"])))))
     found = rows.where(_all_branches(every)).select("query_id", F.posexplode(F.array_sort(F.array_distinct(names))).alias("k", "field"))
-    return _issues(found, "empty_in", F.concat(F.col("field"), F.lit(" is compared with an empty list in every branch")), F.col("k"), field="field").unionByName(_limited(rows))
+    return _issues(found, "empty_in", F.concat(F.col("field"), F.lit(" is compared with an empty list in every branch")), F.col("k"), field="field")
 
 
 def _compared(q: Queries, options: Mapping[str, Any]) -> DataFrame:
@@ -155,7 +156,7 @@ def explicit_visibility_predicates(q: Queries, options: Mapping[str, Any]) -> Da
     wanted = F.when(F.col("have").isNull(), wanted).otherwise(F.array_intersect(wanted, "have"))
     missing = F.filter(wanted, lambda f: F.exists("branches", lambda b: F.exists(b["mentions"], lambda d: ~F.array_contains(d, f))))
     found = rows.select("query_id", F.posexplode(missing).alias("k", "field"))
-    return _issues(found, "missing_visibility", F.concat(F.col("field"), F.lit(" is not mentioned in every branch")), F.col("k"), field="field").unionByName(_limited(rows))
+    return _issues(found, "missing_visibility", F.concat(F.col("field"), F.lit(" is not mentioned in every branch")), F.col("k"), field="field")
 
 
 def half_open_temporal_intervals(q: Queries, options: Mapping[str, Any]) -> DataFrame:
@@ -183,7 +184,7 @@ def left_join_where_predicates(q: Queries, options: Mapping[str, Any]) -> DataFr
     own = lambda d: F.filter(d, lambda r: r["binding"] == F.col("j.binding"))
     names = F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform("rejects", own)), lambda r: r["field"])))
     found = rows.where((F.size("rejects") > 0) & F.forall("rejects", lambda d: F.size(own(d)) > 0)).withColumn("names", names)
-    return _issues(found, "left_join_rejected", "where rejects the rows that the left join keeps", F.col("k"), fields="names", alias=F.col("j.alias")).unionByName(_limited(_scope(q.facts, options)))
+    return _issues(found, "left_join_rejected", "where rejects the rows that the left join keeps", F.col("k"), fields="names", alias=F.col("j.alias"))
 
 
 def mandatory_join_keys(q: Queries, options: Mapping[str, Any]) -> DataFrame:
@@ -202,24 +203,29 @@ def mandatory_where_keys(q: Queries, options: Mapping[str, Any]) -> DataFrame:
     """Branches of the query without the keys: any of them, or all for ``match: all``."""
     rules = rules_of(options, ("fields", "match"), required=("fields",), default=False)
     rows = q.facts
-    parts = []
+    parts, limited = [], []
     have = q.fields.groupBy("schema").agg(F.collect_set("field").alias("have")) if q.fields is not None else None
     rows = rows.join(have, "schema", "left") if have is not None else rows.withColumn("have", F.lit(None).cast("array<string>"))
     for k, r in enumerate(rules):
         wanted = F.array(*map(F.lit, r["fields"]))
         usable = F.when(F.col("have").isNull(), wanted).otherwise(F.array_intersect(wanted, "have"))
         own = rows.where(predicate(r, KEYS)).withColumn("usable", usable).where(F.size("usable") > 0)
-        own = own.select("query_id", "usable", F.posexplode("branches").alias("n", "b"))
+        own = own.select("query_id", "keys_over", "usable", F.posexplode("branches").alias("n", "b"))
         if r.get("match", "any") == "all":
             missing = F.filter("usable", lambda f: F.exists(F.col("b.keys"), lambda d: ~F.array_contains(d, f)))
         else:
+            # beyond the limit only the fields in every branch are known: without one of them it can't be told
+            unknown = F.col("keys_over") & ~F.forall(F.col("b.keys"), lambda d: F.arrays_overlap(d, F.col("usable")))
+            limited.append(own.where(unknown).select("query_id").distinct())
+            own = own.where(~unknown)
             bare = F.exists(F.col("b.keys"), lambda d: ~F.arrays_overlap(d, F.col("usable")))
             missing = F.when(bare, F.col("usable")).otherwise(F.array().cast("array<string>"))
         parts.append(own.withColumn("missing", missing).where(F.size("missing") > 0).select("query_id", "n", "missing", F.col("b.path").alias("path"), F.lit(k).alias("rule")))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return _issues(found, "missing_where_key", F.concat(F.lit("a branch isn't restricted by "), F.array_join("missing", ", ")), F.col("rule") * 1000 + F.col("n"), keys="missing", branch="path").unionByName(_limited(rows))
+    issues = _issues(found, "missing_where_key", F.concat(F.lit("a branch isn't restricted by "), F.array_join("missing", ", ")), F.col("rule") * 1000 + F.col("n"), keys="missing", branch="path")
+    return issues.unionByName(_limited(reduce(DataFrame.unionByName, limited).distinct())) if limited else issues
 
 
 def manual_join_instead_of_assoc(q: Queries, options: Mapping[str, Any]) -> DataFrame:

@@ -9,14 +9,18 @@ a position or an alias, ["parent", name] for a field of the query around, ["lit"
 type], ["fragment", expr...], ["subquery", query].
 
 Branches of a disjunction are kept as lists of facts.  A branch without facts stays, as an empty list: an expression
-that isn't understood proves nothing, but it doesn't vanish.  Beyond BRANCH_LIMIT branches a query is marked ``limit``
-instead, and a check says so.
+that isn't understood proves nothing, but it doesn't vanish.  Beyond BRANCH_LIMIT branches a query is marked
+``over_limit`` and has one branch with what all of them share, which is all that most checks ask for: of keys the smallest
+sets, of which there are mostly few (else ``keys_over``), of mentions the fields in every branch, of rejects the left
+joins that every branch rejects, of predicates the empty lists, if every branch has one.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import groupby
 from typing import Any
 
 import pyarrow as pa
@@ -35,7 +39,7 @@ FACTS = (
     "branches array<struct<path:string,schema:string,table_name:string,predicates:array<array<struct<field:string,op:string,vals:array<string>>>>,keys:array<array<string>>,mentions:array<array<string>>,rejects:array<array<struct<binding:int,field:string>>>,left_joins:array<struct<binding:int,alias:string>>>>, "
     "joins array<struct<join_index:int,qual:string,schema:string,assoc:string,alias:string,on_true:boolean,correlated:boolean,key_fields:array<string>,signature:string>>, "
     f"comparisons array<struct<path:string,clause:string,op:string,under_not:boolean,a:{_SIDE},b:{_SIDE}>>, "
-    "unnamed array<struct<kind:string,detail:string>>, over_limit boolean"
+    "unnamed array<struct<kind:string,detail:string>>, over_limit boolean, keys_over boolean"
 )
 
 
@@ -162,6 +166,55 @@ def where_branches(wheres: list[dict], leaf: Leaf) -> list[list]:
     return [[]] if out is None else out
 
 
+def _fold(wheres: list[list[dict]], leaf: Leaf, both: Callable, either: Callable) -> Any:
+    """All where clauses of all layers, without expanding them; None without any."""
+
+    def of(e: Any, negated: bool) -> Any:
+        kind = _kind(e)
+        if kind == "not":
+            return of(e[1], not negated)
+        if kind in ("and", "or"):
+            return reduce(both if (kind == "and") != negated else either, [of(x, negated) for x in e[1:]])
+        return leaf(e, negated)
+
+    whole = None
+    for layer in wheres:
+        out = None
+        for w in layer or ():
+            own = of(w["expr"], False)
+            out = own if out is None else (either if w.get("op") == "or" else both)(out, own)
+        whole = out if whole is None else whole if out is None else both(whole, out)
+    return whole
+
+
+def _in_all(wheres: list[list[dict]], leaf: Leaf) -> frozenset:
+    """What every branch has: either side's of a conjunction, both sides' of a disjunction."""
+    return _fold(wheres, lambda e, negated: frozenset(leaf(e, negated)), frozenset.union, frozenset.intersection) or frozenset()
+
+
+def _smallest(sets: set[frozenset]) -> set[frozenset]:
+    """Without those that contain another one."""
+    if len(sets) > BRANCH_LIMIT:
+        raise _Over
+    out: set[frozenset] = set()
+    for _, same in groupby(sorted(sets, key=len), key=len):
+        out |= {x for x in same if not any(y < x for y in out)}
+    return out
+
+
+def _smallest_sets(wheres: list[list[dict]], leaf: Leaf) -> list[list]:
+    """The branches that contain no other one, as sets. Some branch lacks a field, or all of some fields, if one of these
+    does."""
+
+    def both(a: set, b: set) -> set:
+        if len(a) * len(b) > 16 * BRANCH_LIMIT:
+            raise _Over
+        return _smallest({x | y for x in a for y in b})
+
+    found = _fold(wheres, lambda e, negated: {frozenset(leaf(e, negated))}, both, lambda a, b: _smallest(a | b))
+    return [[]] if found is None else sorted(map(sorted, found))
+
+
 def boundedness(wheres: list[dict]) -> str:
     """``empty``, ``restricting`` or ``unrestricting``; anything but true, false and their combinations restricts."""
 
@@ -397,32 +450,63 @@ def _join_facts(q: dict) -> Iterator[dict]:
         }
 
 
+def _where_facts(b: dict, lefts: list[dict], out: dict) -> dict:
+    names, wheres = _Names(b), b.get("wheres")
+    try:
+        return {k: where_branches(wheres, leaf(names)) for k, leaf in (("predicates", _predicate), ("mentions", _mentions), ("rejects", _rejects))}
+    except _Over:
+        out["over_limit"] = True
+    predicate, rejects = _predicate(names), _rejects(names)
+    empty = lambda e, negated: [p["field"] for p in predicate(e, negated) if p["op"] == "in" and not p["vals"]]
+    rejected = lambda e, negated: [(r["binding"], r["field"]) for r in rejects(e, negated)]
+    named = lambda leaf: _fold([wheres], lambda e, negated: frozenset(leaf(e, negated)), frozenset.union, frozenset.union)
+    every_empty = _in_all([wheres], lambda e, negated: [True] * bool(empty(e, negated)))
+    every_rejects = _in_all([wheres], lambda e, negated: [r[0] for r in rejected(e, negated)])
+    return {
+        "predicates": [[{"field": f, "op": "in", "vals": []} for f in sorted(named(empty))] if every_empty else []],
+        "mentions": [sorted(_in_all([wheres], _mentions(names)))],
+        "rejects": [[{"binding": k, "field": f} for k, f in sorted(named(rejected)) if k in every_rejects]],
+    }
+
+
+def _key_facts(layers: list[dict], out: dict) -> list[list]:
+    try:
+        keys = [[]]
+        for layer in layers:
+            keys = _product(keys, where_branches(layer.get("wheres"), _keys(_Names(layer))))
+        return keys
+    except _Over:
+        pass
+    # every layer's fields are read by its own names
+    wheres = [[{"op": w.get("op"), "expr": _leaves(w["expr"], _keys(_Names(layer)))} for w in layer.get("wheres") or ()] for layer in layers]
+    known = lambda e, negated: e[2] if negated else e[1]
+    try:
+        return _smallest_sets(wheres, known)
+    except _Over:
+        out["keys_over"] = True
+        return [sorted(_in_all(wheres, known))]
+
+
+def _leaves(e: Any, leaf: Leaf) -> list:
+    """The expression with what ``leaf`` gives for its leaves, plain and negated."""
+    return [e[0], *(_leaves(x, leaf) for x in e[1:])] if _kind(e) in ("and", "or", "not") else ["leaf", leaf(e, False), leaf(e, True)]
+
+
 def compile_query(q: dict) -> dict:
     """The facts of one query."""
     root = _layers(q)[-1]["from"]
     out = {
         "operation": q.get("operation", "all"), "schema": root.get("schema"), "table_name": root.get("table"), "db_schema": root.get("prefix"),
-        "bounded": boundedness(q.get("wheres")), "ordered": bool(q.get("order_by")), "over_limit": False,
+        "bounded": boundedness(q.get("wheres")), "ordered": bool(q.get("order_by")), "over_limit": False, "keys_over": False,
         "order_fields": [f[1] for e in q.get("order_by") or () if (f := _Names(q).field(e)) and f[0] == 0],
         "units": [_unit(x, q.get("operation", "all") if x is q else "all") for x in _all_queries(q)],
         "joins": list(_join_facts(q)), "comparisons": [c for path, b in _set_branches(q) for c in _comparisons(b, path)],
         "unnamed": list(_unnamed(q)), "branches": [],
     }
-    try:
-        for path, b in _set_branches(q):
-            names, layers = _Names(b), _layers(b)
-            keys = [[]]
-            for layer in layers:
-                keys = _product(keys, where_branches(layer.get("wheres"), _keys(_Names(layer))))
-            own = layers[-1]["from"]
-            out["branches"].append({
-                "path": path, "schema": own.get("schema"), "table_name": own.get("table"),
-                "predicates": where_branches(b.get("wheres"), _predicate(names)), "keys": keys,
-                "mentions": where_branches(b.get("wheres"), _mentions(names)), "rejects": where_branches(b.get("wheres"), _rejects(names)),
-                "left_joins": [{"binding": k + 1, "alias": j.get("as")} for k, j in enumerate(b.get("joins") or ()) if j.get("qual") in ("left", "left_lateral")],
-            })
-    except _Over:
-        out["branches"], out["over_limit"] = [], True
+    for path, b in _set_branches(q):
+        layers, own = _layers(b), _layers(b)[-1]["from"]
+        lefts = [{"binding": k + 1, "alias": j.get("as")} for k, j in enumerate(b.get("joins") or ()) if j.get("qual") in ("left", "left_lateral")]
+        out["branches"].append({"path": path, "schema": own.get("schema"), "table_name": own.get("table"), "left_joins": lefts} | _where_facts(b, lefts, out) | {"keys": _key_facts(layers, out)})
     return out
 
 
