@@ -2,7 +2,9 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from veriframe.llm import jaccard_join
 
@@ -82,4 +84,50 @@ def test_bounds():
                 assert jaccard_join.within(np.array([distance]), np.array([len(a) + len(b)]), percent)[0]
                 sizes = np.array([len(a), len(b)])
                 keys, who = jaccard_join.symbols(np.concatenate([a, b]), np.repeat([0, 1], sizes), sizes, percent)
-                assert len(np.intersect1d(keys[who == 0], keys[who == 1]))
+                upper, _, spare = jaccard_join.bands(percent, 1 << 40)
+                band = int(np.searchsorted(upper, sizes.max()))
+                shared = np.intersect1d(keys[who == 0], keys[who == 1])
+                assert ((shared & np.uint64(255)) == np.uint64(band)).sum() > spare[band]
+
+
+@pytest.mark.parametrize("counted", [3, 1 << 20])
+def test_sizes_of_keys_over_batches(monkeypatch, counted):
+    """However the rows are cut to batches, all rows of a key get its number of sets, or the bound."""
+    monkeypatch.setattr(jaccard_join, "COUNTED", counted)
+    rng = random.Random(4)
+
+    class Rows:
+        def __init__(self, rows, cuts):
+            self.rows, self.cuts = rows, cuts
+
+        def repartition(self, *_):
+            return self
+
+        sortWithinPartitions = repartition
+
+        def mapInArrow(self, run, _):
+            parts = [self.rows[i:j] for i, j in zip([0, *self.cuts], [*self.cuts, len(self.rows)], strict=True)]
+            batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in p], pa.int64()) for k in (0, 1)], ["key", "fp"]) for p in parts]
+            return sorted(tuple(r.values()) for b in run(iter(batches)) for r in b.to_pylist())
+
+    for _ in range(200):
+        rows = sorted((rng.randrange(6), rng.randrange(12)) for _ in range(rng.randrange(1, 40)))
+        cuts = sorted(rng.randrange(len(rows) + 1) for _ in range(rng.randrange(8)))
+        size = {k: min(counted, len({f for q, f in rows if q == k})) for k, _ in rows}
+        assert jaccard_join._shared_keys(Rows(rows, cuts)) == sorted((k, f, size[k]) for k, f in set(rows) if size[k] > 1)
+
+
+def kept_texts(df):
+    return sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in jaccard_join.keep_one(df).collect())
+
+
+def test_keep_one_by_text(spark):
+    """Rows without id, ids with several texts, and columns with the names that the operator uses inside."""
+    rng = random.Random(3)
+    a, b, c, d = (" ".join("w%d" % rng.randrange(900) for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, a), (None, c), (None, c), (5, d), (5, d), (6, d), (7, None), (7, None), (None, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = kept_texts(df.withColumn("_gone", F.lit(1)).withColumn("_own", F.lit(2)).withColumn("_fp", F.lit("x")))
+    assert got == sorted([(False, 1, a), (False, 2, b), (True, 0, c), (False, 5, d), (False, 5, d), (False, 7, ""), (False, 7, ""), (True, 0, ""), (False, 8, "")])
+    plain = spark.createDataFrame([(1, a), (2, a), (3, b)], "doc_id long, text string")
+    assert kept_texts(plain) == [(False, 1, a), (False, 3, b)]

@@ -7,6 +7,7 @@ Words are maximal runs of bytes other than space and \\t \\n \\v \\f \\r, with A
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,6 +62,21 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing holds any more; it does so when the driver's garbage
+    collector finds them, which on its own may come after the disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores in front if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 #: Bits of a filter of ids at most: 8 MB on every executor, whatever the number of ids.
 FILTER_BITS = 1 << 26
 _FILTER_SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
@@ -96,21 +112,24 @@ def bloom(ids: DataFrame, column: str):
 
 
 def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the rows of ``docs`` with one of ``ids`` (column doc_id, distinct, materialized).
+    """doc_id and text of the rows of ``docs`` with one of ``ids`` (column doc_id, distinct, materialized); a null among
+    them stands for all rows without an id.
 
     A Bloom filter of the ids leaves most of the other texts out before the join shuffles them.  Its size is bounded; for
     very many ids it lets more through, which the join then drops.
     """
-    known = ids.select(F.col("doc_id").cast("long")).where("doc_id is not null")
-    there = bloom(known, "doc_id")
+    known = ids.select(F.col("doc_id").cast("long"))
+    there = bloom(known.where("doc_id is not null"), "doc_id")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(there(np.asarray(batch.column(0)))))
+            own = batch.column(0)
+            yield batch.filter(pa.array(there(np.asarray(own.fill_null(0))) | np.asarray(own.is_null())))
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(lean(keep), "doc_id long, text string")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(keep), "doc_id long, text string")
+    known = known.withColumnRenamed("doc_id", "known")
     # one plan at every size: the filter has made this side small already
-    return rows.join(known.hint("merge"), "doc_id", "left_semi")
+    return rows.join(known.hint("merge"), rows["doc_id"].eqNullSafe(known["known"]), "left_semi")
 
 
 def _give_back() -> None:
