@@ -1,5 +1,5 @@
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -25,6 +25,54 @@ def check(rows, texts, train):
         base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (len(counts) + 1))) for w in t)
         assert math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-6)
         assert r.score <= 0 and math.isfinite(r.score)
+    return counts
+
+
+class Plain:
+    """The probabilities of a model from its tables, word by word."""
+
+    def __init__(self, model):
+        self.m, self.totals = model, model.totals
+        rows = model.words.collect()
+        self.word = {bytes(r.word): r for r in rows}
+        self.name = {r.h & (2**64 - 1): bytes(r.word) for r in rows}
+        self.pairs = defaultdict(dict)
+        for r in model.pairs.collect():
+            x = pitman_yor.unpacked(r.packed)
+            seats = [x.get(f"t{s}", x["t"]) for s in model.sweeps]
+            for k, (v, w, c) in enumerate(zip(x["v"].tolist(), x["w"].tolist(), x["c"].tolist(), strict=True)):
+                self.pairs[self.name[v]][self.name[w]] = (c, [int(t[k]) for t in seats])
+        self.once = {g for r in model.once.collect() for g in pitman_yor.unpacked(r.packed)["g"].tolist()}
+
+    def share(self, k, w):
+        s = self.m.sweeps[k]
+        if w in self.word:
+            return self.word[w][f"share_{s}"]
+        spelled = pitman_yor.spelling_probability(self.totals.spelling[k], [w])[0]
+        return (self.totals.concentration + self.totals.discount[k] * self.totals.tables[k]) * spelled / (self.totals.concentration + self.totals.customers[k])
+
+    def seen(self, v, w):
+        if w in self.pairs[v]:
+            return self.pairs[v][w]
+        if v in self.word and w in self.word:
+            h = np.array([self.word[v].h, self.word[w].h]).view(np.uint64)
+            if int(pitman_yor.pair(h[:1], h[1:])[0]) in self.once:
+                return 1, [1] * len(self.m.sweeps)
+        return 0, [0] * len(self.m.sweeps)
+
+    def probability(self, v, w):
+        total, (c, seats), d, theta = self.word[v].c if v in self.word else 0, self.seen(v, w), self.totals.pair_discount, self.totals.pair_concentration
+        found = []
+        for k, s in enumerate(self.m.sweeps):
+            if total:
+                found.append((c - d * seats[k] + (theta + d * self.word[v][f"tables_{s}"]) * self.share(k, w)) / (theta + total))
+            else:
+                found.append(self.share(k, w))
+        return sum(found) / len(found)
+
+    def score(self, text):
+        t = tokens(text)
+        return sum(math.log10(self.probability(v, w)) for v, w in zip([b"", *t], t, strict=False))
 
 
 def test_whole_table(spark):
@@ -33,19 +81,47 @@ def test_whole_table(spark):
     scores = pitman_yor.score(docs, model)
     rows = scores.collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
-    check(rows, texts, [i for i in texts if brute.fold(i, 5) != 1])
+    train = [i for i in texts if brute.fold(i, 5) != 1]
+    check(rows, texts, train)
     held = [r for r in rows if brute.fold(r.doc_id, 5) == 1]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    # a word's probability: those of the training words leave the rest to new words
-    share = {bytes(r.word): r.share for r in model.vocabulary.collect()}
-    assert math.isclose(sum(share.values()) + model.unknown, 1) and 0.001 < model.unknown < 0.5
-    for r in rows[:50]:
-        want = sum(math.log10(share.get(w, model.unknown)) for w in tokens(texts[r.doc_id]))
-        assert math.isclose(r.score, want, rel_tol=1e-9)
-    spelled = {r.doc_id: r.score for r in pitman_yor.score(docs, model, spell_unknown=True).collect()}
-    assert all(spelled[r.doc_id] <= r.score + 1e-9 for r in rows)
-    found = pitman_yor.perplexity(scores).first()
-    assert found.perplexity < found.base_perplexity
+    assert pitman_yor.perplexity(scores.where("crc32(cast(doc_id as string)) % 5 = 1")).where("perplexity < base_perplexity").count() == 1
+    plain = Plain(model)
+    for r in rows[:40]:
+        assert math.isclose(r.score, plain.score(texts[r.doc_id]), rel_tol=1e-9)
+    # customers of the pairs are the tokens; their tables the customers of the words
+    pairs = Counter()
+    for i in train:
+        t = tokens(texts[i])
+        pairs.update(zip([b"", *t], t, strict=False))
+    assert {(v, w): c for v, own in plain.pairs.items() for w, (c, _) in own.items()} == {p: c for p, c in pairs.items() if c > 1}
+    assert len(plain.once) == sum(c == 1 for c in pairs.values())
+    for k, s in enumerate(model.sweeps):
+        tables = sum(t[k] for own in plain.pairs.values() for _, t in own.values()) + len(plain.once)
+        assert tables == model.totals.customers[k] == sum(r[f"tables_{s}"] for r in plain.word.values())
+        assert all(1 <= t[k] <= c for own in plain.pairs.values() for c, t in own.values())
+        # the words of a context and those without training tokens have one probability in all
+        spelled = pitman_yor.spelling_probability(model.totals.spelling[k], list(plain.word))
+        new = (model.totals.concentration + model.totals.discount[k] * model.totals.tables[k]) * (1 - spelled.sum()) / (model.totals.concentration + model.totals.customers[k])
+        assert math.isclose(sum(plain.share(k, w) for w in plain.word) + new, 1, rel_tol=1e-9)
+        for v in [b"", *sorted(plain.word)[500:3000:500]]:
+            d, theta, r = model.totals.pair_discount, model.totals.pair_concentration, plain.word[v]
+            own = sum(c - d * t[k] for c, t in (plain.seen(v, w) for w in {w for u, w in pairs if u == v}))
+            assert math.isclose(own + theta + d * r[f"tables_{s}"], theta + r.c, rel_tol=1e-9)
+    # words have contexts
+    some = docs.where("doc_id < 200 and n_chars > 400").selectExpr("doc_id", "array_join(reverse(split(text, ' ')), ' ') AS text")
+    turned = {r.doc_id: r.score for r in pitman_yor.score(some, model).collect()}
+    assert sum(r.score for r in rows if r.doc_id in turned) > sum(turned.values()) + 1
+
+
+def test_partitions_do_not_matter(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = {r.doc_id: r.score for r in pitman_yor.score(docs, pitman_yor.fit(docs)).collect()}
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", 3000)
+    monkeypatch.setattr(pitman_yor, "PART_BYTES", 20_000)
+    dealt = docs.repartition(5)
+    for r in pitman_yor.score(dealt, pitman_yor.fit(dealt)).collect():
+        assert math.isclose(r.score, whole[r.doc_id], rel_tol=1e-9)
 
 
 def test_odd_texts(spark):
@@ -55,9 +131,18 @@ def test_odd_texts(spark):
     assert len(rows) == len(ODD)
     check(rows, dict(enumerate(ODD)), range(5, len(ODD)))
     none = pitman_yor.fit(docs.limit(0))
-    assert all(r.n_known == 0 and r.score == 0 for r in pitman_yor.score(docs, none).collect())
-    assert all(r.score < 0 for r in pitman_yor.score(docs, none, spell_unknown=True).collect())
+    assert all(r.n_known == 0 and r.score < 0 for r in pitman_yor.score(docs, none).collect())
     assert pitman_yor.score(docs.limit(0), model).count() == 0
+    twice = pitman_yor.score(docs.union(docs.selectExpr("null AS doc_id", *docs.columns[1:])), model).collect()
+    assert len(twice) == 2 * len(ODD) and sum(r.doc_id is None for r in twice) == len(ODD)
+
+
+def test_packing_of_arrays():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 1000):
+        x = {"a": rng.integers(0, 2**63, n).astype(np.uint64), "b": rng.random(n), "c": np.zeros(n, np.uint8), "d": rng.integers(0, 9, 2 * n).astype(np.uint32)}
+        got = pitman_yor.unpacked(pitman_yor.packed(**x))
+        assert all(np.array_equal(got[k], x[k]) and got[k].dtype == x[k].dtype for k in x)
 
 
 def test_spelling_sums_to_one():
@@ -73,7 +158,7 @@ def test_seating(customers):
     """The mean number of tables is the one of the process, customer by customer."""
     rng = np.random.default_rng(7)
     many, alpha, d = 3000, 3.0, 0.4
-    got = pitman_yor.seat(np.full(many, customers), np.full(many, alpha), d, rng)
+    got = pitman_yor.seat(np.full(many, customers), np.full(many, alpha), d, rng.integers(0, 2**63, many).astype(np.uint64), 3)
     assert got.min() >= 1 and got.max() <= customers
     t = np.ones(many)
     for j in range(1, customers):

@@ -1,47 +1,55 @@
-"""Language-model scores by a hierarchical Pitman-Yor model.
-
-The restaurant of words has one dish for each word of the training documents.  A new table there orders its dish from
-the spelling restaurants: a word is its bytes and a stop, each served in the restaurant of the bytes before it; that
-restaurant's new tables order from the one with a shorter context, up to one without context and a uniform base.
-Restaurants with one shorter context share it as parent.  A context is up to three bytes in 32 classes (the low five
-bits, which tell lower-case letters apart), so there are at most 32768 restaurants of 257 dishes on the longest level:
-that table has a fixed bound and is what the driver and the broadcasts hold.  Word counts stay in tables and grow with
-the corpus.
-
-Seating is sampled by Gibbs sweeps: all customers of a dish are seated anew given the present total of tables and the
-parent's predictive probability; above 64 customers of a dish, customers come in groups of 1/64 of those already
-seated.  The restaurants of one level are sampled side by side from the sweep before.  A sweep's predictive
-probabilities are averaged over the sweeps after the first ``burn_in``; the log of the average is the score.
-
-A token is a word, with A-Z lower-cased, or the end of the text, which is the empty word.  Words without training
-tokens are one outcome, as they are for additive smoothing over V + 1 outcomes: its probability is what the training
-words leave, so the outcomes' probabilities sum to one and scores compare with that base.  With ``spell_unknown`` each
-such word has the probability of its own spelling instead.  Scoring sends each bucket of documents the probabilities of
-its distinct words.
+"""Language-model scores by a hierarchical Pitman-Yor model of words in context.
+
+Every word that stands before another one has a restaurant: its customers are the tokens that follow it, its dishes the
+words.  New tables of these restaurants are the customers of one restaurant of words, which all contexts share as
+parent.  A new table there orders its dish from the spelling restaurants: a word is its bytes and a stop, each served in
+the restaurant of the bytes before it; that restaurant's new tables order from the one with a shorter context, up to one
+without context and a uniform base.  A spelling context is up to three bytes in 32 classes (the low five bits, which
+tell lower-case letters apart), so there are at most 32768 restaurants of 257 dishes on its longest level: that table
+has a fixed bound and is what the driver and the broadcasts hold.  Words and pairs of words stay in tables, dealt by
+hash, and grow with the corpus.
+
+Seating is sampled by Gibbs sweeps: all customers of a dish in a restaurant are seated anew given the restaurant's
+present number of tables and the parent's predictive probability.  Restaurants of one level are sampled side by side
+from the sweep before, so a restaurant of any size is dealt over all tasks.  The random numbers are hashes of dish,
+restaurant and sweep: partitions, batches and repeated tasks don't change the result.  Customers of a dish beyond 64 come
+in groups of 1/64 of those already seated, and a group's expected number of new tables is rounded at random.  A dish
+with one customer has one table, always; pairs of words that came once only need no sampling and are kept as hashes.  A
+sweep's predictive probabilities are averaged over the sweeps after the first ``burn_in``; the log of the average is the
+score.  Discounts are estimated on each level from the dishes with one and with two customers.
+
+A token is a word, with A-Z lower-cased, or the end of the text, which is the empty word; the first word's context is
+the end of a text.  A word without training tokens has the probability of its spelling.  So in every context the
+probabilities of all words sum to one.
 
 Defined cases: null text counts as empty and is one end token; without training documents every word has its base
-spelling probability; repeated rows are counted and scored each; an empty table gives an empty result.
+spelling probability; repeated rows are counted and scored each; an empty table gives an empty result; two words or
+pairs count as one only if their 64-bit hashes are equal.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import discard, lean, materialize
+from .common import as_long, discard, hash_words, lean, materialize, mix64, release, text_slices
 
 STOP, SYMBOLS, CLASS_BITS, LEVELS = 256, 257, 5, 4
-#: Distinct words that a task counts before it hands the counts on.
-COUNTER_WORDS = 400_000
-#: Text bytes of a bucket of documents, about.
-BUCKET_BYTES = 8 << 20
+#: The hash of the empty word, which ends a text.
+END = np.uint64(0)
+#: Tokens that a task counts before it hands the counts on.
+BLOCK_TOKENS = 3_000_000
+#: Text bytes of a part of the tables and of a bucket of documents, about.
+PART_BYTES = 16 << 20
 
 
 @dataclass
@@ -53,11 +61,18 @@ class Spelling:
     table: np.ndarray
 
 
-def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish. ``strength``: weight of a new table, (concentration + discount * tables) * parent's share."""
+def _uniform(key: np.ndarray, sweep: int, draw: int) -> np.ndarray:
+    """From 0 to 1, by hash."""
+    return (mix64(key ^ mix64(np.array([sweep << 32 | draw], dtype=np.uint64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def seat(customers: np.ndarray, strength: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of each dish. ``strength``: weight of a new table, (concentration + discount * tables) * parent's share;
+    ``key``: 64-bit hash of restaurant and dish."""
     tables = np.minimum(customers, 1).astype(np.int64)
-    order = np.argsort(-customers, kind="stable")
-    counts, alpha, t = customers[order], strength[order], tables[order]
+    order = np.flatnonzero(customers > 1)
+    order = order[np.argsort(-customers[order], kind="stable")]
+    counts, alpha, t, key = customers[order], strength[order], tables[order], key[order]
     j = 1
     while True:
         active = int(np.searchsorted(-counts, -j, side="left"))  # those with more than j customers
@@ -65,7 +80,7 @@ def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.r
             break
         step = np.minimum(max(1, j // 64), counts[:active] - j)
         p = alpha[:active] / (alpha[:active] + np.maximum(j - discount * t[:active], 1e-9))
-        t[:active] += (rng.random(active) < p) if j < 128 else rng.binomial(step, p)
+        t[:active] += (step * p + _uniform(key[:active], sweep, j)).astype(np.int64)
         j += max(1, j // 64)
     tables[order] = np.minimum(t, counts)
     return tables
@@ -73,7 +88,6 @@ def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.r
 
 def fit_spelling(context: np.ndarray, symbol: np.ndarray, customers: np.ndarray, seed: int, sweeps: int = 2, discount: float = 0.6, concentration: float = 1.0) -> Spelling:
     """From customers of the longest level, by context and symbol."""
-    rng = np.random.default_rng(seed)
     ids, rows = [None] * LEVELS, [None] * LEVELS
     contexts = np.unique(context) if len(context) else np.zeros(1, dtype=np.int64)
     for k in range(LEVELS - 1, -1, -1):
@@ -100,7 +114,8 @@ def fit_spelling(context: np.ndarray, symbol: np.ndarray, customers: np.ndarray,
             if sweep:
                 parent = (above[k - 1] if k else base)[rows[k]]
                 strength = (concentration + discount * tables[k].sum(axis=1, keepdims=True)) * parent
-                tables[k] = seat(counts[k].ravel(), strength.ravel(), discount, rng).reshape(counts[k].shape)
+                cells = ids[k].astype(np.uint64)[:, None] * np.uint64(SYMBOLS) + np.arange(SYMBOLS, dtype=np.uint64)
+                tables[k] = seat(counts[k].ravel(), strength.ravel(), discount, cells.ravel(), seed * 1000 + sweep * LEVELS + k).reshape(counts[k].shape)
             else:
                 tables[k] = np.minimum(counts[k], 1)
             if k:
@@ -116,7 +131,7 @@ def fit_spelling(context: np.ndarray, symbol: np.ndarray, customers: np.ndarray,
         stacked.append(found[k])
         first += len(ids[k])
     used, row = np.unique(row, return_inverse=True)
-    return Spelling(row.astype(np.int32), np.concatenate(stacked)[used].astype(np.float64))
+    return Spelling(row.astype(np.int32), np.concatenate(stacked)[used])
 
 
 def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,59 +160,223 @@ def spelling_probability(model: Spelling, words: list[bytes]) -> np.ndarray:
     return np.exp(np.maximum(np.add.reduceat(np.log(model.table[model.row[context], symbol]), starts), -700))
 
 
-def _counts(training: DataFrame) -> DataFrame:
-    """word (binary) and c of the training texts."""
+def packed(**columns: np.ndarray) -> bytes:
+    """Arrays in little room: their bytes by place, compressed."""
+    planes = {name: (x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()) for name, x in columns.items()}
+    raw = pickle.dumps(planes, protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def unpacked(data: bytes) -> dict[str, np.ndarray]:
+    raw = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    out = {}
+    for name, (kind, planes) in pickle.loads(raw).items():
+        dtype = np.dtype(kind)
+        flat = np.frombuffer(planes, dtype=np.uint8) if planes else np.zeros(0, dtype=np.uint8)
+        out[name] = np.ascontiguousarray(flat.reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype)
+    return out
+
+
+def unpack_all(column: pa.ChunkedArray) -> dict[str, np.ndarray]:
+    """The arrays of several packed rows, end to end."""
+    found = [unpacked(x) for x in column.to_pylist()]
+    return {name: np.concatenate([f[name] for f in found]) for name in found[0]} if found else {}
+
+
+def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(mix64(context + np.uint64(0x632BE59BD9B4E019)) + word)
+
+
+def part(key: np.ndarray, parts: int) -> np.ndarray:
+    """Parts are ranges of the hash, so they are slices of sorted keys."""
+    return ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def _slices(key: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """The parts of sorted keys."""
+    p = part(key, parts)
+    starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else []
+    for s, e in zip(starts, [*starts[1:], len(p)], strict=True):
+        yield int(p[s]), slice(int(s), int(e))
+
+
+def tokens_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the tokens of several texts with their ends, how many each text has, and each token's bytes."""
+    words, doc, start, stop = hash_words(data, bounds)
+    rows = len(bounds) - 1
+    n = np.bincount(doc, minlength=rows) + 1
+    place = np.arange(len(words)) + doc
+    token, first, last = np.full(len(words) + rows, END), *np.zeros((2, len(words) + rows), dtype=np.int64)
+    token[place], first[place], last[place] = words, start, stop
+    return token, n, first, last
+
+
+def contexts_of(token: np.ndarray) -> np.ndarray:
+    """The token before each one; texts lie end to end, so it's an end before a text's first."""
+    return np.concatenate([np.array([END]), token[:-1]])
+
+
+def word_bytes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """Lower-cased words as a binary column."""
+    length = last - first
+    ends = np.cumsum(length)
+    at = np.repeat(first - ends + length, length) + np.arange(int(length.sum()))
+    own = data[at]
+    own = np.where((own >= 65) & (own <= 90), own + 32, own).astype(np.uint8)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(own.tobytes())])
+
+
+def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sorted distinct keys, the place of one of each, and sums of the values."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[starts], order[starts], [np.add.reduceat(v[order], starts) if len(key) else v for v in values]
+
+
+def _gathered(training: DataFrame, parts: int) -> DataFrame:
+    """Packed counts of a task's pairs (kind 0) and words (kind 1), by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        tokens: list[np.ndarray] = []
+        words: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            words, counts = list(found), list(found.values())
-            for k in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 50_000], pa.binary()), pa.array(counts[k : k + 50_000], pa.int64())], ["word", "c"])
-            found.clear()
-
+            if not tokens:
+                return
+            w = np.concatenate(tokens)
+            v = np.concatenate([contexts_of(t) for t in tokens])
+            tokens.clear()
+            g, at, (c,) = _summed(pair(v, w), np.ones(len(w), dtype=np.int64))
+            v, w = v[at], w[at]
+            rows: list[tuple[int, int, bytes]] = []
+            for p, s in _slices(g, parts):
+                order = np.argsort(v[s], kind="stable")  # the same context in a row
+                rows.append((0, p, packed(v=v[s][order], w=w[s][order], c=c[s][order].astype(np.uint32))))
+            h, at, (c,) = _summed(np.concatenate([x[0] for x in words]), np.concatenate([x[1] for x in words]))
+            names = pa.concat_arrays([x[2] for x in words]).take(pa.array(at))
+            words.clear()
+            for p, s in _slices(h, parts):
+                own = names[s]
+                length = np.diff(np.frombuffer(own.buffers()[1], dtype=np.int32)[own.offset : own.offset + len(own) + 1])
+                raw = np.frombuffer(b"".join(own.to_pylist()), dtype=np.uint8)
+                rows.append((1, p, packed(h=h[s], c=c[s], length=length.astype(np.uint32), raw=raw)))
+            for k in range(0, len(rows), 16):
+                kind, p, blob = zip(*rows[k : k + 16], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(p, pa.int32()), pa.array(blob, pa.binary())], ["kind", "part", "packed"])
+
+        held = 0
         for batch in batches:
-            for text in batch.column(0):
-                found.update((text.as_py() or "").encode().lower().split())
-                found[b""] += 1
-                if len(found) > COUNTER_WORDS:
+            for _, _, data, bounds in text_slices(batch.column(0)):
+                token, _, first, last = tokens_of(data, bounds)
+                tokens.append(token)
+                h, at, (c,) = _summed(token, np.ones(len(token), dtype=np.int64))
+                words.append((h, c, word_bytes(data, first[at], last[at])))
+                held += len(token)
+                if held > BLOCK_TOKENS:
                     yield from flush()
+                    held = 0
         yield from flush()
 
-    return training.select("text").mapInArrow(lean(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return training.select("text").mapInArrow(lean(run), "kind int, part int, packed binary")
+
+
+def _tables(gathered: DataFrame) -> DataFrame:
+    """The counts of each part, one row for each kind of content.
+
+    kind 0: pairs with several customers (v, w, c and tables t, one each), 1: hashes of pairs with one customer, 2: what
+    the latter add to words h as dishes (k) and as contexts (tables), 3: words.  n1 and n2: pairs or words with one and
+    with two customers.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        kind, p = key[0].as_py(), key[1].as_py()
+        x = unpack_all(rows.column("packed"))
+        out: list[tuple[int, bytes, int, int, int, int]] = []
+        if kind == 0:
+            _, at, (c,) = _summed(pair(x["v"], x["w"]), x["c"].astype(np.int64))
+            v, w = x["v"][at], x["w"][at]
+            many, once = np.flatnonzero(c > 1), np.flatnonzero(c == 1)
+            many = many[np.argsort(v[many], kind="stable")]
+            out.append((0, packed(v=v[many], w=w[many], c=c[many], t=np.ones(len(many), dtype=np.uint32)), len(once), int((c == 2).sum()), 0, 0))
+            out.append((1, packed(g=pair(v[once], w[once])), 0, 0, 0, 0))
+            ones, none = np.ones(len(once), dtype=np.int64), np.zeros(len(once), dtype=np.int64)
+            h, _, (k, tables) = _summed(np.concatenate([w[once], v[once]]), np.concatenate([ones, none]), np.concatenate([none, ones]))
+            out.append((2, packed(h=h, k=k.astype(np.uint32), tables=tables.astype(np.uint32)), 0, 0, 0, 0))
+        else:
+            h, at, (c,) = _summed(x["h"], x["c"])
+            ends = np.cumsum(x["length"].astype(np.int64))
+            length = x["length"][at].astype(np.int64)
+            of = np.repeat(ends[at] - np.cumsum(length), length) + np.arange(int(length.sum()))
+            out.append((3, packed(h=h, c=c, length=length.astype(np.uint32), raw=x["raw"][of]), 0, 0, int(c.sum()), len(h)))
+        names = ["kind", "packed", "n1", "n2", "tokens", "words"]
+        table = pa.table(dict(zip(names, map(pa.array, zip(*out, strict=True)), strict=True)))
+        return table.append_column("part", pa.array([p] * len(out), pa.int32())).cast(pa.schema([("kind", pa.int32()), ("packed", pa.binary()), ("n1", pa.int64()), ("n2", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64()), ("part", pa.int32())]))
+
+    return gathered.groupBy("kind", "part").applyInArrow(run, "kind int, packed binary, n1 long, n2 long, tokens long, words long, part int")
+
+
+def _words(tables: DataFrame) -> DataFrame:
+    """h, word and c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in map(unpacked, batch.column(0).to_pylist()):
+                offsets = np.concatenate([[0], np.cumsum(x["length"])]).astype(np.int32)
+                word = pa.Array.from_buffers(pa.binary(), len(x["h"]), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(x["raw"].tobytes())])
+                whole = pa.RecordBatch.from_arrays([pa.array(as_long(x["h"])), word, pa.array(x["c"])], ["h", "word", "c"])
+                for k in range(0, len(whole), 50_000):
+                    yield whole.slice(k, 50_000)
+
+    return tables.where("kind = 3").select("packed").mapInArrow(lean(run), "h long, word binary, c long")
+
+
+def _tables_of_words(pairs: DataFrame, fixed: bool) -> DataFrame:
+    """h with k and tables: the tables at which it is the dish, and those in its own restaurant. ``fixed``: from the
+    packed sums of pairs with one customer, else from pairs that are seated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in map(unpacked, batch.column(0).to_pylist()):
+                if fixed:
+                    h, k, tables = x["h"], x["k"], x["tables"]
+                else:
+                    t = x["t"].astype(np.int64)
+                    none = np.zeros(len(t), dtype=np.int64)
+                    h, _, (k, tables) = _summed(np.concatenate([x["w"], x["v"]]), np.concatenate([t, none]), np.concatenate([none, t]))
+                whole = pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(k.astype(np.int64)), pa.array(tables.astype(np.int64))], ["h", "k", "tables"])
+                for s in range(0, len(whole), 100_000):
+                    yield whole.slice(s, 100_000)
+
+    return pairs.select("packed").mapInArrow(lean(run), "h long, k long, tables long").groupBy("h").agg(F.sum("k").alias("k"), F.sum("tables").alias("tables"))
 
 
 @dataclass
 class Totals:
+    """Of a kept sweep: ``discount``, ``customers`` and ``tables`` of the restaurant of words, and the spelling."""
+
     tokens: int
     words: int
-    discount: float
+    pair_discount: float
+    discount: list[float]
+    customers: list[int]
+    tables: list[int]
+    spelling: list[Spelling]
+    pair_concentration: float = 1.0
     concentration: float = 10.0
 
+    def word_share(self, k: int, customers: np.ndarray, tables: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Predictive probability in the restaurant of words, in sweep ``k``."""
+        new = self.concentration + self.discount[k] * self.tables[k]
+        return (customers - self.discount[k] * tables + new * spelled) / (self.concentration + self.customers[k])
 
-def _sweep(vocabulary: DataFrame, totals: Totals, spelling: Spelling | None, tables: int, sweep: int, keep: bool) -> DataFrame:
-    """Adds a sweep's predictive probability to ``share`` if ``keep``, then seats every word anew."""
-    sc = vocabulary.sparkSession.sparkContext
-    shared = sc.broadcast(spelling)
-    strength = totals.concentration + totals.discount * tables
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            c, t, share = (np.asarray(batch.column(k)).copy() for k in (1, 2, 3))
-            if shared.value is not None and len(words):
-                p = spelling_probability(shared.value, words)
-                if keep:
-                    share += (c - totals.discount * t + strength * p) / (totals.concentration + totals.tokens)
-                rng = np.random.default_rng([sweep, zlib.crc32(words[0]), len(words)])
-                t = seat(c, strength * p, totals.discount, rng)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c), pa.array(t), pa.array(share)], ["word", "c", "t", "share"])
 
-    return vocabulary.mapInArrow(lean(run), "word binary, c long, t long, share double")
+def _discount(n1: int, n2: int) -> float:
+    return min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
 
 
-def _spelling_counts(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spelling_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Customers of the longest spelling level; at most 32768 * 257 of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,133 +392,313 @@ def _spelling_counts(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
             keys = own
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["key", "n"])
 
-    rows = vocabulary.select("word", "t").mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    rows = words.select("word", "tables").mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     rows = rows.sort_values("key")
     key = rows["key"].to_numpy(np.int64)
     return key // SYMBOLS, key % SYMBOLS, rows["n"].to_numpy(np.int64)
 
 
+def _seat_words(words: DataFrame, totals: Totals, sweep: int) -> DataFrame:
+    """Adds the tables of the restaurant of words, given the sweep before (one table each if there is none)."""
+    shared = words.sparkSession.sparkContext.broadcast(totals)
+    schema = words.withColumn("t", F.lit(0).cast("long")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            now, k = shared.value, np.asarray(batch.column("k"))
+            if now.spelling and len(k):
+                spelled = spelling_probability(now.spelling[-1], batch.column("word").to_pylist())
+                strength = (now.concentration + now.discount[-1] * now.tables[-1]) * spelled
+                t = seat(k, strength, now.discount[-1], np.asarray(batch.column("h")).view(np.uint64), sweep)
+            else:
+                t = np.minimum(k, 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t, pa.int64())], schema.names)
+
+    return words.mapInArrow(lean(run), schema)
+
+
+def _word_shares(seated: DataFrame, totals: Totals, name: str) -> DataFrame:
+    """Adds each word's predictive probability in the restaurant of words, in the last sweep."""
+    shared = seated.sparkSession.sparkContext.broadcast(totals)
+    schema = seated.withColumn(name, F.lit(0.0)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spelled = spelling_probability(shared.value.spelling[-1], batch.column("word").to_pylist())
+            share = shared.value.word_share(-1, np.asarray(batch.column("k")), np.asarray(batch.column("t")), spelled)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(share)], schema.names)
+
+    return seated.mapInArrow(lean(run), schema)
+
+
+def _seat_pairs(pairs: DataFrame, words: DataFrame, totals: Totals, sweep: int) -> DataFrame:
+    """Seats the customers of all pairs anew. ``words``: h, share and tables of the sweep before.  The pairs' earlier
+    tables stay beside them under a name for each sweep."""
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = unpacked(blob)
+                h = np.unique(np.concatenate([x["v"], x["w"]]))
+                for s in range(0, len(h), 100_000):
+                    own = pa.array(as_long(h[s : s + 100_000]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), p, dtype=np.int32)), own], ["part", "h"])
+
+    known = pairs.select("part", "packed").mapInArrow(lean(wanted), "part int, h long").join(words, "h").select("part", "h", "share", "tables")
+    discount, concentration = totals.pair_discount, totals.pair_concentration
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        h = np.asarray(right.column("h").combine_chunks()).view(np.uint64) if len(right) else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(h)
+        h, share, tables = h[order], *(np.asarray(right.column(c).combine_chunks())[order] if len(right) else np.zeros(0) for c in ("share", "tables"))
+        for p, blob in zip(left.column("part").to_pylist(), left.column("packed").to_pylist(), strict=True):
+            x = unpacked(blob)
+            if len(x["c"]):
+                v, w = np.searchsorted(h, x["v"]), np.searchsorted(h, x["w"])
+                strength = (concentration + discount * tables[v]) * share[w]
+                x[f"t{sweep - 1}"] = x["t"]
+                x["t"] = seat(x["c"], strength, discount, pair(x["v"], x["w"]), sweep).astype(np.uint32)
+            else:
+                x[f"t{sweep - 1}"] = x["t"]
+            out.append((p, packed(**x)))
+        return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "packed": pa.array([b for _, b in out], pa.binary())})
+
+    return pairs.select("part", "packed").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(run, "part int, packed binary")
+
+
 @dataclass
 class Model:
-    """``vocabulary``: word, c, share (averaged predictive probability) as a table; ``unknown``: what their shares leave;
-    ``sweeps``: each kept sweep's spelling and weight of a new table, for single words without training tokens."""
+    """``words``: h, word, c and for each kept sweep its share and the tables of its restaurant; ``pairs``: packed pairs
+    with several customers and their tables in each sweep; ``once``: packed hashes of the others."""
 
-    vocabulary: DataFrame
+    words: DataFrame
+    pairs: DataFrame
+    once: DataFrame
     totals: Totals
-    unknown: float
-    sweeps: list[tuple[Spelling, float]]
+    sweeps: list[int]
+    parts: int
+
+
+def _parts(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(8, -(-size // PART_BYTES))
 
 
 def fit(training: DataFrame, burn_in: int = 1, samples: int = 2) -> Model:
     """Learns from all rows of ``training`` (needs text)."""
-    vocabulary = materialize(_counts(training).select("word", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("share")), "vocabulary")
-    row = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
-    totals = Totals(row.n or 0, row.v, min(0.95, max(0.05, row.once / max(1, row.once + 2 * row.twice))))
+    spark, parts = training.sparkSession, _parts(training)
+    tables = materialize(_tables(_gathered(training, parts)), "tables")
+    release(spark)
+    row = tables.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "tokens", "words")]).collect()
+    of = {r.kind: r for r in row}
+    n1, n2 = (of[0].n1, of[0].n2) if 0 in of else (0, 0)
+    totals = Totals(of[3].tokens if 3 in of else 0, of[3].words if 3 in of else 0, _discount(n1, n2), [], [], [], [])
+    fixed = materialize(_tables_of_words(tables.where("kind = 2"), True).select("h", F.col("k").alias("k0"), F.col("tables").alias("tables0")), "words")
+    words = materialize(_words(tables).join(fixed, "h", "left").na.fill(0, ["k0", "tables0"]), "words")
+    pairs = materialize(tables.where("kind = 0").select("part", "packed"), "pairs")
+    once = materialize(tables.where("kind = 1").select("part", "packed"), "pairs")
+    discard(tables, fixed)
+    release(spark)
     kept = []
-    for sweep in range(burn_in + samples + 1):
-        # the spelling of this sweep's tables, its probabilities, and the next tables
-        tables = vocabulary.agg(F.sum("t").alias("t")).first().t or 0
-        spelling = fit_spelling(*_spelling_counts(vocabulary), seed=sweep)
-        keep = sweep > burn_in
-        if keep:
-            kept.append((spelling, (totals.concentration + totals.discount * tables) / (totals.concentration + totals.tokens)))
-        before, vocabulary = vocabulary, materialize(_sweep(vocabulary, totals, spelling, tables, sweep, keep), "vocabulary")
-        discard(before)
-    vocabulary = vocabulary.select("word", "c", (F.col("share") / len(kept)).alias("share"))
-    known = vocabulary.agg(F.sum("share").alias("s")).first().s or 0.0
-    return Model(vocabulary, totals, max(1 - known, 1e-300), kept)
-
-
-def score(docs: DataFrame, model: Model, spell_unknown: bool = False) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(48, -(-size // BUCKET_BYTES))
+    for sweep in range(burn_in + samples):
+        # the restaurant of words and the spelling of this sweep's tables, then the next sweep's pairs
+        ours = words.join(_tables_of_words(pairs, False), "h", "left").na.fill(0, ["k", "tables"])
+        ours = ours.withColumn("k", F.col("k") + F.col("k0")).withColumn("tables", F.col("tables") + F.col("tables0"))
+        seated = materialize(_seat_words(ours, totals, sweep), "words")
+        sums = seated.agg(F.sum("k").alias("k"), F.sum("t").alias("t"), F.count_if(F.col("k") == 1).alias("n1"), F.count_if(F.col("k") == 2).alias("n2")).first()
+        totals.discount.append(_discount(sums.n1, sums.n2))
+        totals.customers.append(sums.k or 0)
+        totals.tables.append(sums.t or 0)
+        totals.spelling.append(fit_spelling(*_spelling_counts(seated.select("word", F.col("t").alias("tables"))), seed=sweep))
+        shares = materialize(_word_shares(seated, totals, "share"), "words")
+        discard(seated, words)
+        if sweep + 1 < burn_in + samples:
+            before, pairs = pairs, materialize(_seat_pairs(pairs, shares.select("h", "share", "tables"), totals, sweep + 1), "pairs")
+            discard(before)
+        kept_columns = [c for c in shares.columns if c.startswith(("share_", "tables_"))]
+        now = [F.col("share").alias(f"share_{sweep}"), F.col("tables").alias(f"tables_{sweep}")] if sweep >= burn_in else []
+        kept += [sweep] if now else []
+        words = shares.select("h", "word", "c", "k0", "tables0", *kept_columns, *now)
+        words._shared_path = shares._shared_path
+        release(spark)
+    for name in ("discount", "customers", "tables", "spelling"):
+        setattr(totals, name, [x for s, x in enumerate(getattr(totals, name)) if s in kept])
+    return Model(words, pairs, once, totals, kept, parts)
+
+
+def _buckets(docs: DataFrame) -> DataFrame:
+    """bucket and packed rows of documents: what a task reads in a row, about PART_BYTES of text."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The documents of a task by bucket, compressed."""
-        kept: list[pa.RecordBatch] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if kept:
-                whole = pa.Table.from_batches(kept).combine_chunks()
-                kept.clear()
-                bucket = np.asarray(whole.column(0))
-                order = np.argsort(bucket, kind="stable")
-                for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                    rows = whole.select(["doc_id", "text"]).take(pa.array(own)).combine_chunks()
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                        out.write_table(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[own[0]])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "packed"])
-
+            if held:
+                rows = pa.Table.from_batches(held)
+                held.clear()
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "packed"])
+
+        size = 0
         for batch in batches:
-            kept.append(batch)
-            if sum(b.nbytes for b in kept) > 4 * BUCKET_BYTES:
-                yield from flush()
+            ends = np.cumsum(np.nan_to_num(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)))
+            at = 0
+            while at < len(batch):
+                done = ends[at - 1] if at else 0
+                n = max(1, int(np.searchsorted(ends, done + PART_BYTES - size, side="right")) - at)
+                held.append(batch.slice(at, n))
+                size += ends[min(at + n, len(batch)) - 1] - done
+                at += n
+                if size >= PART_BYTES or at < len(batch):
+                    yield from flush()
+                    size = 0
         yield from flush()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text")
-    together = keyed.mapInArrow(lean(pack), "bucket int, packed binary").repartition("bucket")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "bucket long, packed binary")
 
-    def unpack(packed: pa.Array) -> pa.Table:
-        return pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for p in packed])
 
-    def words_of(texts: pa.ChunkedArray) -> Iterator[list[bytes]]:
-        for text in texts:
-            yield (text.as_py() or "").encode().lower().split()
+def _rows(packed_rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(packed_rows)).read_all()
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct words of each bucket. A bucket's documents are in one task, mostly in a row; a word that comes
-        twice for a bucket does no harm."""
-        at, found = None, {b""}
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            listed = list(found) if at is not None else []
-            for k in range(0, len(listed), 100_000):
-                part = listed[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int32()), pa.array(part, pa.binary())], ["bucket", "word"])
+def _all_tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, list]:
+    """Hashes of all tokens of a bucket, how many each text has, and where to find the bytes of a token."""
+    token, n, places = [], [], []
+    for _, _, data, bounds in text_slices(texts):
+        t, k, first, last = tokens_of(data, bounds)
+        token.append(t), n.append(k), places.append((data, first, last))
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none.astype(np.uint64), *token]), np.concatenate([none, *n]), places
 
-        for batch in batches:
-            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if bucket != at:
-                    yield from flush()
-                    at, found = bucket, {b""}
-                for words in words_of(unpack([packed]).column("text")):
-                    found.update(words)
-        yield from flush()
 
-    requests = together.sortWithinPartitions("bucket").mapInArrow(lean(wanted), "bucket int, word binary")
-    known = requests.join(model.vocabulary, "word").select("bucket", "word", "c", "share")
-    shared = spark.sparkContext.broadcast(model.sweeps if spell_unknown else [])
-    totals, unknown = model.totals, model.unknown
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
+    spark, parts, sweeps = docs.sparkSession, model.parts, model.sweeps
+    kind = docs.schema["doc_id"].dataType
+    buckets = materialize(_buckets(docs), "buckets")
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct words (kind 1) and pairs (kind 0) of each bucket, by part."""
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                token, _, _ = _all_tokens(_rows(blob).column("text"))
+                asked = [(1, p, packed(h=h[s])) for h in [np.unique(token)] for p, s in _slices(h, parts)]
+                asked += [(0, p, packed(h=g[s])) for g in [np.unique(pair(contexts_of(token), token))] for p, s in _slices(g, parts)]
+                for k in range(0, len(asked), 16):
+                    of, p, data = zip(*asked[k : k + 16], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(of), pa.int64()), pa.array(of, pa.int32()), pa.array(p, pa.int32()), pa.array(data, pa.binary())], ["bucket", "kind", "part", "packed"])
+
+    requests = buckets.mapInArrow(lean(wanted), "bucket long, kind int, part int, packed binary")
+
+    def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words as packed rows by part."""
+        for batch in batches:
+            h = np.asarray(batch.column(0)).view(np.uint64)
+            order = np.argsort(h)
+            columns = {"h": h[order]} | {name: np.asarray(batch.column(name))[order] for name in batch.schema.names[1:]}
+            found = [(p, packed(**{name: x[s] for name, x in columns.items()})) for p, s in _slices(columns["h"], parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], ["part", "packed"])
+
+    shown = [name for s in sweeps for name in (f"share_{s}", f"tables_{s}")]
+    words = model.words.select("h", "c", *shown).mapInArrow(lean(by_part), "part int, packed binary")
+    tables = words.select(F.lit(1).alias("kind"), "part", "packed")
+    for number, pairs in ((0, model.pairs), (2, model.once)):
+        tables = tables.union(pairs.select(F.lit(number).alias("kind"), "part", "packed"))
+    tables = tables.select((F.col("kind") == 1).cast("int").alias("of"), "kind", "part", "packed")
+    # the tables of a bucket's pairs in the last sweep have no name of their own yet
+    last = sweeps[-1] if sweeps else 0
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return pa.table({"bucket": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "packed": pa.array([], pa.binary())})
+        of, of_kind = left.column("kind")[0].as_py(), np.asarray(right.column("kind").combine_chunks()) if len(right) else np.zeros(0, dtype=np.int32)
+        take = lambda k: unpack_all(right.column("packed").take(pa.array(np.flatnonzero(of_kind == k)))) if (of_kind == k).any() else {}
+        if of == 1:
+            x = take(1)
+            names = ["c", *shown]
+        else:
+            x, single = take(0), take(2).get("g", np.zeros(0, dtype=np.uint64))
+            if x:
+                x[f"t{last}"] = x["t"]
+            names = ["c", *[f"t{s}" for s in sweeps]]
+            ones = np.ones(len(single), dtype=np.uint32)
+            x = {"h": np.concatenate([pair(x["v"], x["w"]), single]) if x else single} | {name: np.concatenate([x[name].astype(np.uint32), ones]) if x else ones for name in names}
+        h = x.get("h", np.zeros(0, dtype=np.uint64))
+        order = np.argsort(h)
+        h = h[order]
+        columns = {name: x[name][order] if name in x else np.zeros(0) for name in names}
+        out = []
+        for blob in left.column("packed").to_pylist():
+            asked = unpacked(blob)["h"]
+            at = np.minimum(np.searchsorted(h, asked), max(len(h) - 1, 0))
+            hit = h[at] == asked if len(h) else np.zeros(len(asked), dtype=bool)
+            found = np.flatnonzero(hit)
+            out.append(packed(h=asked[found], **{name: c[at[found]] for name, c in columns.items()}) if of == 1 else packed(hit=np.packbits(hit), n=np.array([len(asked)]), **{name: c[at[found]] for name, c in columns.items()}))
+        return pa.table({"bucket": left.column("bucket"), "kind": left.column("kind"), "part": left.column("part"), "packed": pa.array(out, pa.binary())})
+
+    answers = requests.groupBy("kind", "part").cogroup(tables.groupBy("of", "part")).applyInArrow(answer, "bucket long, kind int, part int, packed binary")
+    answers = materialize(answers, "answers")
+    release(spark)
+    shared = spark.sparkContext.broadcast(model.totals)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = right.column("word").to_pylist()
-        at = dict(zip(words, range(len(words)), strict=True))
-        docs = unpack(left.column("packed")) if len(left) else None
-        texts = [w + [b""] for w in words_of(docs.column("text"))] if len(left) else []
-        new = list(set().union(*texts).difference(at)) if texts else []
-        at.update(zip(new, range(len(words), len(words) + len(new)), strict=True))
-        c = np.concatenate([np.asarray(right.column("c")), np.zeros(len(new), dtype=np.int64)])
-        unseen = np.full(len(new), unknown)
-        if spell_unknown:
-            unseen = sum((weight * spelling_probability(s, new) for s, weight in shared.value), np.zeros(len(new))) / len(shared.value)
-        value = np.log10(np.maximum(np.concatenate([np.asarray(right.column("share")), unseen]), 1e-300))
-        base = np.log10((c + 0.5) / (totals.tokens + 0.5 * (totals.words + 1)))
-        n, n_known, base_score, own = [], [], [], []
-        for text in texts:
-            own_words = np.fromiter(map(at.__getitem__, text), dtype=np.int64, count=len(text))
-            n.append(len(own_words))
-            n_known.append(int((c[own_words] > 0).sum()))
-            base_score.append(float(base[own_words].sum()))
-            own.append(float(value[own_words].sum()))
-        ids = docs.column("doc_id") if len(left) else pa.array([], pa.int64())
-        return pa.table({"doc_id": ids, "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(own, pa.float64())})
-
-    out = together.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        m = shared.value
+        ids, n_all, n_known, base_all, score_all = [], [], [], [], []
+        right = right.sort_by([("kind", "ascending"), ("part", "ascending")]) if len(right) else right
+        of_kind = np.asarray(right.column("kind").combine_chunks()) if len(right) else np.zeros(0)
+        for blob in left.column("packed").to_pylist():
+            rows = _rows(blob)
+            token, n, places = _all_tokens(rows.column("text"))
+            h, first, word = np.unique(token, return_index=True, return_inverse=True)
+            x = unpack_all(right.column("packed").take(pa.array(np.flatnonzero(of_kind == 1))))
+            known = np.searchsorted(x["h"], h)
+            known = np.minimum(known, max(len(x["h"]) - 1, 0))
+            is_known = x["h"][known] == h if len(x["h"]) else np.zeros(len(h), dtype=bool)
+            c = np.where(is_known, x["c"][known] if len(x["h"]) else 0, 0)
+            # bytes of the words without training tokens
+            new = np.flatnonzero(~is_known)
+            starts = np.cumsum([0, *[len(f) for _, f, _ in places]])
+            slice_of = np.searchsorted(starts, first[new], side="right") - 1
+            spelled_words: list[bytes] = [b""] * len(new)
+            for s, (data, begin, stop) in enumerate(places):
+                own = np.flatnonzero(slice_of == s)
+                at = first[new[own]] - starts[s]
+                for k, w in zip(own.tolist(), word_bytes(data, begin[at], stop[at]).to_pylist(), strict=True):
+                    spelled_words[k] = w
+            g, pair_of = np.unique(pair(contexts_of(token), token), return_inverse=True)
+            y = [unpacked(b) for b in right.column("packed").take(pa.array(np.flatnonzero(of_kind == 0))).to_pylist()]
+            hit = np.concatenate([np.unpackbits(b["hit"], count=int(b["n"][0])) for b in y]).astype(bool)
+            seen = {name: np.zeros(len(g)) for name in ["c", *[f"t{s}" for s in sweeps]]}
+            for name, values in seen.items():
+                values[hit] = np.concatenate([b[name] for b in y])
+            context = np.concatenate([[np.searchsorted(h, END)], word[:-1]])
+            total = c[context]
+            mean = np.zeros(len(token))
+            for k, s in enumerate(sweeps):
+                share = np.where(is_known, x[f"share_{s}"][known] if len(x["h"]) else 0.0, 0.0)
+                if len(new):
+                    share[new] = m.word_share(k, np.zeros(len(new)), np.zeros(len(new)), spelling_probability(m.spelling[k], spelled_words))
+                tables = np.where(is_known, x[f"tables_{s}"][known] if len(x["h"]) else 0, 0)[context]
+                back = (m.pair_concentration + m.pair_discount * tables) * share[word]
+                here = seen["c"][pair_of] - m.pair_discount * seen[f"t{s}"][pair_of]
+                mean += np.where(total > 0, (here + back) / (m.pair_concentration + total), share[word])
+            value = np.log10(np.maximum(mean / len(sweeps), 1e-300))
+            base = np.log10((c + 0.5) / (m.tokens + 0.5 * (m.words + 1)))[word]
+            at = np.cumsum(n) - n
+            ids.append(rows.column("doc_id"))
+            n_all.append(n)
+            for kept, values in ((n_known, (c > 0).astype(np.int64)[word]), (base_all, base), (score_all, value)):
+                kept.append(np.add.reduceat(values, at) if len(at) else values)
+        if not ids:
+            return pa.table({"doc_id": pa.array([], docs_type), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+        return pa.table({"doc_id": pa.chunked_array([c for i in ids for c in i.chunks], docs_type), "n_tokens": np.concatenate(n_all).astype(np.int64), "n_known": np.concatenate(n_known).astype(np.int64), "base_score": np.concatenate(base_all).astype(float), "score": np.concatenate(score_all).astype(float)})
+
+    docs_type = to_arrow_type(kind)
+    out = buckets.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, f"doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(model.totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def perplexity(scores: DataFrame) -> DataFrame:
