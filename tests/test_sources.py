@@ -185,3 +185,24 @@ def test_reading_files(spark, tmp_path):
     files = src.read_files(spark, str(tmp_path))
     assert sorted(r.file.rsplit("/", 1)[-1] for r in files.collect()) == ["a.ex", "b.heex"]
     assert sorted(r.code for r in src.validate(files, ["elixir.no_then", "heex.require_image_alt"]).collect()) == ["elixir.no_then", "heex.require_image_alt"]
+
+
+def test_every_text_has_its_issues_at_their_places():
+    """All texts of the source queries, with lines and columns written down beside them."""
+    from veriframe.operators.source import CHECKS, _sorted
+    from veriframe.plans import source_queries as q
+    from veriframe.sources.code import Source
+
+    assert set(q.EXAMPLES) == set(q.PLACES) == set(CHECKS) and set(q.MORE) <= set(CHECKS)
+    for check, e in q.EXAMPLES.items():
+        for file, text, places in q.variants(check):
+            found = _sorted(CHECKS[check].run(Source(file.replace("{n}", "4"), text), e.options))
+            assert " ".join(f"{line}:{column}" for (line, column), _ in found) == places, (check, text)
+
+
+def test_unclosed_templates_have_no_tokens():
+    from veriframe.sources import templates
+
+    for text in ('<p class="a"', "<p class='a>", "<p {@x", "{@x", "<!-- x", "<%= x", "</p", '<p id={%{a: "}"}'):
+        assert templates.read(text).tokens == [], text
+    assert len(templates.read('<p id={%{a: "}"}}>x</p>').tokens) == 3

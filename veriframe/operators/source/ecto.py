@@ -30,13 +30,15 @@ def repo_all(x: Any, piped: bool, *functions: str):
 def composable_preload_queries(src: Source, o) -> Found:
     for d in src.definitions:
         if d.name.endswith("_preload_query"):
+            # names that stand for a literal of the helper itself
+            fixed = {x.args[0].name for x in walk(d.body) if isinstance(x, Node) and x.name == "=" and is_var(x.args[0]) and not any(is_var(y) for y in walk(x.args[1]))}
+            given = lambda what: isinstance(what, Node) and what.name == "^" and not is_var(what.args[0], *fixed or ("",))  # noqa: B023, E731
             for x in walk(d.body):
                 c = call(x)
                 if c and c.function == "preload" and c.module in (None, "Ecto.Query") and c.args:
-                    what = c.args[-1]
-                    if not (isinstance(what, Node) and what.name == "^"):
+                    if not given(c.args[-1]):
                         yield x, "a preload helper should take its preloads: preload(^preloads)"
-                elif c and c.function == "from" and "preload" in (k := keywords(c.args[-1] if c.args else None)) and not (isinstance(k["preload"], Node) and k["preload"].name == "^"):
+                elif c and c.function == "from" and "preload" in (k := keywords(c.args[-1] if c.args else None)) and not given(k["preload"]):
                     yield x, "a preload helper should take its preloads: preload: ^preloads"
 
 
@@ -251,7 +253,8 @@ def projection(f: Any) -> bool:
     if isinstance(body, Tup):
         return bool(body.items) and all(map(field, body.items))
     if isinstance(body, Node) and body.name == "%{}":
-        return bool(body.args) and all(isinstance(v, Node) and field(v) for a in body.args for v in keywords(a).values()) and all(keywords(a) for a in body.args)
+        values = [v for a in body.args for v in ([a.args[1]] if isinstance(a, Node) and a.name == "=>" else keywords(a).values() or [None])]
+        return bool(values) and all(map(field, values))
     return field(body)
 
 

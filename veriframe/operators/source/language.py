@@ -11,7 +11,9 @@ from .ecto import projection
 from .registry import Found, check
 
 #: Modules of the standard libraries, by first segment.
-STANDARD = frozenset("Access Agent Application Atom Base Bitwise Calendar Code Date DateTime Duration Enum Exception File Float Function GenServer Integer IO Kernel Keyword List Macro Map MapSet Module NaiveDateTime Node OptionParser Path Port Process Protocol Range Record Regex Registry Stream String StringIO Supervisor System Task Time Tuple URI Version".split())
+STANDARD = frozenset("Access ArgumentError ArithmeticError Behaviour Collectable Config DynamicSupervisor Enumerable ErlangError Inspect JSON KeyError PartitionSupervisor RuntimeError Agent Application Atom Base Bitwise Calendar Code Date DateTime Duration Enum Exception File Float Function GenServer Integer IO Kernel Keyword List Macro Map MapSet Module NaiveDateTime Node OptionParser Path Port Process Protocol Range Record Regex Registry Stream String StringIO Supervisor System Task Time Tuple URI Version".split())
+#: Modules of Erlang's kernel and standard library.
+ERLANG = frozenset("application array atomics base64 beam_lib binary c calendar code counters dets dict digraph digraph_utils disk_log edlin epp erl_anno erl_ddll erl_epmd erl_error erl_eval erl_expand_records erl_features erl_internal erl_lint erl_parse erl_pp erl_scan erl_tar erlang erpc error_handler error_logger escript ets file file_sorter filelib filename gb_sets gb_trees gen_event gen_fsm gen_sctp gen_server gen_statem gen_tcp gen_udp global global_group heart inet inet_res init io io_lib json lists log_mf_h logger logger_disk_log_h logger_filters logger_formatter logger_handler logger_std_h maps math ms_transform net net_adm net_kernel orddict ordsets os peer persistent_term pg pool prim_file proc_lib proplists qlc queue rand random re rpc seq_trace sets shell shell_default slave socket sofs string supervisor supervisor_bridge sys timer trace unicode uri_string user win32reg wrap_log_reader zip zlib".split())
 COMPARE = ("==", "===", "!=", "!==")
 
 
@@ -160,7 +162,7 @@ def _spec_params(tree: Any) -> list:
 
 @check("elixir.named_spec_params", "readability")
 def named_spec_params(src: Source, o) -> Found:
-    for _, tree, node in _types(src, "spec", "callback", "macrocallback"):
+    for _, tree, node in _types(src, "spec"):
         params = _spec_params(tree)
         bare = [p for p in params if not (isinstance(p, Node) and p.name == "::")]
         if bare and len(params) >= o.get("min_params", 1):
@@ -253,9 +255,14 @@ def no_passthrough_wrapper(src: Source, o) -> Found:
     for d in src.definitions:
         count[d.module, d.name, len(d.params)] = count.get((d.module, d.name, len(d.params)), 0) + 1
     for d in src.definitions:
-        c = call(d.body)
-        if d.kind in kinds and d.params and d.guard is None and count[d.module, d.name, len(d.params)] == 1 and all(map(is_var, d.params)) and c:
-            if [show(a) for a in c.args] == [p.name for p in d.params] and (c.module, c.function) != (None, d.name):
+        # a parameter may be matched with a struct beside its name
+        params = [next((y for y in p.args if is_var(y)), p) if isinstance(p, Node) and p.name == "=" and any(isinstance(y, Node) and y.name == "%" and not y.args[1].args for y in p.args) else p for p in d.params]
+        body, first = d.body, []
+        if isinstance(body, Node) and body.name == "|>" and is_var(body.args[0]):
+            first, body = [body.args[0]], body.args[1]
+        c = call(body, bool(first))
+        if d.kind in kinds and params and d.guard is None and count[d.module, d.name, len(params)] == 1 and all(map(is_var, params)) and c:
+            if [show(a) for a in first + c.args] == [p.name for p in params] and (c.module, c.function) != (None, d.name):
                 yield d.node, f"{d.name} only calls {c.function}"
 
 
@@ -284,13 +291,21 @@ def no_raise(src: Source, o) -> Found:
 
 @check("elixir.no_remote_calls_in_module_attributes", "design")
 def no_remote_calls_in_module_attributes(src: Source, o) -> Found:
+    full = {}
+    for c in src.calls:
+        if c.function == "alias" and c.module is None and c.args and (name := alias_name(c.args[0])):
+            as_ = alias_name(keywords(c.args[-1]).get("as")) if len(c.args) > 1 else None
+            full[as_ or name.rsplit(".", 1)[-1]] = name
     for _, module in src.modules:
         for x in src.own(module):
             if isinstance(x, Node) and x.name == "@" and isinstance(x.args[0], Node) and x.args[0].args and x.args[0].name not in ("spec", "type", "typep", "opaque", "callback", "macrocallback"):
-                for y in walk(x.args[0].args, skip=lambda z: isinstance(z, Node) and z.name in ("fn", "quote", "&")):
+                remote = lambda z: isinstance(z, Node) and z.name == "&" and isinstance(z.args[0], Node) and z.args[0].name == "/"
+                for y in walk(x.args[0].args, skip=lambda z: isinstance(z, Node) and (z.name in ("fn", "quote") or (z.name == "&" and not remote(z)))):  # noqa: B023
                     c = call(y)
-                    if c and c.module and c.module != "__MODULE__":
-                        standard = c.module.startswith(":") or c.module.split(".")[0] in STANDARD
+                    if c and c.module:
+                        root, _, below = c.module.partition(".")
+                        owner = full.get(root, root) + ("." + below if below else "")
+                        standard = owner[1:] in ERLANG if owner.startswith(":") else owner.split(".")[0] in STANDARD
                         if not (standard and o.get("allow_standard_library", True)):
                             yield y, f"{c.module}.{c.function} runs when the module is compiled"
 

@@ -41,7 +41,7 @@ def no_duplicate_static_ids(src: Source, o) -> Found:
     for template in src.templates:
         seen = set()
         for tag in template.tags:
-            value = tag.static("id")
+            value = tag.static("id") if tag.kind == "tag" else None
             if value is not None and value in seen:
                 yield tag.get("id"), f"the id {value} is used twice in one template"
             seen.add(value)
@@ -80,8 +80,9 @@ def _expressions(template: Template):
 @check("heex.no_javascript_href", "warning")
 def no_javascript_href(src: Source, o) -> Found:
     for tag in _tags(src, "a"):
-        if (tag.static("href") or "").lstrip().lower().startswith("javascript:"):
-            yield tag.get("href"), "a link must not run javascript:"
+        a = next((a for a in tag.attrs if a.name.lower() == "href"), None)
+        if a and a.kind == "string" and a.value.lstrip().lower().startswith("javascript:"):
+            yield a, "a link must not run javascript:"
 
 
 @check("heex.prefer_link_for_navigation", "warning")
@@ -191,12 +192,11 @@ def require_loading_state_for_submit(src: Source, o) -> Found:
 
 @check("heex.require_target_blank_rel", "warning")
 def require_target_blank_rel(src: Source, o) -> Found:
-    for template in src.templates:
-        for tag in template.tags:
-            rel = tag.get("rel")
-            if (tag.static("target") or "").lower() == "_blank" and not tag.spread and not (rel and rel.kind == "expr"):
-                if "noopener" not in (tag.static("rel") or "").lower().split():
-                    yield tag, 'target="_blank" needs rel="noopener"'
+    for tag in _tags(src):
+        rel = tag.get("rel")
+        if (tag.static("target") or "").lower() == "_blank" and not tag.spread and not (rel and rel.kind == "expr"):
+            if "noopener" not in (tag.static("rel") or "").lower().split():
+                yield tag, 'target="_blank" needs rel="noopener"'
 
 
 @check("heex.design_system.no_arbitrary_spacing", "design")

@@ -1,7 +1,7 @@
-"""A query for each source check: suppliers stand for files, half of them with a violation.
+"""A query for each source check: suppliers stand for files, by turns with each of a check's texts.
 
-Every check has a faulty and a clean text; the SQL side knows which supplier has which, and how many issues the faulty
-one has.
+Every check has a faulty and a clean text, and some have more; the SQL side knows which supplier has which, and on what
+lines and columns the issues are.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ EXAMPLES: dict[str, Example] = {
     "elixir.no_param_extraction_in_function_head": Example(_f("    fn %{id: id} -> id end", "run(%{name: name})"), _f("    x", "run(%{kind: :a, n: n} = x) when n > 0"), 2),
     "elixir.no_passthrough_wrapper": Example(_m("  defp wrap(a, b), do: Other.call(a, b)\n  def run(a), do: wrap(a, 1)"), _m("  defp wrap(a, b), do: Other.call(b, a)\n  def run(a), do: wrap(a, 1)")),
     "elixir.no_raise": Example(_f('    raise "no"\n    Repo.get!(Post, x)\n    {:ok, y} = fetch(x)'), _f("    y = fetch(x)\n    {a, b} = y"), 3),
-    "elixir.no_remote_calls_in_module_attributes": Example(_m("  @limit App.Config.limit()"), _m("  @limit String.length(\"abc\")\n  @fun &App.Config.limit/0")),
+    "elixir.no_remote_calls_in_module_attributes": Example(_m("  @limit App.Config.limit()"), _m("  @limit String.length(\"abc\")\n  @fun fn -> App.Config.limit() end")),
     "elixir.no_result_tuple_argument": Example(_m("  def run({:ok, x}, y), do: {x, y}"), _m("  def run(y, {:ok, x}), do: {x, y}")),
     "elixir.no_then": Example(_f("    x |> then(&work/1)\n    then(x, &work/1)"), _f("    work(x)"), 2),
     "elixir.no_try_rescue": Example(_f("    try do\n      x\n    rescue\n      e -> e\n    end"), _f("    try do\n      x\n    after\n      done()\n    end")),
@@ -116,19 +116,139 @@ EXAMPLES: dict[str, Example] = {
 }
 
 
-def files(spark: SparkSession, sf_dir: str, e: Example) -> DataFrame:
-    """A file for each supplier; even ones are faulty."""
-    even = F.col("s_suppkey") % 2 == 0
+#: Where the issues of each faulty text are, as line:column.
+PLACES: dict[str, str] = {
+    "ecto.composable_preload_queries": "2:41",
+    "ecto.context_owns_schema_queries": "3:21",
+    "ecto.error_changeset_pattern_match": "4:7",
+    "ecto.named_binding": "3:10 4:13",
+    "ecto.no_and_in_where": "3:28 4:37",
+    "ecto.no_data_changes_in_schema_migrations": "3:10 4:13",
+    "ecto.no_repo_preload_after_query": "3:32 5:10",
+    "ecto.no_repo_transaction": "3:10",
+    "ecto.own_context_for_schema": "1:1",
+    "ecto.pipe_based_queries": "3:5",
+    "ecto.prefer_datetime_over_date": "3:5",
+    "ecto.prefer_order_by_over_repo_all_enum_sort": "3:29 4:10",
+    "ecto.prefer_repo_aggregate_count": "3:29 4:5 5:31",
+    "ecto.prefer_repo_one_over_all_first": "3:29 4:5 5:29",
+    "ecto.prefer_select_over_repo_all_enum_map": "3:29 4:10",
+    "ecto.use_my_app_schema": "2:3",
+    "elixir.app_module_acronym_casing": "2:9",
+    "elixir.doc_before_spec": "3:3",
+    "elixir.filter_reject_first": "3:38 4:10",
+    "elixir.float_usage": "3:11 4:7",
+    "elixir.fully_specified_struct_types": "2:14",
+    "elixir.fully_typed_opts": "2:18 3:18",
+    "elixir.named_spec_params": "2:3",
+    "elixir.no_catch_all_in_with_else": "6:7",
+    "elixir.no_end_of_day_time": "3:21",
+    "elixir.no_extra_public_behaviour_functions": "4:3",
+    "elixir.no_low_level_process_primitives": "3:13 4:15 5:10",
+    "elixir.no_param_extraction_in_function_head": "2:11 3:8",
+    "elixir.no_passthrough_wrapper": "2:3",
+    "elixir.no_raise": "3:5 4:10 5:14",
+    "elixir.no_remote_calls_in_module_attributes": "2:21",
+    "elixir.no_result_tuple_argument": "2:3",
+    "elixir.no_then": "3:10 4:5",
+    "elixir.no_try_rescue": "3:5",
+    "elixir.prefer_block_if": "3:5",
+    "elixir.prefer_empty_list_checks": "3:7 4:8",
+    "elixir.prefer_enum_count": "3:5 4:17",
+    "elixir.prefer_enum_uniq_by": "3:36",
+    "elixir.prefer_list_type_syntax": "2:3",
+    "elixir.reject_count": "3:38",
+    "elixir.simple_tagged_tuple_values": "3:5 4:5",
+    "elixir.use_maybe_in_function_name": "2:3",
+    "elixir.with_else_clause": "3:5",
+    "heex.no_duplicate_static_ids": "4:22",
+    "heex.no_element_spacing": "4:15 4:20",
+    "heex.no_indirect_assign_access": "4:8 4:37",
+    "heex.no_javascript_href": "4:8",
+    "heex.prefer_link_for_navigation": "4:10",
+    "heex.prefer_native_interactive_element": "4:5",
+    "heex.require_accessible_button_text": "4:5",
+    "heex.require_button_type": "4:5",
+    "heex.require_image_alt": "4:5",
+    "heex.require_label_for_input": "4:5 4:19",
+    "heex.require_link_href": "4:5",
+    "heex.require_link_text": "4:5",
+    "heex.require_loading_state_for_submit": "4:26 4:65",
+    "heex.require_target_blank_rel": "4:5",
+    "heex.design_system.no_arbitrary_spacing": "4:8 4:37",
+    "phoenix.context_function_naming": "2:3 3:3 4:3",
+    "phoenix.no_repo_in_controller": "3:14",
+    "phoenix.uri_decode_query": "3:9",
+    "phoenix.use_verified_routes": "3:14 4:21",
+    "phoenix_live_view.no_inline_assign_in_return_tuple": "3:39 4:35",
+    "phoenix_live_view.require_explicit_connection_state_handling_in_mount": "3:3",
+    "phoenix_live_view.require_function_component_attrs": "3:3",
+    "testing.no_describe_blocks": "3:3",
+    "testing.no_global_state_in_tests": "3:17 4:12",
+    "testing.no_setup_in_tests": "2:3 5:3",
+    "testing.no_tests_in_test_dir": "1:1",
+    "testing.prefer_selector_assertions_for_html": "3:5",
+}
+
+#: Further texts of a check, with the places of their issues.
+MORE: dict[str, list[tuple[str, str]]] = {
+    "ecto.composable_preload_queries": [
+        (_m("  def a_preload_query(q) do\n    preloads = [:file, author: :team]\n    q |> preload(^preloads)\n  end"), "4:10"),
+        (_m("  def a_preload_query(q, preloads) do\n    q |> preload(^preloads)\n  end\n  def b_preload_query(q, x) do\n    preloads = [x]\n    preload(q, ^preloads)\n  end"), ""),
+    ],
+    "ecto.no_and_in_where": [(_m("  def run(x) do\n    from(p in Post, where: p.a == 1, where: p.b == 2)\n  end"), "")],
+    "ecto.prefer_select_over_repo_all_enum_map": [
+        (_f('    x |> Repo.all() |> Enum.map(&%{"role" => &1.role, "text" => &1.text})\n    x |> Repo.all() |> Enum.map(fn m -> %{"role" => m.role, "text" => m.text} end)'), "3:29 4:29"),
+        (_f('    x |> Repo.all() |> Enum.map(&%{"role" => work(&1.role)})\n    x |> Repo.all() |> Enum.map(fn m -> %{} end)'), ""),
+    ],
+    "elixir.named_spec_params": [(_m("  @callback handle(Id.t(), integer()) :: :ok\n  @macrocallback build(term()) :: Macro.t()"), ""), (_m("  @spec a(x :: integer()) :: :ok\n  @spec b(term()) :: :ok\n  @spec c() :: :ok"), "3:3")],
+    "elixir.no_passthrough_wrapper": [
+        (_m("  def call(x), do: wrap(x)\n  defp wrap(x), do: x |> String.trim()\n  defp day(%DateTime{} = at), do: DateTime.to_iso8601(at)"), "3:3 4:3"),
+        (_m("  defp wrap(x), do: x |> String.trim() |> String.upcase()\n  defp day(%DateTime{year: y} = at), do: show(at)\n  defp turn(a, b), do: b |> Other.call(a)"), ""),
+    ],
+    "elixir.no_remote_calls_in_module_attributes": [
+        (_m("  @a __MODULE__.values()\n  @b __MODULE__.Nested.values()\n  @c &App.Config.limit/1"), "2:17 3:24 4:18"),
+        (_m("  alias App.Enum\n  @a Enum.values()"), "3:11"),
+        (_m("  alias Calendar.ISO, as: Days\n  @a Days.days_in_era(1)\n  @b Elixir.Enum.uniq([1])\n  @c :maps.from_list([])\n  @d App.Posts\n  @e fn x -> App.work(x) end"), ""),
+        (_m("  @a :app_native.limits()\n  @b Map.new(a: App.Config.limit())"), "2:18 3:28"),
+    ],
+    "heex.no_duplicate_static_ids": [(_h('<.field id="a" /><.field id="a" /><Form id="b" /><Form id="b" />'), ""), (_h('<p id="a"></p>\n    <i id="a"></i><b id="a"></b>'), "5:8 5:22")],
+    "heex.no_element_spacing": [(_h('<div class="mt-4"'), ""), (_h('<div class="mt-4">\n    <p class="gap-4 ml-auto">'), "4:17 5:21")],
+    "heex.no_javascript_href": [(_h("<a HREF=\"javascript:go()\">x</a><a href={@x}>y</a><.link href=\"javascript:go()\">z</.link>"), "4:8")],
+    "heex.prefer_native_interactive_element": [(_h('<div phx-click="save"'), "")],
+    "heex.require_accessible_button_text": [(_h('<button type="button"'), ""), (_h("<button>\n    </button><button> {@x} </button>"), "4:5")],
+    "heex.require_button_type": [(_h("<button"), ""), (_h("<button>x</button><!-- <button> "), "")],
+    "heex.require_image_alt": [(_h('<img src="x"'), ""), (_h('<img src={@x'), "")],
+    "heex.require_target_blank_rel": [(_h('<.link target="_blank" href="/">x</.link>'), ""), (_h('<a target="_BLANK" rel="noreferrer">x</a><form target="_blank"></form>'), "4:5 4:46")],
+    "testing.no_describe_blocks": [
+        (_m('  use ExUnit.Case\n  Elixir.ExUnit.Case.describe "x" do\n    test "y" do\n      assert true\n    end\n  end'), "3:22"),
+        (_m('  use ExUnit.Case\n  alias Elixir.ExUnit.Case, as: Tests\n  Tests.describe "x" do\n    :ok\n  end\n  Other.describe "x" do\n    :ok\n  end'), "4:9"),
+    ],
+}
+
+
+def variants(check: str) -> list[tuple[str, str, str]]:
+    """File, text and places of the issues, for the supplier numbers modulo their count."""
+    e = EXAMPLES[check]
+    return [(e.file, e.bad, PLACES[check]), (e.good_file or e.file, e.good, ""), *[(e.file, text, at) for text, at in MORE.get(check, [])]]
+
+
+def files(spark: SparkSession, sf_dir: str, check: str) -> DataFrame:
+    """A file for each supplier."""
     name = lambda pattern: F.concat(F.lit(pattern.split("{n}")[0]), F.col("s_suppkey").cast("string"), F.lit(pattern.split("{n}")[1]))
-    path = F.when(even, name(e.file)).otherwise(name(e.good_file or e.file))
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", path.alias("file"), F.when(even, e.bad).otherwise(e.good).alias("content"))
+    given = variants(check)
+    at, path, content = F.col("s_suppkey") % len(given), name(given[-1][0]), F.lit(given[-1][1])
+    for k, (file, text, _) in enumerate(given[:-1]):
+        path, content = F.when(at == k, name(file)).otherwise(path), F.when(at == k, F.lit(text)).otherwise(content)
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", path.alias("file"), content.alias("content"))
 
 
-def _run(check: str, e: Example) -> Callable[[SparkSession, str], DataFrame]:
+def _run(check: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        given = files(spark, sf_dir, e)
-        issues = source.validate(given, [(check, e.options)]).groupBy("subject").agg(F.count("*").alias("n_issues"))
-        return given.join(issues, given["file"] == issues["subject"]).select("s_suppkey", "n_issues")
+        given = files(spark, sf_dir, check)
+        place = lambda name: F.get_json_object("meta", f"$.{name}").cast("int").alias(name)
+        issues = source.validate(given, [(check, EXAMPLES[check].options)]).select("subject", F.col("check").alias("check_name"), place("line"), place("column"))
+        return given.join(issues, given["file"] == issues["subject"]).select("s_suppkey", "check_name", "line", F.col("column").alias("col"))
 
     return run
 
@@ -137,5 +257,12 @@ def name_of(check: str) -> str:
     return "source_" + check.replace(".", "_")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name_of(c): _run(c, e) for c, e in EXAMPLES.items()}
-ORACLE_SQL = {name_of(c): f"SELECT s_suppkey, CAST({e.issues} AS BIGINT) AS n_issues FROM supplier WHERE s_suppkey % 2 = 0" for c, e in EXAMPLES.items()}
+def _sql(check: str) -> str:
+    """The places as a table, by the number that a supplier's text has."""
+    given = variants(check)
+    rows = ", ".join(f"({k}, {line}, {column})" for k, (_, _, places) in enumerate(given) for line, column in (at.split(":") for at in places.split()))
+    return f"SELECT s_suppkey, '{check}' AS check_name, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col FROM supplier JOIN (VALUES {rows}) t(k, line, col) ON s_suppkey % {len(given)} = k"
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name_of(c): _run(c) for c in EXAMPLES}
+ORACLE_SQL = {name_of(c): _sql(c) for c in EXAMPLES}

@@ -59,8 +59,12 @@ class Definition:
 
 
 def alias_name(x: Any) -> str | None:
-    if isinstance(x, Node) and x.name == "__aliases__" and all(isinstance(a, str) for a in x.args):
-        return ".".join(x.args)
+    if isinstance(x, Node) and x.name == "__aliases__":
+        parts = [alias_name(a) if isinstance(a, Node) else a for a in x.args]
+        if all(isinstance(a, str) for a in parts):
+            # names below the root are the same with and without it
+            return ".".join(parts[1:] if len(parts) > 1 and parts[0] == "Elixir" else parts)
+        return None
     if isinstance(x, Node) and x.name == "__MODULE__":
         return "__MODULE__"
     return None

@@ -1,7 +1,8 @@
 """Template tokens: start tags with attributes, text, expressions and end tags, in order.
 
 A template is a file that ends with ``.heex`` or an ``~H`` sigil.  An attribute's value is a string, an expression or
-nothing; an expression in place of attributes is the attribute ``:root``.
+nothing; an expression in place of attributes is the attribute ``:root``.  A template in which a tag, a quoted value, an
+expression or a comment isn't closed has no tokens.
 """
 
 from __future__ import annotations
@@ -83,6 +84,10 @@ class Template:
         return [t for t in self.tokens if isinstance(t, Tag)]
 
 
+class Unclosed(ValueError):
+    """Something in the template has no end."""
+
+
 class _Reader:
     def __init__(self, text: str, line: int, column: int):
         self.s, self.i, self.line, self.start = text, 0, line, 1 - column
@@ -111,7 +116,12 @@ class _Reader:
             k += 1
             if not depth:
                 return k
-        return len(self.s)
+        raise Unclosed("{")
+
+    def _closed(self, end: int) -> int:
+        if end < 0:
+            raise Unclosed(f"line {self.line}")
+        return end
 
     def _text(self, to: int) -> None:
         if to > self.i:
@@ -129,12 +139,11 @@ class _Reader:
             elif s.startswith("<!--", k) or s.startswith("<%!--", k):
                 self._text(k)
                 end = s.find("-->" if s[k + 1] == "!" else "--%>", k)
-                k = len(s) if end < 0 else end + (3 if s[k + 1] == "!" else 4)
+                k = self._closed(end) + (3 if s[k + 1] == "!" else 4)
                 self._go(k)
             elif s.startswith("<%", k):
                 self._text(k)
-                end = s.find("%>", k)
-                end = len(s) if end < 0 else end
+                end = self._closed(s.find("%>", k))
                 m = re.compile(r"<%[=%]?").match(s, k)
                 if s[k : k + 3] != "<%%":
                     self.out.append(Expression(s[m.end() : end], self.line, self.column))
@@ -149,8 +158,7 @@ class _Reader:
             elif s.startswith("</", k) and (m := _NAME.match(s, k + 2)):
                 self._text(k)
                 self.out.append(Close(m[0].lstrip(".:"), self.line, self.column))
-                end = s.find(">", k)
-                k = len(s) if end < 0 else end + 1
+                k = self._closed(s.find(">", k)) + 1
                 self._go(k)
             elif s[k] == "<" and (m := _NAME.match(s, k + 1)):
                 self._text(k)
@@ -197,8 +205,7 @@ class _Reader:
                     end = self._braces(self.i)
                     attrs.append(Attr(a[0], "expr", s[self.i + 1 : end - 1], *at))
                 elif q in ('"', "'") and q:
-                    end = s.find(q, self.i + 1)
-                    end = len(s) if end < 0 else end + 1
+                    end = self._closed(s.find(q, self.i + 1)) + 1
                     attrs.append(Attr(a[0], "string", s[self.i + 1 : end - 1], *at))
                 else:
                     bare = re.compile(r"[^\s>]*").match(s, self.i)
@@ -207,9 +214,14 @@ class _Reader:
                 self._go(end)
             else:
                 self._go(self.i + 1)
+        else:
+            raise Unclosed(name)
         self.out.append(Tag(kind, name.lstrip(".:"), attrs, closing, line, column))
         return self.i
 
 
 def read(text: str, line: int = 1, column: int = 1) -> Template:
-    return Template(line, column, _Reader(text, line, column).run())
+    try:
+        return Template(line, column, _Reader(text, line, column).run())
+    except Unclosed:
+        return Template(line, column)
