@@ -51,3 +51,20 @@ def test_plan_uses_no_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = quality_rules.apply(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_columns_with_names_used_inside(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 AS _words", "2 AS _lines", "3 AS _windows", "4 AS _row", "5 AS rejected_by")
+    judged = quality_rules.apply(docs)
+    assert {"_words", "_lines", "_windows", "_row"} <= set(judged.columns)
+    good = quality_rules.keep_good(docs)
+    assert good.columns == docs.columns and good.where("_words = 1 and _row = 4 and rejected_by = 5").count() == good.count()
+    assert sorted(r.doc_id for r in good.collect()) == sorted(r.doc_id for r in judged.where("kept").select("doc_id").collect())
+
+
+def test_order_by_rejection_per_cost(spark):
+    """A rule that rejects most and costs little comes first, one that rejects nothing last."""
+    docs = spark.createDataFrame([(k, "### " * 60 if k % 2 else "plain words of a text " * 20) for k in range(400)], "doc_id long, text string")
+    order = [r.name for r in quality_rules.plan(docs, quality_rules.QualityRules())]
+    assert set(order) == {"symbols", "mean_word", "dup_lines", "alpha_words", "upper_case"}
+    assert order.index("symbols") < order.index("upper_case") and order.index("alpha_words") < order.index("dup_lines")
