@@ -48,17 +48,19 @@ def fit(texts: list[tuple[str, bytes]], order: int = 4) -> Model:
     kept = [(number[name], raw) for name, raw in texts if raw]
     data = np.frombuffer(b"".join(raw for _, raw in kept), dtype=np.uint8).astype(np.uint64)
     lengths = np.array([len(raw) for _, raw in kept], dtype=np.int64)
-    lang = np.repeat(np.array([k for k, _ in kept], dtype=np.int64), lengths)
-    since = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)  # bytes of the text before this one
+    lang = np.repeat(np.array([k for k, _ in kept], dtype=np.int8), lengths)
+    since = (np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)  # bytes of the text before this one
     m = len(languages)
     keys, counts, found = [], [], []
     gram = np.zeros(len(data), dtype=np.uint64)
     for k in range(order + 1):
         gram = data.copy() if k == 0 else (np.concatenate([np.zeros(1, np.uint64), gram[:-1]]) << np.uint64(8)) | data
-        own = since >= k
-        unique, at = np.unique(gram[own], return_inverse=True)
+        # one language at a time, as the driver has little memory
+        each = [np.unique(gram[(since >= k) & (lang == x)], return_counts=True) for x in range(m)]
+        unique = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *[u for u, _ in each]]))
         c = np.zeros((len(unique), m))
-        np.add.at(c, (at, lang[own]), 1)
+        for x, (u, n) in enumerate(each):
+            c[np.searchsorted(unique, u), x] = n
         keys.append(unique), counts.append(c)
     for k in range(order + 1):
         # the sequences of level k are the contexts of level k + 1
