@@ -90,3 +90,18 @@ def test_empty_store(spark):
     assert s.versions() == [] and s.compact() == 0 and s.vacuum() == 0
     s.append(documents(spark).limit(0))
     assert s.places("doc_id").count() == 0
+
+
+def test_arrivals_with_other_columns(spark):
+    s = store(spark, "wide", min_run=2)
+    s.append(spark.range(5).selectExpr("id", "id * 2 AS a"))
+    s.append(spark.range(5, 8).selectExpr("id", "'x' AS b"))
+    s.compact()
+    s.vacuum()
+    rows = {r.id: (r.a, r.b) for r in s.read().collect()}
+    assert rows == {k: (2 * k, None) if k < 5 else (None, "x") for k in range(8)}
+    version = s.manifest()[0]
+    for bad in ("'text' AS id", "id, 1 AS B"):
+        with pytest.raises(ValueError):
+            s.append(spark.range(2).selectExpr(*bad.split(", ")))
+    assert s.manifest()[0] == version and s.read().count() == 8
