@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.contract import CheckSpec, normalize, run
+from ..plans.store import stored
 from ..sources.html import elements
 
 #: Hrefs that lead nowhere.
@@ -97,9 +98,12 @@ CHECKS = {
 
 
 def validate(pages: DataFrame, specs: Iterable[str | tuple | CheckSpec], id_column: str = "page_id", html_column: str = "html") -> DataFrame:
-    """Issues of all pages; without specs nothing is parsed."""
+    """Issues of all pages; without specs nothing is parsed.  For several checks the elements are parsed once and stored."""
     specs = normalize(specs, CHECKS)
-    return run("html", elements(pages, id_column, html_column) if specs else None, specs, CHECKS, pages.sparkSession)
+    found = elements(pages, id_column, html_column) if specs else None
+    if sum(s.options.get("validate", True) is not False for s in specs) > 1:
+        found = stored(found)
+    return run("html", found, specs, CHECKS, pages.sparkSession)
 
 
 def summary(issues: DataFrame) -> DataFrame:

@@ -8,8 +8,7 @@ true of all branches of a query is a higher-order function over its row; only wh
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scope import predicate, rules_of
 from ..plans.contract import CheckSpec, meta, normalize, run
+from ..plans.store import stored
 
 #: Type names of the schema language.
 TEMPORAL = ("date", "time", "time_usec", "naive_datetime", "naive_datetime_usec", "utc_datetime", "utc_datetime_usec")
@@ -50,9 +50,8 @@ def _issues(rows: DataFrame, code: str | Column, message: Column | str, seq: Col
     )
 
 
-def _limited(rows: DataFrame) -> DataFrame:
-    """Queries with too many branches to tell: an issue of its own, never a silent pass."""
-    return _issues(rows, "analysis-limit", "too many branches to analyze")
+#: What queries with too many branches to tell get: an issue of its own, never a silent pass.
+LIMIT, LIMIT_MESSAGE = "analysis-limit", "too many branches to analyze"
 
 
 def _all_branches(test) -> Column:
@@ -82,8 +81,11 @@ def conflicting_where_predicates(q: Queries, options: Mapping[str, Any]) -> Data
     rows = _scope(q.facts, options).where("schema is not null")
     none = lambda b: F.forall(b["predicates"], lambda d: F.exists(d, lambda p: _conflict(d, p) | (F.size(p["vals"]) == 0)))
     clash = F.flatten(F.transform("branches", lambda b: F.flatten(F.transform(b["predicates"], lambda d: F.transform(F.filter(d, lambda p: _conflict(d, p)), lambda p: p["field"])))))
-    found = rows.where(~F.col("over_limit") & _all_branches(none)).select("query_id", F.posexplode(F.array_sort(F.array_distinct(clash))).alias("k", "field"))
-    return _issues(found, "conflicting_predicates", F.concat(F.lit("predicates on "), F.col("field"), F.lit(" contradict each other")), F.col("k"), field="field").unionByName(_limited(rows.where("over_limit")))
+    over = F.col("over_limit")
+    names = F.when(over, F.array(F.lit(None).cast("string"))).when(_all_branches(none), F.array_sort(F.array_distinct(clash)))
+    found = rows.select("query_id", "over_limit", F.posexplode(names).alias("k", "field"))
+    code, message = F.when(over, LIMIT).otherwise("conflicting_predicates"), F.when(over, LIMIT_MESSAGE).otherwise(F.concat(F.lit("predicates on "), F.col("field"), F.lit(" contradict each other")))
+    return _issues(found, code, message, F.col("k"), field="field").withColumn("meta", F.when(F.col("code") != LIMIT, F.col("meta")))
 
 
 def empty_in_predicates(q: Queries, options: Mapping[str, Any]) -> DataFrame:
@@ -202,30 +204,34 @@ def mandatory_join_keys(q: Queries, options: Mapping[str, Any]) -> DataFrame:
 def mandatory_where_keys(q: Queries, options: Mapping[str, Any]) -> DataFrame:
     """Branches of the query without the keys: any of them, or all for ``match: all``."""
     rules = rules_of(options, ("fields", "match"), required=("fields",), default=False)
-    rows = q.facts
-    parts, limited = [], []
     have = q.fields.groupBy("schema").agg(F.collect_set("field").alias("have")) if q.fields is not None else None
-    rows = rows.join(have, "schema", "left") if have is not None else rows.withColumn("have", F.lit(None).cast("array<string>"))
-    for k, r in enumerate(rules):
+    rows = q.facts.join(have, "schema", "left") if have is not None else q.facts.withColumn("have", F.lit(None).cast("array<string>"))
+    nothing = F.array().cast("array<string>")
+
+    def found(k: int, r: Mapping[str, Any]) -> Column:
+        """The branches that lack keys under a rule, and those for which it can't be told."""
         wanted = F.array(*map(F.lit, r["fields"]))
         usable = F.when(F.col("have").isNull(), wanted).otherwise(F.array_intersect(wanted, "have"))
-        own = rows.where(predicate(r, KEYS)).withColumn("usable", usable).where(F.size("usable") > 0)
-        own = own.select("query_id", "keys_over", "usable", F.posexplode("branches").alias("n", "b"))
-        if r.get("match", "any") == "all":
-            missing = F.filter("usable", lambda f: F.exists(F.col("b.keys"), lambda d: ~F.array_contains(d, f)))
-        else:
-            # beyond the limit only the fields in every branch are known: without one of them it can't be told
-            unknown = F.col("keys_over") & ~F.forall(F.col("b.keys"), lambda d: F.arrays_overlap(d, F.col("usable")))
-            limited.append(own.where(unknown).select("query_id").distinct())
-            own = own.where(~unknown)
-            bare = F.exists(F.col("b.keys"), lambda d: ~F.arrays_overlap(d, F.col("usable")))
-            missing = F.when(bare, F.col("usable")).otherwise(F.array().cast("array<string>"))
-        parts.append(own.withColumn("missing", missing).where(F.size("missing") > 0).select("query_id", "n", "missing", F.col("b.path").alias("path"), F.lit(k).alias("rule")))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    issues = _issues(found, "missing_where_key", F.concat(F.lit("a branch isn't restricted by "), F.array_join("missing", ", ")), F.col("rule") * 1000 + F.col("n"), keys="missing", branch="path")
-    return issues.unionByName(_limited(reduce(DataFrame.unionByName, limited).distinct())) if limited else issues
+
+        def of(b: Column, n: Column) -> Column:
+            if r.get("match", "any") == "all":
+                unknown, missing = F.lit(False), F.filter(usable, lambda f: F.exists(b["keys"], lambda d: ~F.array_contains(d, f)))
+            else:
+                bare = F.exists(b["keys"], lambda d: ~F.arrays_overlap(d, usable))
+                # beyond the limit only the fields in every branch are known: without one of them it can't be told
+                unknown = F.col("keys_over") & bare
+                missing = F.when(bare & ~unknown, usable).otherwise(nothing)
+            return F.struct((F.lit(k * 1000) + n).alias("seq"), missing.alias("missing"), b["path"].alias("path"), unknown.alias("unknown"))
+
+        own = predicate(r, KEYS) & (F.size(usable) > 0)
+        return F.filter(F.transform("branches", of), lambda x: own & (x["unknown"] | (F.size(x["missing"]) > 0)))
+
+    rows = rows.select("query_id", F.concat(*[found(k, r) for k, r in enumerate(rules)]).alias("all"))
+    told, untold = F.filter("all", lambda x: ~x["unknown"]), F.filter("all", lambda x: x["unknown"])
+    rows = rows.select("query_id", F.explode(F.concat(told, F.slice(untold, 1, 1))).alias("x")).select("query_id", "x.*")
+    code, message = F.when(F.col("unknown"), LIMIT).otherwise("missing_where_key"), F.when(F.col("unknown"), LIMIT_MESSAGE).otherwise(F.concat(F.lit("a branch isn't restricted by "), F.array_join("missing", ", ")))
+    issues = _issues(rows, code, message, F.when(F.col("unknown"), 0).otherwise(F.col("seq")), keys="missing", branch="path")
+    return issues.withColumn("meta", F.when(F.col("code") != LIMIT, F.col("meta")))
 
 
 def manual_join_instead_of_assoc(q: Queries, options: Mapping[str, Any]) -> DataFrame:
@@ -289,5 +295,7 @@ CHECKS = {
 
 
 def validate(queries: Queries, specs: Iterable[str | tuple | CheckSpec]) -> DataFrame:
-    """Issues of all queries; a check may come once."""
-    return run("query", queries, normalize(specs, CHECKS), CHECKS, queries.facts.sparkSession)
+    """Issues of all queries; a check may come once.  For several checks the facts are worked out once and stored."""
+    specs = normalize(specs, CHECKS)
+    facts = stored(queries.facts) if sum(s.options.get("validate", True) is not False for s in specs) > 1 else queries.facts
+    return run("query", replace(queries, facts=facts), specs, CHECKS, facts.sparkSession)
