@@ -252,57 +252,86 @@ def _gated(code: Column) -> Column:
     return F.when(code.isin("missing-element", "duplicate-element", "empty-collection"), "element-resolution").otherwise("element-visibility")
 
 
+def _findings(rows: DataFrame, *found: tuple[Column, list[Column]]) -> DataFrame:
+    """The findings of each row, in one pass: (condition, _row) for each that it may have."""
+    return rows.select(F.inline(F.filter(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(*parts)) for cond, parts in found]), lambda x: x.isNotNull())))
+
+
 def evaluate(rules: DataFrame, snapshots: DataFrame, targets: DataFrame, members: DataFrame) -> DataFrame:
-    """Findings (FINDINGS) of all valid rules on all snapshots."""
-    few = F.broadcast(rules)  # a rule table is configuration, not data
+    """Findings (FINDINGS) of all valid rules on all snapshots.  Only what the rules' kinds need is part of the plan."""
+    kinds = {r.kind for r in rules.select("kind").distinct().collect()}  # a rule table is configuration, not data
+    few = F.broadcast(rules)
     rect = F.struct("match_count", "hidden", "x", "y", "width", "height")
     one = targets.select("snapshot_id", "target", rect.alias("t"))
     views = snapshots.select("snapshot_id", "viewport_width", "viewport_height")
-    singular = views.join(few.where(F.col("kind").isin(*PAIRS, *SINGLE)))
-    singular = singular.join(one.select("snapshot_id", F.col("target").alias("subject"), F.col("t").alias("s")), ["snapshot_id", "subject"], "left")
-    singular = singular.join(one.select("snapshot_id", F.col("target").alias("reference"), F.col("t").alias("r")), ["snapshot_id", "reference"], "left")
+    found = []
+    if kinds & {*PAIRS, *SINGLE}:
+        found.append(_singular(few, views, one, bool(kinds & set(PAIRS))))
+    if kinds & set(COLLECTIONS):
+        found += _collections(few, views, one, members, kinds)
+    return reduce(DataFrame.union, found) if found else snapshots.sparkSession.createDataFrame([], FINDINGS)
+
+
+def _singular(rules: DataFrame, views: DataFrame, one: DataFrame, pairs: bool) -> DataFrame:
+    rows = views.join(rules.where(F.col("kind").isin(*PAIRS, *SINGLE)))
+    rows = rows.join(one.select("snapshot_id", F.col("target").alias("subject"), F.col("t").alias("s")), ["snapshot_id", "subject"], "left")
+    if pairs:
+        rows = rows.join(one.select("snapshot_id", F.col("target").alias("reference"), F.col("t").alias("r")), ["snapshot_id", "reference"], "left")
+    else:
+        rows = rows.withColumn("r", F.lit(None).cast(one.schema["t"].dataType))
     is_pair = F.col("kind").isin(*PAIRS)
     # subject and reference may be one target: then its problem is told once
     second = is_pair & (F.col("subject") != F.col("reference"))
-    singular = singular.withColumn("gs", _gate("s")).withColumn("gr", F.when(second, _gate("r")))
     pair, single = _pair_code(), _single_code()
-    judged = singular.where(F.col("gs").isNull() & F.col("gr").isNull()).withColumn("code", F.when(is_pair, pair[0]).otherwise(single[0])).where("code is not null")
-    found = [
-        singular.where("gs is not null").select(*_row(F.lit(0), _gated(F.col("gs")), F.col("gs"), F.lit("subject"))),
-        singular.where("gr is not null").select(*_row(F.lit(1), _gated(F.col("gr")), F.col("gr"), F.lit("reference"))),
-        judged.select(*_row(F.lit(0), "layout", F.col("code"), actual=F.when(is_pair, pair[1]).otherwise(single[1]))),
-    ]
-    return reduce(DataFrame.union, [*found, *_collections(few, views, one, members)])
+    rows = rows.withColumn("gs", _gate("s")).withColumn("gr", F.when(second, _gate("r")))
+    seen = F.col("gs").isNull() & F.col("gr").isNull()
+    code, actual = (F.when(is_pair, pair[0]).otherwise(single[0]), F.when(is_pair, pair[1]).otherwise(single[1])) if pairs else single
+    return _findings(
+        rows.withColumn("code", F.when(seen, code)),
+        (F.col("gs").isNotNull(), _row(F.lit(0), _gated(F.col("gs")), F.col("gs"), F.lit("subject"))),
+        (F.col("gr").isNotNull(), _row(F.lit(1), _gated(F.col("gr")), F.col("gr"), F.lit("reference"))),
+        (F.col("code").isNotNull(), _row(F.lit(0), "layout", F.col("code"), actual=actual)),
+    )
 
 
-def _collections(rules: DataFrame, views: DataFrame, one: DataFrame, members: DataFrame) -> list[DataFrame]:
+def _collections(rules: DataFrame, views: DataFrame, one: DataFrame, members: DataFrame, kinds: set[str]) -> list[DataFrame]:
     box = F.struct("member_ix", "hidden", "x", "y", "width", "height").alias("m")
     own = members.select("snapshot_id", F.col("target").alias("subject"), box)
     group = views.select("snapshot_id").join(rules.where(F.col("kind").isin(*COLLECTIONS)))
-    group = group.join(one.select("snapshot_id", F.col("target").alias("reference"), F.col("t").alias("r")), ["snapshot_id", "reference"], "left")
-    group = group.withColumn("gr", F.when(F.col("kind") == "everyInside", _gate("r")))
+    if "everyInside" in kinds:
+        group = group.join(one.select("snapshot_id", F.col("target").alias("reference"), F.col("t").alias("r")), ["snapshot_id", "reference"], "left")
+        group = group.withColumn("gr", F.when(F.col("kind") == "everyInside", _gate("r")))
+    else:
+        group = group.withColumn("r", F.lit(None).cast(one.schema["t"].dataType)).withColumn("gr", F.lit(None).cast("string"))
     rows = group.join(own, ["snapshot_id", "subject"], "left")
-    m = F.col("m")
+    m, kind = F.col("m"), F.col("kind")
     bad = F.when(m["member_ix"].isNull(), "empty-collection").when(m["hidden"], "hidden-element").when((m["width"] == 0) | (m["height"] == 0), "zero-size-element")
-    rows = rows.withColumn("gm", bad)
-    gates = rows.where("gm is not null").select(*_row(F.coalesce(m["member_ix"], F.lit(0)), _gated(F.col("gm")), F.col("gm"), F.lit("collection"), m["member_ix"]))
-    container = group.where("gr is not null").select(*_row(F.lit(-1), _gated(F.col("gr")), F.col("gr"), F.lit("container")))
-    barred = rows.where("gm is not null or gr is not null").select("snapshot_id", "rule_index").distinct()
-    good = rows.join(barred, ["snapshot_id", "rule_index"], "left_anti")
-    s, r = _edges("m"), _edges("r")
+    # the members of one collection, in order: one sort serves all that is asked of them
+    whole = Window.partitionBy("snapshot_id", "rule_index")
+    by = whole.orderBy(m["member_ix"])
+    rows = rows.withColumn("gm", bad).withColumns({
+        "barred": (F.count("gm").over(whole) > 0) | F.col("gr").isNotNull(), "place": F.row_number().over(by), "first": F.first(m["width"]).over(by), "next": F.lead("m").over(by),
+    })
+    good, s, r = ~F.col("barred"), _edges("m"), _edges("r")
     across, down = _depth(s, r)
     overflow = _overflow(s, r)
-    within = good.where((F.col("kind") == "everyInside") & (~((across > 0) & (down > 0)) | (overflow > F.col("tolerance"))))
-    within = within.select(*_row(m["member_ix"], "layout", F.lit("collection-containment-overflow"), member=m["member_ix"], actual=overflow))
-    by = Window.partitionBy("snapshot_id", "rule_index").orderBy(m["member_ix"])
-    widths = good.where(F.col("kind") == "equalWidths").withColumn("first", F.first(m["width"]).over(by))
     apart = F.round(F.abs(m["width"] - F.col("first")) * 1e12) / 1e12
-    widths = widths.where((m["member_ix"] > 0) & (apart > F.col("tolerance"))).select(*_row(m["member_ix"], "layout", F.lit("collection-width-mismatch"), member=m["member_ix"], actual=apart))
-    order = good.where(F.col("kind") == "verticallyOrdered").withColumn("next", F.lead("m").over(by)).where("next is not null")
     gap = F.col("next")["y"] - (m["y"] + m["height"])
-    code = F.when(gap < 0, "collection-ordering-violation").when(_outside(gap, "gap_min", "gap_max"), "collection-gap-out-of-range")
-    order = order.withColumn("code", code).where("code is not null").select(*_row(m["member_ix"], "layout", F.col("code"), member=m["member_ix"], other=F.col("next")["member_ix"], actual=gap))
-    return [gates, container, within, widths, order, _overlaps(good.where(F.col("kind") == "pairwiseNotOverlap"))]
+    order = F.when(gap < 0, "collection-ordering-violation").when(_outside(gap, "gap_min", "gap_max"), "collection-gap-out-of-range")
+    found = [
+        (F.col("gm").isNotNull(), _row(F.coalesce(m["member_ix"], F.lit(0)), _gated(F.col("gm")), F.col("gm"), F.lit("collection"), m["member_ix"])),
+        ((F.col("place") == 1) & F.col("gr").isNotNull(), _row(F.lit(-1), _gated(F.col("gr")), F.col("gr"), F.lit("container"))),
+    ]
+    if "everyInside" in kinds:
+        outside = ~((across > 0) & (down > 0)) | (overflow > F.col("tolerance"))
+        found.append((good & (kind == "everyInside") & outside, _row(m["member_ix"], "layout", F.lit("collection-containment-overflow"), member=m["member_ix"], actual=overflow)))
+    if "equalWidths" in kinds:
+        other = (m["member_ix"] > 0) & (apart > F.col("tolerance"))
+        found.append((good & (kind == "equalWidths") & other, _row(m["member_ix"], "layout", F.lit("collection-width-mismatch"), member=m["member_ix"], actual=apart)))
+    if "verticallyOrdered" in kinds:
+        found.append((good & (kind == "verticallyOrdered") & F.col("next").isNotNull() & order.isNotNull(), _row(m["member_ix"], "layout", order, member=m["member_ix"], other=F.col("next")["member_ix"], actual=gap)))
+    out = [_findings(rows, *found)]
+    return [*out, _overlaps(rows.where(good & (kind == "pairwiseNotOverlap")))] if "pairwiseNotOverlap" in kinds else out
 
 
 def _overlaps(good: DataFrame, cell: float = 512.0) -> DataFrame:
