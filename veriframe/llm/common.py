@@ -64,8 +64,10 @@ def discard(*frames: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing holds any more; it does so when the driver's garbage
-    collector finds them, which on its own may come after the disks are full."""
+    collector finds them, which on its own may come after the disks are full.  The thread's last plan is held until
+    another one runs."""
     gc.collect()
+    spark.range(1).write.format("noop").mode("overwrite").save()
     spark._jvm.System.gc()
 
 

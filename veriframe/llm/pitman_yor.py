@@ -23,16 +23,17 @@ the end of a text.  A word without training tokens has the probability of its sp
 probabilities of all words sum to one.
 
 Defined cases: null text counts as empty and is one end token; without training documents every word has its base
-spelling probability; repeated rows are counted and scored each; an empty table gives an empty result; two words or
-pairs count as one only if their 64-bit hashes are equal.
+spelling probability; repeated rows are counted and scored each; an empty table gives an empty result; two words count
+as one only if their 64-bit hashes are equal, two pairs if their 56-bit hashes are.
 """
 
 from __future__ import annotations
 
+import functools
 import pickle
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -131,7 +132,7 @@ def fit_spelling(context: np.ndarray, symbol: np.ndarray, customers: np.ndarray,
         stacked.append(found[k])
         first += len(ids[k])
     used, row = np.unique(row, return_inverse=True)
-    return Spelling(row.astype(np.int32), np.concatenate(stacked)[used])
+    return Spelling(row.astype(np.int32), np.concatenate(stacked)[used].astype(np.float32))
 
 
 def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +158,7 @@ def spelling_probability(model: Spelling, words: list[bytes]) -> np.ndarray:
     if not words:
         return np.zeros(0)
     context, symbol, starts = spell(words)
-    return np.exp(np.maximum(np.add.reduceat(np.log(model.table[model.row[context], symbol]), starts), -700))
+    return np.exp(np.maximum(np.add.reduceat(np.log(model.table[model.row[context], symbol].astype(np.float64)), starts), -700))
 
 
 def packed(**columns: np.ndarray) -> bytes:
@@ -184,7 +185,8 @@ def unpack_all(column: pa.ChunkedArray) -> dict[str, np.ndarray]:
 
 
 def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix64(mix64(context + np.uint64(0x632BE59BD9B4E019)) + word)
+    """Hashes of pairs, 56 bits in the upper part: an eighth less room where they are kept and sent."""
+    return mix64(mix64(context + np.uint64(0x632BE59BD9B4E019)) + word) & ~np.uint64(255)
 
 
 def part(key: np.ndarray, parts: int) -> np.ndarray:
@@ -366,6 +368,10 @@ class Totals:
     pair_concentration: float = 1.0
     concentration: float = 10.0
 
+    def last(self) -> Totals:
+        """With the last sweep only."""
+        return replace(self, **{name: getattr(self, name)[-1:] for name in ("discount", "customers", "tables", "spelling")})
+
     def word_share(self, k: int, customers: np.ndarray, tables: np.ndarray, spelled: np.ndarray) -> np.ndarray:
         """Predictive probability in the restaurant of words, in sweep ``k``."""
         new = self.concentration + self.discount[k] * self.tables[k]
@@ -400,7 +406,7 @@ def _spelling_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _seat_words(words: DataFrame, totals: Totals, sweep: int) -> DataFrame:
     """Adds the tables of the restaurant of words, given the sweep before (one table each if there is none)."""
-    shared = words.sparkSession.sparkContext.broadcast(totals)
+    shared = words.sparkSession.sparkContext.broadcast(totals.last())
     schema = words.withColumn("t", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,12 +420,14 @@ def _seat_words(words: DataFrame, totals: Totals, sweep: int) -> DataFrame:
                 t = np.minimum(k, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t, pa.int64())], schema.names)
 
-    return words.mapInArrow(lean(run), schema)
+    out = materialize(words.mapInArrow(lean(run), schema), "words")
+    shared.destroy()
+    return out
 
 
 def _word_shares(seated: DataFrame, totals: Totals, name: str) -> DataFrame:
     """Adds each word's predictive probability in the restaurant of words, in the last sweep."""
-    shared = seated.sparkSession.sparkContext.broadcast(totals)
+    shared = seated.sparkSession.sparkContext.broadcast(totals.last())
     schema = seated.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,7 +436,9 @@ def _word_shares(seated: DataFrame, totals: Totals, name: str) -> DataFrame:
             share = shared.value.word_share(-1, np.asarray(batch.column("k")), np.asarray(batch.column("t")), spelled)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(share)], schema.names)
 
-    return seated.mapInArrow(lean(run), schema)
+    out = materialize(seated.mapInArrow(lean(run), schema), "words")
+    shared.destroy()
+    return out
 
 
 def _seat_pairs(pairs: DataFrame, words: DataFrame, totals: Totals, sweep: int) -> DataFrame:
@@ -505,13 +515,13 @@ def fit(training: DataFrame, burn_in: int = 1, samples: int = 2) -> Model:
         # the restaurant of words and the spelling of this sweep's tables, then the next sweep's pairs
         ours = words.join(_tables_of_words(pairs, False), "h", "left").na.fill(0, ["k", "tables"])
         ours = ours.withColumn("k", F.col("k") + F.col("k0")).withColumn("tables", F.col("tables") + F.col("tables0"))
-        seated = materialize(_seat_words(ours, totals, sweep), "words")
+        seated = _seat_words(ours, totals, sweep)
         sums = seated.agg(F.sum("k").alias("k"), F.sum("t").alias("t"), F.count_if(F.col("k") == 1).alias("n1"), F.count_if(F.col("k") == 2).alias("n2")).first()
         totals.discount.append(_discount(sums.n1, sums.n2))
         totals.customers.append(sums.k or 0)
         totals.tables.append(sums.t or 0)
         totals.spelling.append(fit_spelling(*_spelling_counts(seated.select("word", F.col("t").alias("tables"))), seed=sweep))
-        shares = materialize(_word_shares(seated, totals, "share"), "words")
+        shares = _word_shares(seated, totals, "share")
         discard(seated, words)
         if sweep + 1 < burn_in + samples:
             before, pairs = pairs, materialize(_seat_pairs(pairs, shares.select("h", "share", "tables"), totals, sweep + 1), "pairs")
@@ -521,6 +531,7 @@ def fit(training: DataFrame, burn_in: int = 1, samples: int = 2) -> Model:
         kept += [sweep] if now else []
         words = shares.select("h", "word", "c", "k0", "tables0", *kept_columns, *now)
         words._shared_path = shares._shared_path
+        del ours, seated, shares
         release(spark)
     for name in ("discount", "customers", "tables", "spelling"):
         setattr(totals, name, [x for s, x in enumerate(getattr(totals, name)) if s in kept])
@@ -574,51 +585,61 @@ def _all_tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, list]:
     return np.concatenate([none.astype(np.uint64), *token]), np.concatenate([none, *n]), places
 
 
+def _aligned(answers: pa.ChunkedArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Which of a bucket's keys, in order, have been found, and the columns of those; parts are in order."""
+    found = [unpacked(x) for x in answers.to_pylist()]
+    hit = np.concatenate([np.unpackbits(f["hit"], count=int(f["n"][0])) for f in found]).astype(bool)
+    return hit, {name: np.concatenate([f[name] for f in found]) for name in found[0] if name not in ("hit", "n")}
+
+
+def _spread(hit: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values at the keys that have been found, 0 at the others."""
+    out = np.zeros(len(hit))
+    out[hit] = values
+    return out
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
     spark, parts, sweeps = docs.sparkSession, model.parts, model.sweeps
     kind = docs.schema["doc_id"].dataType
     buckets = materialize(_buckets(docs), "buckets")
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct words (kind 1) and pairs (kind 0) of each bucket, by part."""
+    def wanted(kind: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct words (kind 1) or pairs (kind 0) of each bucket, by part."""
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 token, _, _ = _all_tokens(_rows(blob).column("text"))
-                asked = [(1, p, packed(h=h[s])) for h in [np.unique(token)] for p, s in _slices(h, parts)]
-                asked += [(0, p, packed(h=g[s])) for g in [np.unique(pair(contexts_of(token), token))] for p, s in _slices(g, parts)]
+                key = np.unique(token if kind else pair(contexts_of(token), token))
+                asked = [(kind, p, packed(h=key[s])) for p, s in _slices(key, parts)]
                 for k in range(0, len(asked), 16):
                     of, p, data = zip(*asked[k : k + 16], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(of), pa.int64()), pa.array(of, pa.int32()), pa.array(p, pa.int32()), pa.array(data, pa.binary())], ["bucket", "kind", "part", "packed"])
 
-    requests = buckets.mapInArrow(lean(wanted), "bucket long, kind int, part int, packed binary")
+    shown = [name for s in sweeps for name in (f"share_{s}", f"tables_{s}")]
 
     def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words as packed rows by part."""
         for batch in batches:
             h = np.asarray(batch.column(0)).view(np.uint64)
             order = np.argsort(h)
-            columns = {"h": h[order]} | {name: np.asarray(batch.column(name))[order] for name in batch.schema.names[1:]}
+            columns = {"h": h[order]} | {name: np.asarray(batch.column(name)).astype(np.float32 if name.startswith("share") else np.int64)[order] for name in batch.schema.names[1:]}
             found = [(p, packed(**{name: x[s] for name, x in columns.items()})) for p, s in _slices(columns["h"], parts)]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], ["part", "packed"])
 
-    shown = [name for s in sweeps for name in (f"share_{s}", f"tables_{s}")]
-    words = model.words.select("h", "c", *shown).mapInArrow(lean(by_part), "part int, packed binary")
-    tables = words.select(F.lit(1).alias("kind"), "part", "packed")
-    for number, pairs in ((0, model.pairs), (2, model.once)):
-        tables = tables.union(pairs.select(F.lit(number).alias("kind"), "part", "packed"))
-    tables = tables.select((F.col("kind") == 1).cast("int").alias("of"), "kind", "part", "packed")
-    # the tables of a bucket's pairs in the last sweep have no name of their own yet
+    words = model.words.select("h", "c", *shown).mapInArrow(lean(by_part), "part int, packed binary").select(F.lit(1).alias("kind"), "part", "packed")
+    pairs = model.pairs.select(F.lit(0).alias("kind"), "part", "packed").union(model.once.select(F.lit(2).alias("kind"), "part", "packed"))
+    # the last sweep's tables of pairs have no name of their own
     last = sweeps[-1] if sweeps else 0
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Which of the asked words or pairs are there, and the columns of those, in the order of the keys."""
         if not len(left):
             return pa.table({"bucket": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "packed": pa.array([], pa.binary())})
         of, of_kind = left.column("kind")[0].as_py(), np.asarray(right.column("kind").combine_chunks()) if len(right) else np.zeros(0, dtype=np.int32)
         take = lambda k: unpack_all(right.column("packed").take(pa.array(np.flatnonzero(of_kind == k)))) if (of_kind == k).any() else {}
         if of == 1:
-            x = take(1)
-            names = ["c", *shown]
+            x, names = take(1), ["c", *shown]
         else:
             x, single = take(0), take(2).get("g", np.zeros(0, dtype=np.uint64))
             if x:
@@ -635,12 +656,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             asked = unpacked(blob)["h"]
             at = np.minimum(np.searchsorted(h, asked), max(len(h) - 1, 0))
             hit = h[at] == asked if len(h) else np.zeros(len(asked), dtype=bool)
-            found = np.flatnonzero(hit)
-            out.append(packed(h=asked[found], **{name: c[at[found]] for name, c in columns.items()}) if of == 1 else packed(hit=np.packbits(hit), n=np.array([len(asked)]), **{name: c[at[found]] for name, c in columns.items()}))
+            out.append(packed(hit=np.packbits(hit), n=np.array([len(asked)]), **{name: c[at[hit]] for name, c in columns.items()}))
         return pa.table({"bucket": left.column("bucket"), "kind": left.column("kind"), "part": left.column("part"), "packed": pa.array(out, pa.binary())})
 
-    answers = requests.groupBy("kind", "part").cogroup(tables.groupBy("of", "part")).applyInArrow(answer, "bucket long, kind int, part int, packed binary")
-    answers = materialize(answers, "answers")
+    def answered(kind: int, tables: DataFrame) -> DataFrame:
+        asked = buckets.mapInArrow(lean(functools.partial(wanted, kind)), "bucket long, kind int, part int, packed binary")
+        out = asked.groupBy("part").cogroup(tables.groupBy("part")).applyInArrow(answer, "bucket long, kind int, part int, packed binary")
+        return materialize(out, "answers")
+
+    # words and pairs one after the other: the disks hold the requests of one kind at a time
+    answers = answered(1, words)
+    release(spark)
+    answers = answers.union(answered(0, pairs))
     release(spark)
     shared = spark.sparkContext.broadcast(model.totals)
 
@@ -653,11 +680,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             rows = _rows(blob)
             token, n, places = _all_tokens(rows.column("text"))
             h, first, word = np.unique(token, return_index=True, return_inverse=True)
-            x = unpack_all(right.column("packed").take(pa.array(np.flatnonzero(of_kind == 1))))
-            known = np.searchsorted(x["h"], h)
-            known = np.minimum(known, max(len(x["h"]) - 1, 0))
-            is_known = x["h"][known] == h if len(x["h"]) else np.zeros(len(h), dtype=bool)
-            c = np.where(is_known, x["c"][known] if len(x["h"]) else 0, 0)
+            (is_known, x), (hit, y) = (_aligned(right.column("packed").take(pa.array(np.flatnonzero(of_kind == k)))) for k in (1, 0))
+            c = _spread(is_known, x["c"])
             # bytes of the words without training tokens
             new = np.flatnonzero(~is_known)
             starts = np.cumsum([0, *[len(f) for _, f, _ in places]])
@@ -669,19 +693,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 for k, w in zip(own.tolist(), word_bytes(data, begin[at], stop[at]).to_pylist(), strict=True):
                     spelled_words[k] = w
             g, pair_of = np.unique(pair(contexts_of(token), token), return_inverse=True)
-            y = [unpacked(b) for b in right.column("packed").take(pa.array(np.flatnonzero(of_kind == 0))).to_pylist()]
-            hit = np.concatenate([np.unpackbits(b["hit"], count=int(b["n"][0])) for b in y]).astype(bool)
-            seen = {name: np.zeros(len(g)) for name in ["c", *[f"t{s}" for s in sweeps]]}
-            for name, values in seen.items():
-                values[hit] = np.concatenate([b[name] for b in y])
+            seen = {name: _spread(hit, y[name]) for name in ["c", *[f"t{s}" for s in sweeps]]}
             context = np.concatenate([[np.searchsorted(h, END)], word[:-1]])
             total = c[context]
             mean = np.zeros(len(token))
             for k, s in enumerate(sweeps):
-                share = np.where(is_known, x[f"share_{s}"][known] if len(x["h"]) else 0.0, 0.0)
+                share = _spread(is_known, x[f"share_{s}"])
                 if len(new):
                     share[new] = m.word_share(k, np.zeros(len(new)), np.zeros(len(new)), spelling_probability(m.spelling[k], spelled_words))
-                tables = np.where(is_known, x[f"tables_{s}"][known] if len(x["h"]) else 0, 0)[context]
+                tables = _spread(is_known, x[f"tables_{s}"])[context]
                 back = (m.pair_concentration + m.pair_discount * tables) * share[word]
                 here = seen["c"][pair_of] - m.pair_discount * seen[f"t{s}"][pair_of]
                 mean += np.where(total > 0, (here + back) / (m.pair_concentration + total), share[word])
