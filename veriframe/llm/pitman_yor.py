@@ -48,9 +48,9 @@ STOP, SYMBOLS, CLASS_BITS, LEVELS = 256, 257, 5, 4
 #: The hash of the empty word, which ends a text.
 END = np.uint64(0)
 #: Tokens that a task counts before it hands the counts on.
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
 #: Text bytes of a part of the tables and of a bucket of documents, about.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 
 
 @dataclass
@@ -575,12 +575,14 @@ def _rows(packed_rows: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(packed_rows)).read_all()
 
 
-def _all_tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, list]:
+def _all_tokens(texts: pa.ChunkedArray, with_places: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
     """Hashes of all tokens of a bucket, how many each text has, and where to find the bytes of a token."""
     token, n, places = [], [], []
     for _, _, data, bounds in text_slices(texts):
         t, k, first, last = tokens_of(data, bounds)
-        token.append(t), n.append(k), places.append((data, first, last))
+        token.append(t), n.append(k)
+        if with_places:
+            places.append((data, first, last))
     none = np.zeros(0, dtype=np.int64)
     return np.concatenate([none.astype(np.uint64), *token]), np.concatenate([none, *n]), places
 
@@ -678,7 +680,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         of_kind = np.asarray(right.column("kind").combine_chunks()) if len(right) else np.zeros(0)
         for blob in left.column("packed").to_pylist():
             rows = _rows(blob)
-            token, n, places = _all_tokens(rows.column("text"))
+            token, n, places = _all_tokens(rows.column("text"), True)
             h, first, word = np.unique(token, return_index=True, return_inverse=True)
             (is_known, x), (hit, y) = (_aligned(right.column("packed").take(pa.array(np.flatnonzero(of_kind == k)))) for k in (1, 0))
             c = _spread(is_known, x["c"])
