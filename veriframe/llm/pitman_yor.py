@@ -50,7 +50,7 @@ END = np.uint64(0)
 #: Tokens that a task counts before it hands the counts on.
 BLOCK_TOKENS = 1_500_000
 #: Text bytes of a part of the tables and of a bucket of documents, about.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 
 
 @dataclass
