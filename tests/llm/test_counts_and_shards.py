@@ -1,10 +1,12 @@
 import math
+import uuid
 
 import public_tokenizers as P
 import pytest
 
 from veriframe.llm import sharding, token_counts
 from veriframe.llm.common import shared_dir
+from veriframe.llm.queries import ARRIVALS, op6_sharding
 
 from . import brute
 from .texts import ODD, documents
@@ -54,7 +56,7 @@ def test_odd_counts(spark, scores, monkeypatch):
 
 
 def store(spark, name, **kind):
-    return sharding.ShardStore(spark, f"{shared_dir(spark)}/{name}-{id(kind)}", **kind)
+    return sharding.ShardStore(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", **kind)
 
 
 def test_append_compact_read(spark):
@@ -105,3 +107,15 @@ def test_arrivals_with_other_columns(spark):
         with pytest.raises(ValueError):
             s.append(spark.range(2).selectExpr(*bad.split(", ")))
     assert s.manifest()[0] == version and s.read().count() == 8
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_compacts(spark, sf):
+    """Every arrival is a version, and what is returned went through at least one merge after them."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    rows = op6_sharding(spark, f"/root/testdata/{sf}").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    assert {r.version for r in rows} == {max(r.version for r in rows)} and rows[0].version > ARRIVALS
+    merged = {r.shard for r in rows if r.level >= 1}
+    assert merged and len({r.shard for r in rows}) <= ARRIVALS - sharding.ShardStore(spark, "/tmp/none").min_run + 1
+    assert len({(r.shard, r.shard_row) for r in rows}) == len(rows)

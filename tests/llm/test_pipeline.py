@@ -1,3 +1,4 @@
+import uuid
 from itertools import combinations
 
 import corpus_pipeline
@@ -12,9 +13,9 @@ SF = "/root/testdata/sf0.001"
 
 
 def stages(spark, docs):
-    out = []
+    out, run = [], uuid.uuid4().hex
     for name, f in corpus_pipeline.STAGES:
-        path = f"{shared_dir(spark)}/test-{id(out)}-{name}"
+        path = f"{shared_dir(spark)}/test-{run}-{name}"
         f(spark, docs, SF).write.parquet(path)
         docs = spark.read.parquet(path)
         out.append(docs)

@@ -191,17 +191,17 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse
 
 
-def hash_words(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(text: np.ndarray, bounds: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of several texts laid end to end.
 
     ``text``: bytes; ``bounds``: where each text starts, and the end.  Returns for each word its 64-bit hash, its
-    text's number, and its first and past-the-end byte.
+    text's number, and its first and past-the-end byte.  Without ``fold`` the case counts.
     """
     n = len(text)
     if n == 0:
         none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none, none, none
-    low = _LOWER[text]
+    low = _LOWER[text] if fold else text
     space = _SPACE[text]
     begins = ~space
     begins[1:] &= space[:-1]

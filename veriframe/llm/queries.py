@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, jaccard_join, language_id, packing, pitman_yor, quality_rules, sharding, substring_dedup, token_counts
+from . import byte_bpe, embedding_dedup, jaccard_join, language_id, packing, periodic_runs, pitman_yor, quality_cnn, quality_rules, sharding, substring_dedup, token_counts, whitening
 from .common import bucket_of, shared_dir, table
 
 
@@ -36,9 +37,16 @@ def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+#: Appends of the query below: more than two tiers can hold without a run to merge.
+ARRIVALS = 8
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    store.append(table(spark, sf_dir, "documents"))
+    """The table comes in eight arrivals by a hash of the id, each appended as small shards, then compacted."""
+    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", shard_rows=1000)
+    docs = table(spark, sf_dir, "documents")
+    for k in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
     store.compact()
     store.vacuum()
     return store.places("doc_id")
@@ -64,6 +72,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(bucket_of("doc_id", 3) != 1).select("doc_id", F.col("quality").alias("label"))
+    scores = quality_cnn.score(docs, quality_cnn.fit(quality_cnn.sample(docs, labels, sample_docs=400)))
+    return scores.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.judge(table(spark, sf_dir, "documents"), min_words=6, repeats=4, plant=True).drop("runs", "collapsed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_embedding_dedup,
         op9_byte_bpe,
         op10_quality_rules,
+        op11_quality_classifier,
+        op12_whitening,
+        op13_periodic_runs,
     )
 }
 

@@ -87,6 +87,10 @@ class ShardStore:
             raise
         return version
 
+    @staticmethod
+    def _folder(level: int) -> str:
+        return f"data/level{level}-{uuid.uuid4().hex}"
+
     def _written(self, folder: str, level: int) -> list[Shard]:
         status = self._fs.listStatus(self._path(folder))
         files = sorted((s.getPath().getName(), s.getLen()) for s in status if s.getPath().getName().endswith(".parquet"))
@@ -95,7 +99,7 @@ class ShardStore:
     def append(self, arrivals: DataFrame) -> int:
         version, schema, shards = self.manifest()
         schema = self._widened(self._schema(schema), arrivals.schema).json()
-        folder = f"data/{uuid.uuid4().hex}"
+        folder = self._folder(0)
         arrivals.write.option("maxRecordsPerFile", self.shard_rows).parquet(f"{self.root}/{folder}")
         return self._commit(version + 1, schema, shards + self._written(folder, 0))
 
@@ -144,9 +148,10 @@ class ShardStore:
             for k in range(0, len(runs), RUNS_PER_JOB):
                 part = runs[k : k + RUNS_PER_JOB]
                 frames = [self._spark.read.schema(self._schema(schema)).parquet(*[f"{self.root}/{s.path}" for s in run]).coalesce(1) for run in part]
-                folder = f"data/{uuid.uuid4().hex}"
+                level = 1 + max(s.level for run in part for s in run)
+                folder = self._folder(level)
                 reduce(DataFrame.union, frames).write.option("maxRecordsPerFile", 0).parquet(f"{self.root}/{folder}")
-                merged += self._written(folder, 1 + max(s.level for run in part for s in run))
+                merged += self._written(folder, level)
             self._commit(version + 1, schema, sorted(kept, key=lambda s: s.path) + merged)
 
     def vacuum(self) -> int:
@@ -168,10 +173,10 @@ class ShardStore:
         return self._spark.read.schema(self._schema(schema)).parquet(*[f"{self.root}/{s.path}" for s in shards])
 
     def places(self, id_column: str, version: int | None = None) -> DataFrame:
-        """The id of each row with its shard, its row in it, and the version."""
+        """The id of each row with its shard, its row in it, how often the shard was merged, and the version."""
         number, _, shards = self.manifest(version)
         df = self.read(number)
         if not shards:
-            return df.selectExpr(f"`{id_column}`", "'' AS shard", "0L AS shard_row", f"{number} AS version")
+            return df.selectExpr(f"`{id_column}`", "'' AS shard", "0L AS shard_row", "0 AS level", f"{number} AS version")
         file = F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1)
-        return df.select(id_column, file.alias("shard"), F.col("_metadata.row_index").alias("shard_row"), F.lit(number).alias("version"))
+        return df.select(id_column, file.alias("shard"), F.col("_metadata.row_index").alias("shard_row"), F.regexp_extract(file, "^level([0-9]+)-", 1).cast("int").alias("level"), F.lit(number).alias("version"))
