@@ -69,6 +69,7 @@ def test_append_compact_read(spark):
     number, _, shards = s.manifest()
     assert number == version and len(shards) < len(before)
     assert not s.runs(shards)
+    assert len({x.path for x in shards if x.level}) > 1 and max(x.size for x in shards) < 2 * s.target_bytes
     assert sorted(map(tuple, s.read().collect())) == sorted(map(tuple, docs.union(docs).collect()))
     assert s.read(1).count() == docs.count()
     assert s.vacuum() > 0 and s.vacuum() == 0

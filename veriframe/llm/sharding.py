@@ -150,10 +150,20 @@ class ShardStore:
                 frames = [self._spark.read.schema(self._schema(schema)).parquet(*[f"{self.root}/{s.path}" for s in run]).coalesce(1) for run in part]
                 level = 1 + max(s.level for run in part for s in run)
                 folder = self._folder(level)
-                reduce(DataFrame.union, frames).write.option("maxRecordsPerFile", 0).parquet(f"{self.root}/{folder}")
+                self._write_each(frames, f"{self.root}/{folder}")
                 merged += self._written(folder, level)
             self._commit(version + 1, schema, sorted(kept, key=lambda s: s.path) + merged)
 
+    def _write_each(self, frames: list[DataFrame], path: str) -> None:
+        """A file for each frame, by a task each.  Spark would else take one-partition frames for one partition."""
+        key = "spark.sql.unionOutputPartitioning"
+        before = self._spark.conf.get(key, None)
+        self._spark.conf.set(key, "false")
+        try:
+            reduce(DataFrame.union, frames).write.option("maxRecordsPerFile", 0).parquet(path)
+        finally:
+            self._spark.conf.unset(key) if before is None else self._spark.conf.set(key, before)
+
     def vacuum(self) -> int:
         """Deletes the files that the newest version doesn't name; how many."""
         live = {s.path for s in self.manifest()[2]}
