@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, html, layout, querylint
 from ..sources.query_ir import compile_queries
+from ..streaming import readiness
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -194,6 +195,42 @@ for _name, (_rule, _sql) in _GROUPS.items():
     _add(f"layout_{_name}", _layout(_rule, ("code", "member_ix", "other_ix", "actual")), _sql)
 
 
+# Readiness: a user is a session, an event is a frame of two targets; some events hide one or show two of it.
+
+_WAIT_MS = 5 * 24 * 3600 * 1000
+_WAIT_FOR = {"header": ("x",), "list": ("y",)}
+
+
+def session_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    nothing = "CAST(NULL AS DOUBLE)"
+    shown = [
+        f"named_struct('target', 'header', 'match_count', IF(event_type = 'error', 0, 1), 'x', floor(value / 100) * 1D, 'y', {nothing}, 'width', {nothing}, 'height', {nothing})",
+        f"named_struct('target', 'list', 'match_count', IF(event_type = 'view', 2, 1), 'x', {nothing}, 'y', floor(value / 200) * 1D, 'width', {nothing}, 'height', {nothing})",
+    ]
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    return _read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), number.cast("long").alias("frame_no"), F.col("ts").alias("at"), F.array(*map(F.expr, shown)).alias("targets"))
+
+
+def _readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = readiness.sessions(session_frames(spark, sf_dir), _WAIT_FOR, _WAIT_MS)
+    counts = F.array_join(F.transform("last_observed", lambda t: F.concat(t["target"], F.lit(":"), t["match_count"].cast("string"))), ",")
+    return found.select("session_id", "outcome", "frame_no", *[F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("unresolved", "unstable")], F.coalesce(counts, F.lit("")).alias("last_observed"))
+
+
+_add("readiness_sessions", _readiness, f"""WITH f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, epoch_ms(ts) AS ms, event_type, value FROM events),
+g AS (SELECT *, min(CASE WHEN ms - start >= {_WAIT_MS} THEN n END) OVER (PARTITION BY user_id) AS stop FROM (SELECT *, min(ms) OVER (PARTITION BY user_id) AS start FROM f)),
+t AS (SELECT user_id, n, 'header' AS target, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS shown, floor(value / 100) AS v FROM g WHERE stop IS NULL OR n <= stop
+UNION ALL SELECT user_id, n, 'list', CASE WHEN event_type = 'view' THEN 2 ELSE 1 END, floor(value / 200) FROM g WHERE stop IS NULL OR n <= stop),
+s AS (SELECT *, CASE WHEN shown = 1 THEN v END AS sig FROM t),
+h AS (SELECT *, CASE WHEN sig IS NULL THEN 'unresolved' WHEN sig = lag(sig, 1) OVER w AND sig = lag(sig, 2) OVER w THEN 'held' ELSE 'unstable' END AS state FROM s WINDOW w AS (PARTITION BY user_id, target ORDER BY n)),
+r AS (SELECT user_id, n, count(*) FILTER (WHERE state <> 'held') = 0 AS ready, coalesce(string_agg(target, ',' ORDER BY target) FILTER (WHERE state = 'unresolved'), '') AS unresolved,
+  coalesce(string_agg(target, ',' ORDER BY target) FILTER (WHERE state = 'unstable'), '') AS unstable, string_agg(target || ':' || shown, ',' ORDER BY target) AS seen FROM h GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ready DESC, CASE WHEN ready THEN n ELSE -n END) AS k FROM r)
+SELECT user_id AS session_id, CASE WHEN ready THEN 'ready' ELSE 'timed-out' END AS outcome, n AS frame_no, unresolved, unstable, CASE WHEN ready THEN '' ELSE seen END AS last_observed FROM p WHERE k = 1""")
+
+
 # Catalogs: a part is a table; its columns, keys and indexes depend on its number.
 
 _T = "concat('db', CAST(p_partkey % 5 AS {s})) AS target, CASE WHEN p_partkey % 11 = 0 THEN 'pg_x' WHEN p_partkey % 11 = 1 THEN 'pgdata' ELSE 'app' END AS schema_name, concat('t', CAST(p_partkey AS {s})) AS table_name"
