@@ -8,7 +8,8 @@ from veriframe.plans.queries import query_facts
 from veriframe.sources import elixir
 from veriframe.sources.code import Source, show
 from veriframe.sources.html import parse
-from veriframe.sources.query_ir import boundedness, branches, compile_query
+
+from .plain_query_facts import boundedness, branches, compile_query
 
 
 def test_html_elements():
@@ -57,12 +58,16 @@ def test_too_many_branches(spark):
     wide = ["or", *[["==", ["field", 0, "title"], ["lit", str(k)]] for k in range(20)]]
     tree = {"from": {"schema": "Post", "table": "posts", "as": "p"}, "wheres": [{"op": "and", "expr": wide}] * 4}
     assert compile_query(tree)["over_limit"]
-    q = query_facts(spark, spark.createDataFrame([(1, json.dumps(tree))], "query_id long, tree string"))
+    q = query_facts(spark, spark.createDataFrame([(1, json.dumps(tree))], "query_id long, tree string"), reads("conflicting_where_predicates"))
     assert [r.code for r in querylint.validate(q, ["conflicting_where_predicates"]).collect()] == ["analysis-limit"]
 
 
+def reads(*specs):
+    return [c for s in specs for c in querylint.READS[s if isinstance(s, str) else s[0]]]
+
+
 def lint(spark, tree, *specs):
-    q = query_facts(spark, spark.createDataFrame([(1, json.dumps({"from": {"schema": "Post", "table": "posts", "prefix": "app", "as": "p"}} | tree))], "query_id long, tree string"))
+    q = query_facts(spark, spark.createDataFrame([(1, json.dumps({"from": {"schema": "Post", "table": "posts", "prefix": "app", "as": "p"}} | tree))], "query_id long, tree string"), reads(*specs))
     return [(r.check, r.code, json.loads(r.meta or "{}")) for r in querylint.validate(q, specs).collect()]
 
 
@@ -75,7 +80,7 @@ def test_checks_beyond_the_branch_limit(spark):
     assert compile_query({"from": {"schema": "Post"}, "wheres": wide})["over_limit"]
 
     def codes(wheres, spec, more=None):
-        facts = query_facts(spark, spark.createDataFrame([(1, json.dumps({"from": {"schema": "S", "table": "s"}, "wheres": wheres} | (more or {})))], "query_id long, tree string")).facts
+        facts = query_facts(spark, spark.createDataFrame([(1, json.dumps({"from": {"schema": "S", "table": "s"}, "wheres": wheres} | (more or {})))], "query_id long, tree string"), reads(spec)).facts
         fields = spark.createDataFrame([("S", f, f, "string", False) for f in ("deleted_at", "tenant_id", "x")], "schema string, field string, column_name string, type string, is_pk boolean")
         return [(r.code, json.loads(r.meta or "{}").get("field")) for r in querylint.validate(querylint.Queries(facts, fields), [spec]).collect()]
 

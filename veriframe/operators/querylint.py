@@ -294,6 +294,20 @@ CHECKS = {
 }
 
 
+_SCOPE = ("operation", "schema", "table_name", "db_schema")
+#: The facts that each check reads; compile_queries() then works out no others.
+READS = {
+    name: (*_SCOPE, *more)
+    for name, more in {
+        "cartesian_joins": ("joins",), "conflicting_where_predicates": ("branches", "over_limit"), "date_datetime_mixed_comparisons": ("comparisons",), "deterministic_order": ("ordered", "order_fields"),
+        "duplicate_joins": ("joins",), "empty_in_predicates": ("branches",), "explicit_visibility_predicates": ("branches",), "half_open_temporal_intervals": ("comparisons",),
+        "hard_delete_on_soft_delete_schema": ("branches",), "left_join_where_predicates": ("branches",), "mandatory_join_keys": ("joins",), "mandatory_where_keys": ("branches", "keys_over"),
+        "manual_join_instead_of_assoc": ("joins",), "named_bindings": ("unnamed",), "offset_without_limit": ("units",), "required_order": ("units",), "unbounded_deletes": ("bounded",),
+        "unbounded_updates": ("bounded",), "utc_datetime_naive_comparisons": ("comparisons",),
+    }.items()
+}
+
+
 def validate(queries: Queries, specs: Iterable[str | tuple | CheckSpec]) -> DataFrame:
     """Issues of all queries; a check may come once.  For several checks the facts are worked out once and stored."""
     specs = normalize(specs, CHECKS)
