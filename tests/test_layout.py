@@ -84,6 +84,69 @@ def test_invalid_snapshots(spark):
     assert got == {(2, "viewport"), (3, "rectangle"), (3, "repeated-target")}
 
 
+@pytest.mark.parametrize(
+    ("problem", "view", "target", "member"),
+    [("viewport", (0.0, 5.0), None, None), ("rectangle", None, (2, *box("a", 0, 0, -1, 1)), None), ("repeated-target", None, (1, *box("a", 0, 0, 1, 1)), None), ("member", None, None, (2, "items", 5, None, 0.0, 0.0, 1.0, 1.0)), ("match-count", None, (2, "z", -1, None, None, None, None, None), None)],
+)
+def test_malformed_snapshots_stop_the_evaluation(spark, problem, view, target, member):
+    views = spark.createDataFrame([(1, 100.0, 100.0), (2, *(view or (9.0, 9.0)))], "snapshot_id bigint, viewport_width double, viewport_height double")
+    targets = spark.createDataFrame([(1, *box("a", 0, 0, 1, 1)), *([target] if target else [])], T)
+    members = spark.createDataFrame([(1, "items", 0, False, 0.0, 0.0, 1.0, 1.0), *([member] if member else [])], M)
+    rules, _ = lay.rule_table(spark, [lay.in_viewport("a"), lay.pairwise_not_overlap("items")])
+    assert lay.evaluate(rules, views.where("snapshot_id = 1"), targets.where("snapshot_id = 1").limit(1), members.where("snapshot_id = 1")).count() == 0
+    with pytest.raises(Exception, match=f"malformed snapshot {1 if problem == 'repeated-target' else 2}: {problem}"):
+        lay.evaluate(rules, views, targets, members).collect()
+
+
+def overlapping(spark, boxes):
+    views = spark.createDataFrame([(1, 1e9, 1e9)], "snapshot_id bigint, viewport_width double, viewport_height double")
+    members = spark.createDataFrame([(1, "items", k, False, *map(float, r)) for k, r in enumerate(boxes)], M)
+    rules, _ = lay.rule_table(spark, [lay.pairwise_not_overlap("items")])
+    return lay.evaluate(rules, views, spark.createDataFrame([], T), members)
+
+
+def test_overlaps_of_all_sizes(spark):
+    rng = random.Random(9)
+    size = lambda: rng.choice([0.3, 1, 2, 7.5, 64, 1000, 2**20]) * rng.choice([1, 1, rng.random() + 0.01])
+    boxes = [(rng.uniform(-50, 2000), rng.uniform(-50, 2000), size(), size()) for _ in range(250)] + [(k, 0, 1, 1) for k in range(20)] + [(5, 5, 2, 2)] * 3
+    meets = lambda p, q: min(p[0] + p[2], q[0] + q[2]) - max(p[0], q[0]) > 0 and min(p[1] + p[3], q[1] + q[3]) - max(p[1], q[1]) > 0
+    want = sorted((i, j) for i in range(len(boxes)) for j in range(i + 1, len(boxes)) if meets(boxes[i], boxes[j]))
+    got = sorted((r.member_ix, r.other_ix) for r in overlapping(spark, boxes).collect())
+    assert got == want and len(want) > 100
+
+
+def joined_rows(spark, boxes):
+    """Rows that the joins by cells give, of a run."""
+    df = overlapping(spark, boxes)
+    n = df.count()
+    df.write.format("noop").mode("overwrite").save()
+    found = []
+
+    def walk(node):
+        name = node.nodeName()
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return n, max(found, default=0)
+
+
+def test_overlaps_in_bounded_rows(spark):
+    """A square of a million pixels among small ones, and many small or thin ones side by side: no pair but the large one's."""
+    large = [(0, 0, 1e6, 1e6)] + [(2e6 + 10 * k, 0, 5, 5) for k in range(3000)]
+    small = [(10 * (k % 60) + 0.5, 10 * (k // 60) + 0.5, 9, 9) for k in range(3000)]
+    thin = [(0.2 * k, 0, 0.1, 1000) for k in range(3000)]
+    for boxes in (large, small, thin):
+        n, rows = joined_rows(spark, boxes)
+        assert n == 0 and rows < 40 * len(boxes)
+
+
 FRAMES = [("a", 1, [5, 6, 6, 6, 7]), ("b", 1, [1, 1, None, 1, 1]), ("c", 1, [2, 2, 2, 3, 3])]
 
 

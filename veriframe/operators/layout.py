@@ -164,10 +164,17 @@ def rule_table(spark: SparkSession, rules: Iterable[Rule | Mapping[str, Any]]) -
     return spark.createDataFrame(good, RULE_SCHEMA), spark.createDataFrame(bad, "rule_index int, seq int, category string, code string, message string")
 
 
+def _finite(*columns: Column | str) -> Column:
+    return reduce(lambda a, b: a & b, [F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)) for c in columns])
+
+
+def _shape() -> Column:
+    return _finite("x", "y", "width", "height") & _finite(F.col("x") + F.col("width"), F.col("y") + F.col("height")) & (F.col("width") >= 0) & (F.col("height") >= 0)
+
+
 def invalid_snapshots(snapshots: DataFrame, targets: DataFrame, members: DataFrame) -> DataFrame:
-    """snapshot_id and problem of malformed facts; evaluating those is an error."""
-    finite = lambda *cs: reduce(lambda a, b: a & b, [F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)) for c in cs])
-    shape = lambda: finite("x", "y", "width", "height") & finite(F.col("x") + F.col("width"), F.col("y") + F.col("height")) & (F.col("width") >= 0) & (F.col("height") >= 0)
+    """snapshot_id and problem of malformed facts; evaluate() fails on those."""
+    finite, shape = _finite, _shape
     view = snapshots.where(~(finite("viewport_width", "viewport_height") & (F.col("viewport_width") > 0) & (F.col("viewport_height") > 0))).select("snapshot_id", F.lit("viewport").alias("problem"))
     one = targets.where(F.coalesce(F.col("match_count"), F.lit(-1)) < 0).select("snapshot_id", F.lit("match-count").alias("problem"))
     rect = targets.where((F.col("match_count") == 1) & ~(shape() & F.col("hidden").isNotNull())).select("snapshot_id", F.lit("rectangle").alias("problem"))
@@ -176,6 +183,25 @@ def invalid_snapshots(snapshots: DataFrame, targets: DataFrame, members: DataFra
     return reduce(DataFrame.union, [view, one, rect, many, twice]).distinct()
 
 
+def _checked(rows: DataFrame, *problems: tuple[str, Column]) -> DataFrame:
+    """``rows`` whose ids can't be read where there is a problem: the plan itself fails, with the snapshot and the first
+    problem, and needs no pass of its own."""
+    bad = F.lit(None).cast("string")
+    for name, cond in reversed(problems):
+        bad = F.when(cond, name).otherwise(bad)
+    own = F.col("snapshot_id")
+    told = F.raise_error(F.concat(F.lit("malformed snapshot "), F.coalesce(own.cast("string"), F.lit("without id")), F.lit(": "), bad))
+    return rows.withColumn("snapshot_id", F.when(bad.isNull(), own).otherwise(told.cast(rows.schema["snapshot_id"].dataType)))
+
+
+def _guarded(snapshots: DataFrame, targets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The facts, which fail where invalid_snapshots() has something to say."""
+    view, shape = _finite("viewport_width", "viewport_height") & (F.col("viewport_width") > 0) & (F.col("viewport_height") > 0), _shape() & F.col("hidden").isNotNull()
+    twice = F.count("*").over(Window.partitionBy("snapshot_id", "target"))
+    one = _checked(targets.withColumn("_times", twice), ("match-count", F.coalesce(F.col("match_count"), F.lit(-1)) < 0), ("rectangle", (F.col("match_count") == 1) & ~shape), ("repeated-target", F.col("_times") > 1))
+    return _checked(snapshots, ("viewport", ~view)), one.drop("_times"), _checked(members, ("member", ~shape))
+
+
 def _edges(side: str) -> dict[str, Column]:
     x, y, w, h = (F.col(f"{side}.{c}") for c in ("x", "y", "width", "height"))
     return {"x": x, "y": y, "w": w, "h": h, "right": x + w, "bottom": y + h}
@@ -258,7 +284,9 @@ def _findings(rows: DataFrame, *found: tuple[Column, list[Column]]) -> DataFrame
 
 
 def evaluate(rules: DataFrame, snapshots: DataFrame, targets: DataFrame, members: DataFrame) -> DataFrame:
-    """Findings (FINDINGS) of all valid rules on all snapshots.  Only what the rules' kinds need is part of the plan."""
+    """Findings (FINDINGS) of all valid rules on all snapshots.  Only what the rules' kinds need is part of the plan, and
+    malformed facts among that make it fail with the snapshot's id."""
+    snapshots, targets, members = _guarded(snapshots, targets, members)
     kinds = {r.kind for r in rules.select("kind").distinct().collect()}  # a rule table is configuration, not data
     few = F.broadcast(rules)
     rect = F.struct("match_count", "hidden", "x", "y", "width", "height")
@@ -334,19 +362,39 @@ def _collections(rules: DataFrame, views: DataFrame, one: DataFrame, members: Da
     return [*out, _overlaps(rows.where(good & (kind == "pairwiseNotOverlap")))] if "pairwiseNotOverlap" in kinds else out
 
 
-def _overlaps(good: DataFrame, cell: float = 512.0) -> DataFrame:
-    """Pairs of members that overlap.  Members are joined by the cells of a grid that they touch, not each with each; a
-    pair counts in the cell of its intersection's upper left corner only."""
-    m = F.col("m")
-    span = lambda low, size: F.sequence(F.floor(m[low] / cell), F.floor((m[low] + m[size]) / cell))
-    cells = good.withColumn("cx", F.explode(span("x", "width"))).withColumn("cy", F.explode(span("y", "height")))
-    left = cells.select("snapshot_id", "rule_index", "subject", "reference", "cx", "cy", F.col("m").alias("a"))
-    right = cells.select("snapshot_id", "rule_index", "cx", "cy", F.col("m").alias("b"))
+def _overlaps(good: DataFrame) -> DataFrame:
+    """Pairs of members that overlap.
+
+    Members are joined by cells of grids, never each with each.  A member's own grid has cells as wide and as high as the
+    next powers of two, so it touches four of them at most, whatever its size.  Two members meet in the grid of the larger
+    width and the larger height of the two: that of one of them, which owns it, or one that has one's width and the
+    other's height.  So a member is entered once in each grid of its collection that is as coarse as its own or coarser,
+    and there an owner meets all, and who owns the width meets who owns the height.  A pair counts in the cell of its
+    intersection's upper left corner only.  Rows besides the pairs: members times the distinct powers of two, squared."""
+    level = lambda size: F.ceil(F.log2(size)).cast("int")
+    group = Window.partitionBy("snapshot_id", "rule_index")
+    box = ("member_ix", "x", "y", "width", "height")
+    rows = good.select("snapshot_id", "rule_index", "subject", "reference", *[F.col("m")[c].alias(c) for c in box]).withColumns({"own_x": level("width"), "own_y": level("height")})
+    rows = rows.withColumns({"xs": F.collect_set("own_x").over(group), "ys": F.collect_set("own_y").over(group)})
+    coarser = lambda levels, own: F.explode(F.filter(levels, lambda k: k >= F.col(own)))
+    rows = rows.withColumn("lx", coarser("xs", "own_x")).withColumn("ly", coarser("ys", "own_y"))
+    cell = lambda v, k: F.floor(v / F.pow(F.lit(2.0), F.col(k)))
+    span = lambda low, size, k: F.explode(F.sequence(cell(F.col(low), k), cell(F.col(low) + F.col(size), k)))
+    rows = rows.withColumn("cx", span("x", "width", "lx")).withColumn("cy", span("y", "height", "ly"))
+    by = ["snapshot_id", "rule_index", "lx", "ly", "cx", "cy"]
+    owns_x, owns_y = F.col("lx") == F.col("own_x"), F.col("ly") == F.col("own_y")
+    owns = (owns_x & owns_y).alias("owns")
+    one = lambda where: rows.where(where).select(*by, "subject", "reference", F.struct(*box).alias("a"))
+    other = lambda where: rows.where(where).select(*by, F.struct(*box).alias("b"), owns)
     a, b = _edges("a"), _edges("b")
     across, down = _depth(a, b)
-    home = (F.floor(F.greatest(a["x"], b["x"]) / cell) == F.col("cx")) & (F.floor(F.greatest(a["y"], b["y"]) / cell) == F.col("cy"))
-    pairs = left.join(right, ["snapshot_id", "rule_index", "cx", "cy"]).where((F.col("a.member_ix") < F.col("b.member_ix")) & (across > 0) & (down > 0) & home)
-    return pairs.select(*_row(F.col("a.member_ix"), "layout", F.lit("collection-overlap"), member=F.col("a.member_ix"), other=F.col("b.member_ix"), actual=F.least(across, down)))
+    home = (cell(F.greatest(a["x"], b["x"]), "lx") == F.col("cx")) & (cell(F.greatest(a["y"], b["y"]), "ly") == F.col("cy"))
+    # two owners of one grid meet once
+    met = one(owns_x & owns_y).join(other(F.lit(True)), by).where(~F.col("owns") | (F.col("a.member_ix") < F.col("b.member_ix")))
+    met = met.unionByName(one(owns_x & ~owns_y).join(other(~owns_x & owns_y), by))
+    pairs = met.where((F.col("a.member_ix") != F.col("b.member_ix")) & (across > 0) & (down > 0) & home)
+    first, second = F.least("a.member_ix", "b.member_ix"), F.greatest("a.member_ix", "b.member_ix")
+    return pairs.select(*_row(first, "layout", F.lit("collection-overlap"), member=first, other=second, actual=F.least(across, down)))
 
 
 def report(findings: DataFrame, snapshots: DataFrame, rules: DataFrame, invalid: DataFrame) -> DataFrame:
