@@ -153,14 +153,71 @@ def test_spelling_sums_to_one():
     assert pitman_yor.spelling_probability(model, [b"the"])[0] > pitman_yor.spelling_probability(model, [b"zzz"])[0] > 0
 
 
-@pytest.mark.parametrize("customers", [1, 2, 50, 5000])
-def test_seating(customers):
-    """The mean number of tables is the one of the process, customer by customer."""
-    rng = np.random.default_rng(7)
-    many, alpha, d = 3000, 3.0, 0.4
-    got = pitman_yor.seat(np.full(many, customers), np.full(many, alpha), d, rng.integers(0, 2**63, many).astype(np.uint64), 3)
-    assert got.min() >= 1 and got.max() <= customers
-    t = np.ones(many)
-    for j in range(1, customers):
-        t += rng.random(many) < alpha / (alpha + j - d * t)
-    assert abs(got.mean() - t.mean()) < 0.05 * t.mean() + 0.02
+def seatings(n):
+    """All ways to seat n customers, as sizes of tables."""
+    if not n:
+        return [[]]
+    return [w for rest in seatings(n - 1) for w in [[*rest, 1], *[[*rest[:k], rest[k] + 1, *rest[k + 1 :]] for k in range(len(rest))]]]
+
+
+def weights(n, d):
+    """Of t tables, summed over all seatings, by enumeration."""
+    out = [0.0] * (n + 1)
+    for sizes in seatings(n):
+        out[len(sizes)] += math.prod(i - d for m in sizes for i in range(1, m))
+    return out
+
+
+def opened(t, others, theta, d, share):
+    return math.prod((theta + d * (others + i)) * share for i in range(t))
+
+
+@pytest.mark.parametrize(("theta", "d", "share"), [(0.1, 0.8, 0.3), (3.0, 0.4, 0.05), (1.0, 0.6, 0.9)])
+def test_tables_have_their_exact_distribution(theta, d, share):
+    rng, many = np.random.default_rng(7), 40_000
+    for n in (2, 3, 6):
+        w = [x * opened(t, 5, theta, d, share) for t, x in enumerate(weights(n, d))]
+        got = pitman_yor.seat(np.full(many, n), np.full(many, 2), np.full(many, 7), np.full(many, share), theta, d, rng.integers(0, 2**63, many).astype(np.uint64), 3)
+        assert np.abs(np.bincount(got, minlength=n + 1) / many - np.array(w) / sum(w)).max() < 0.01
+
+
+def test_sweeps_have_the_exact_posterior_as_limit():
+    """Two dishes of a restaurant with a fixed parent, many chains: the joint distribution of their tables."""
+    theta, d, share, n, many = 0.5, 0.7, (0.2, 0.4), (4, 3), 30_000
+    exact = np.zeros((5, 4))
+    for a in range(1, 5):
+        for b in range(1, 4):
+            together = math.prod(theta + d * i for i in range(a + b)) * share[0] ** a * share[1] ** b
+            exact[a, b] = weights(4, d)[a] * weights(3, d)[b] * together
+    exact /= exact.sum()
+    key = np.random.default_rng(3).integers(0, 2**62, many).astype(np.uint64)
+    t = [np.full(many, 4), np.full(many, 1)]
+    for sweep in range(1, 25):
+        for k in (0, 1):
+            t[k] = pitman_yor.seat(np.full(many, n[k]), t[k], t[0] + t[1], np.full(many, share[k]), theta, d, key * np.uint64(2) + np.uint64(k), sweep)
+    got = np.zeros((5, 4))
+    np.add.at(got, (t[0], t[1]), 1 / many)
+    assert np.abs(got - exact).max() < 0.01
+
+
+def test_dishes_with_many_customers(monkeypatch):
+    rng, many = np.random.default_rng(5), 4000
+    given = (np.full(many, 2), np.full(many, 40), np.full(many, 0.01), 1.0, 0.6, rng.integers(0, 2**63, many).astype(np.uint64), 1)
+    for n in (1, 200, 5000):
+        got = pitman_yor.seat(np.full(many, n), *given)
+        assert got.min() >= 1 and got.max() <= n
+    groups = pitman_yor.seat(np.full(many, 250), *given).mean()
+    monkeypatch.setattr(pitman_yor, "EXACT", 250)
+    pitman_yor._ways.cache_clear()
+    exact = pitman_yor.seat(np.full(many, 250), *given).mean()
+    pitman_yor._ways.cache_clear()
+    print("tables of 250 customers, exact and in groups:", exact, groups)
+    assert abs(exact - groups) < 0.15 * exact
+
+
+def test_own_tables_leave_the_parent():
+    customers, tables, d, theta, above = np.array([7.0, 3.0]), np.array([2.0, 1.0]), 0.5, 2.0, np.array([0.3, 0.7])
+    whole = theta + customers.sum()
+    share = (customers - d * tables + (theta + d * tables.sum()) * above) / whole
+    out = pitman_yor.without_own(share, (customers - d * tables) / customers, np.array([7.0, 0.0]), whole)
+    assert np.allclose(out, [(theta + d * 3) * 0.3 / (whole - 7), share[1]])

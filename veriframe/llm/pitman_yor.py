@@ -9,11 +9,13 @@ tell lower-case letters apart), so there are at most 32768 restaurants of 257 di
 has a fixed bound and is what the driver and the broadcasts hold.  Words and pairs of words stay in tables, dealt by
 hash, and grow with the corpus.
 
-Seating is sampled by Gibbs sweeps: all customers of a dish in a restaurant are seated anew given the restaurant's
-present number of tables and the parent's predictive probability.  Restaurants of one level are sampled side by side
-from the sweep before, so a restaurant of any size is dealt over all tasks.  The random numbers are hashes of dish,
-restaurant and sweep: partitions, batches and repeated tasks don't change the result.  Customers of a dish beyond 64 come
-in groups of 1/64 of those already seated, and a group's expected number of new tables is rounded at random.  A dish
+Seating is sampled by Gibbs sweeps.  A move takes all customers of a dish in a restaurant out, with their tables and these
+tables' customers in the parent, and seats them anew: the number of tables is drawn from its exact distribution given all
+other customers, which sums over all seatings with so many tables (generalized Stirling numbers).  Moves of one level
+are made side by side from the sweep before, so a restaurant of any size is dealt over all tasks.  The random numbers are hashes of dish,
+restaurant and sweep: partitions, batches and repeated tasks don't change the result.  Of a
+dish with more than 128 customers these sit down first, exactly; the others follow in groups of 1/64 of those already
+seated, and a group's expected number of new tables is rounded at random.  A dish
 with one customer has one table, always; pairs of words that came once only need no sampling and are kept as hashes.  A
 sweep's predictive probabilities are averaged over the sweeps after the first ``burn_in``; the log of the average is the
 score.  Discounts are estimated on each level from the dishes with one and with two customers.
@@ -67,26 +69,66 @@ def _uniform(key: np.ndarray, sweep: int, draw: int) -> np.ndarray:
     return (mix64(key ^ mix64(np.array([sweep << 32 | draw], dtype=np.uint64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def seat(customers: np.ndarray, strength: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables of each dish. ``strength``: weight of a new table, (concentration + discount * tables) * parent's share;
-    ``key``: 64-bit hash of restaurant and dish."""
+#: Customers of a dish up to which its tables are drawn from their exact conditional distribution.
+EXACT = 128
+
+
+@functools.lru_cache(8)
+def _ways(discount: float) -> np.ndarray:
+    """[n, t]: log weight of all ways to seat n customers at t tables, a table of m weighing (1 - d) (2 - d) ... (m - 1 - d)."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[0, 0] = 0.0
+    t = np.arange(EXACT + 1)
+    for n in range(EXACT):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            joined = out[n] + np.log(np.maximum(n - discount * t, 0.0))
+        out[n + 1] = np.logaddexp(np.where(np.isnan(joined), -np.inf, joined), np.concatenate([[-np.inf], out[n, :-1]]))
+    return out
+
+
+def seat(customers: np.ndarray, before: np.ndarray, seated: np.ndarray, share: np.ndarray, concentration: float, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of each dish, reseated: all its customers leave their ``before`` tables of the restaurant's ``seated`` ones
+    and sit down again, a new table weighing (concentration + discount * tables) * ``share``, one with m customers
+    m - discount.  Summed over the seatings with t tables this gives t's distribution, from which one is drawn.
+    ``share``: the parent's, without the dish's own tables; ``key``: 64-bit hash of restaurant and dish."""
     tables = np.minimum(customers, 1).astype(np.int64)
+    others = np.maximum(np.asarray(seated, dtype=np.float64) - before, 0.0) * np.ones(len(customers))
+    share = np.maximum(share, 1e-300) * np.ones(len(customers))
+    drawn = _uniform(key, sweep, 0)
+    ways, few = _ways(round(float(discount), 6)), np.minimum(customers, EXACT)
     order = np.flatnonzero(customers > 1)
+    order = order[np.argsort(few[order], kind="stable")]
+    sizes, starts = np.unique(few[order], return_index=True)
+    ends = np.searchsorted(few[order], sizes, side="right")
+    for n, i, j in zip(sizes.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        for k in range(i, j, max(1, (1 << 21) // n)):
+            own = order[k : min(j, k + max(1, (1 << 21) // n))]
+            new = np.log((concentration + discount * (others[own, None] + np.arange(n))) * share[own, None])
+            weight = ways[n, 1 : n + 1] + np.cumsum(new, axis=1)
+            chance = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            tables[own] = 1 + (chance < drawn[own, None] * chance[:, -1:]).sum(axis=1)
+    order = np.flatnonzero(customers > EXACT)
     order = order[np.argsort(-customers[order], kind="stable")]
-    counts, alpha, t, key = customers[order], strength[order], tables[order], key[order]
-    j = 1
+    counts, t, j = customers[order], tables[order], EXACT
     while True:
         active = int(np.searchsorted(-counts, -j, side="left"))  # those with more than j customers
         if not active:
             break
         step = np.minimum(max(1, j // 64), counts[:active] - j)
-        p = alpha[:active] / (alpha[:active] + np.maximum(j - discount * t[:active], 1e-9))
-        t[:active] += (step * p + _uniform(key[:active], sweep, j)).astype(np.int64)
+        alpha = (concentration + discount * (others[order[:active]] + t[:active])) * share[order[:active]]
+        p = alpha / (alpha + np.maximum(j - discount * t[:active], 1e-9))
+        t[:active] += (step * p + _uniform(key[order[:active]], sweep, j)).astype(np.int64)
         j += max(1, j // 64)
     tables[order] = np.minimum(t, counts)
     return tables
 
 
+def without_own(share: np.ndarray, mass: np.ndarray, own: np.ndarray, whole: float | np.ndarray) -> np.ndarray:
+    """A parent's predictive probability of a dish without ``own`` of its customers.  ``mass``: what a customer of it adds
+    to the numerator on average, (customers - discount * tables) / customers; ``whole``: the denominator."""
+    return (share * whole - mass * own) / np.maximum(whole - own, 1e-9)
+
+
 def fit_spelling(context: np.ndarray, symbol: np.ndarray, customers: np.ndarray, seed: int, sweeps: int = 2, discount: float = 0.6, concentration: float = 1.0) -> Spelling:
     """From customers of the longest level, by context and symbol."""
     ids, rows = [None] * LEVELS, [None] * LEVELS
@@ -110,13 +152,16 @@ def fit_spelling(context: np.ndarray, symbol: np.ndarray, customers: np.ndarray,
         return out
 
     for sweep in range(sweeps + 1):
-        above = predictive() if sweep else None
+        above, held = (predictive() if sweep else None), [c.copy() if c is not None else None for c in counts]
         for k in range(LEVELS - 1, -1, -1):
             if sweep:
-                parent = (above[k - 1] if k else base)[rows[k]]
-                strength = (concentration + discount * tables[k].sum(axis=1, keepdims=True)) * parent
+                parent, before = (above[k - 1] if k else base)[rows[k]], np.minimum(tables[k], counts[k])
+                if k:
+                    mass = (held[k - 1] - discount * tables[k - 1]) / np.maximum(held[k - 1], 1)
+                    parent = without_own(parent, mass[rows[k]], tables[k], concentration + held[k - 1].sum(axis=1, keepdims=True)[rows[k]])
+                seated = np.broadcast_to(before.sum(axis=1, keepdims=True), counts[k].shape)
                 cells = ids[k].astype(np.uint64)[:, None] * np.uint64(SYMBOLS) + np.arange(SYMBOLS, dtype=np.uint64)
-                tables[k] = seat(counts[k].ravel(), strength.ravel(), discount, cells.ravel(), seed * 1000 + sweep * LEVELS + k).reshape(counts[k].shape)
+                tables[k] = seat(*(x.ravel() for x in (counts[k], before, seated, parent)), concentration, discount, cells.ravel(), seed * 1000 + sweep * LEVELS + k).reshape(counts[k].shape)
             else:
                 tables[k] = np.minimum(counts[k], 1)
             if k:
@@ -414,8 +459,8 @@ def _seat_words(words: DataFrame, totals: Totals, sweep: int) -> DataFrame:
             now, k = shared.value, np.asarray(batch.column("k"))
             if now.spelling and len(k):
                 spelled = spelling_probability(now.spelling[-1], batch.column("word").to_pylist())
-                strength = (now.concentration + now.discount[-1] * now.tables[-1]) * spelled
-                t = seat(k, strength, now.discount[-1], np.asarray(batch.column("h")).view(np.uint64), sweep)
+                # each dish has but one of some thousand tables here, and the spelling some thousand customers
+                t = seat(k, np.minimum(k, 1), np.full(len(k), now.tables[-1]), spelled, now.concentration, now.discount[-1], np.asarray(batch.column("h")).view(np.uint64), sweep)
             else:
                 t = np.minimum(k, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t, pa.int64())], schema.names)
@@ -442,7 +487,7 @@ def _word_shares(seated: DataFrame, totals: Totals, name: str) -> DataFrame:
 
 
 def _seat_pairs(pairs: DataFrame, words: DataFrame, totals: Totals, sweep: int) -> DataFrame:
-    """Seats the customers of all pairs anew. ``words``: h, share and tables of the sweep before.  The pairs' earlier
+    """Seats the customers of all pairs anew. ``words``: h, share, mass (see without_own) and tables of the sweep before.  The pairs' earlier
     tables stay beside them under a name for each sweep."""
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,21 +499,23 @@ def _seat_pairs(pairs: DataFrame, words: DataFrame, totals: Totals, sweep: int)
                     own = pa.array(as_long(h[s : s + 100_000]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), p, dtype=np.int32)), own], ["part", "h"])
 
-    known = pairs.select("part", "packed").mapInArrow(lean(wanted), "part int, h long").join(words, "h").select("part", "h", "share", "tables")
+    known = pairs.select("part", "packed").mapInArrow(lean(wanted), "part int, h long").join(words, "h").select("part", "h", "share", "mass", "tables")
     discount, concentration = totals.pair_discount, totals.pair_concentration
+    whole = totals.concentration + totals.customers[-1]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         h = np.asarray(right.column("h").combine_chunks()).view(np.uint64) if len(right) else np.zeros(0, dtype=np.uint64)
         order = np.argsort(h)
-        h, share, tables = h[order], *(np.asarray(right.column(c).combine_chunks())[order] if len(right) else np.zeros(0) for c in ("share", "tables"))
+        h, share, mass, tables = h[order], *(np.asarray(right.column(c).combine_chunks())[order] if len(right) else np.zeros(0) for c in ("share", "mass", "tables"))
         for p, blob in zip(left.column("part").to_pylist(), left.column("packed").to_pylist(), strict=True):
             x = unpacked(blob)
             if len(x["c"]):
                 v, w = np.searchsorted(h, x["v"]), np.searchsorted(h, x["w"])
-                strength = (concentration + discount * tables[v]) * share[w]
+                before = x["t"].astype(np.int64)
+                parent = without_own(share[w], mass[w], before, whole)
                 x[f"t{sweep - 1}"] = x["t"]
-                x["t"] = seat(x["c"], strength, discount, pair(x["v"], x["w"]), sweep).astype(np.uint32)
+                x["t"] = seat(x["c"], before, tables[v], parent, concentration, discount, pair(x["v"], x["w"]), sweep).astype(np.uint32)
             else:
                 x[f"t{sweep - 1}"] = x["t"]
             out.append((p, packed(**x)))
@@ -524,7 +571,8 @@ def fit(training: DataFrame, burn_in: int = 1, samples: int = 2) -> Model:
         shares = _word_shares(seated, totals, "share")
         discard(seated, words)
         if sweep + 1 < burn_in + samples:
-            before, pairs = pairs, materialize(_seat_pairs(pairs, shares.select("h", "share", "tables"), totals, sweep + 1), "pairs")
+            mass = F.when(F.col("k") > 0, (F.col("k") - totals.discount[-1] * F.col("t")) / F.col("k")).otherwise(0.0)
+            before, pairs = pairs, materialize(_seat_pairs(pairs, shares.select("h", "share", mass.alias("mass"), "tables"), totals, sweep + 1), "pairs")
             discard(before)
         kept_columns = [c for c in shares.columns if c.startswith(("share_", "tables_"))]
         now = [F.col("share").alias(f"share_{sweep}"), F.col("tables").alias(f"tables_{sweep}")] if sweep >= burn_in else []
