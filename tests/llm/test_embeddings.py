@@ -62,3 +62,19 @@ def test_components(spark):
         linked = {x for a, b in edges if a != b for x in (a, b)}
         assert got == {k: v for k, v in want.items() if k in linked}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_recall_on_planted_groups(spark):
+    """12000 vectors in groups around the threshold, with the default parameters, against brute force."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(2000, 64))
+    owner = np.concatenate([np.arange(2000), rng.integers(0, 2000, 10_000)])
+    vectors = centres[owner] + rng.normal(size=(12_000, 64)) * rng.choice([0.05, 0.12, 0.16, 0.2], size=(12_000, 1))
+    rng.shuffle(vectors)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(8)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = np.concatenate([(unit[k : k + 2000] @ unit.T >= 0.95).sum(axis=1) - 1 for k in range(0, len(unit), 2000)])
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    found = np.array([got[i] for i in range(len(unit))])
+    print("links found", found.sum(), "of", links.sum())
+    assert links.sum() > 20_000 and (found <= links).all() and found.sum() >= 0.9 * links.sum()
