@@ -15,7 +15,7 @@ from .registry import Found, check
 MARGINS = ("m", "mx", "my", "ms", "me", "mt", "mr", "mb", "ml")
 SPACINGS = ("m", "mx", "my", "mt", "mr", "mb", "ml", "p", "px", "py", "pt", "pr", "pb", "pl", "gap", "gap-x", "gap-y", "space-x", "space-y")
 #: Attributes that handle keys.
-KEY_HANDLERS = ("phx-keydown", "phx-keyup", "phx-window-keydown", "phx-window-keyup", "onkeydown", "onkeyup", "onkeypress")
+KEY_HANDLERS = ("phx-keydown", "phx-keyup", "phx-window-keydown", "phx-window-keyup", "onkeydown", "onkeyup")
 NAMES = ("aria-label", "aria-labelledby")
 PIXELS = re.compile(r"(?<![\w.-])-?(?:\d+(?:\.\d+)?|\.\d+)px\b", re.IGNORECASE)
 
