@@ -366,12 +366,12 @@ def _overlaps(good: DataFrame) -> DataFrame:
     """Pairs of members that overlap.
 
     Members are joined by cells of grids, never each with each.  A member's own grid has cells as wide and as high as the
-    next powers of two, so it touches four of them at most, whatever its size.  Two members meet in the grid of the larger
+    next powers of four, so it touches four of them at most, whatever its size.  Two members meet in the grid of the larger
     width and the larger height of the two: that of one of them, which owns it, or one that has one's width and the
     other's height.  So a member is entered once in each grid of its collection that is as coarse as its own or coarser,
     and there an owner meets all, and who owns the width meets who owns the height.  A pair counts in the cell of its
-    intersection's upper left corner only.  Rows besides the pairs: members times the distinct powers of two, squared."""
-    level = lambda size: F.ceil(F.log2(size)).cast("int")
+    intersection's upper left corner only.  Rows besides the pairs: members times the distinct powers of four, squared."""
+    level = lambda size: (2 * F.ceil(F.log2(size) / 2)).cast("int")
     group = Window.partitionBy("snapshot_id", "rule_index")
     box = ("member_ix", "x", "y", "width", "height")
     rows = good.select("snapshot_id", "rule_index", "subject", "reference", *[F.col("m")[c].alias(c) for c in box]).withColumns({"own_x": level("width"), "own_y": level("height")})
