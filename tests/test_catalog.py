@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -96,3 +97,38 @@ def test_options(spark):
     assert cat.validate(whole, [("duplicate_indexes", {"validate": False}), "duplicate_indexes"]).count() == 0
     with pytest.raises(ValueError, match="paths or modules"):
         cat.validate(whole, [("changeset_check_constraints", {})])
+
+
+@pytest.mark.parametrize("kind", ["unique", "foreign_key", "check"])
+def test_handled_constraints(spark, kind):
+    rng = random.Random(kind)
+    word = lambda n: "".join(rng.choice("ab_") for _ in range(rng.randrange(n + 1)))
+    places = [("db", "M", f"f{k}", 1) for k in range(12)] + [("other", None, "f0", 1)]
+    rows = [(*p, t, f"{t}_{word(3)}{rng.choice(['_index', '_fkey', ''])}") for p in places for t in ("t", "a_b") for _ in range(6)]
+    rows += [(*places[0], "t", None), rows[0], (*places[1], "t", "t_index"), (*places[2], "é", "é_a_index")]
+    calls = []
+    for p in places:
+        for _ in range(rng.randrange(4)):
+            how = rng.choice([None, "exact", "prefix", "suffix", "regex"])
+            given = rng.choice([None, word(3), "t_" + word(2), word(2) + "_index", rng.choice(rows)[5]])
+            calls.append((*p, kind, rng.choice([None, ["a"], ["a", "b"], [], ["", None]]), "^" + given if given and how == "regex" else given, how))
+
+    def handles(row, call):
+        if row[:4] != call[:4] or None in row[:4] or row[5] is None:
+            return False
+        fields, given, how = call[5:]
+        if given is None:
+            if kind == "check" or fields is None or (kind == "foreign_key" and (not fields or fields[0] is None)):
+                return False
+            part = "_".join(f for f in fields if f is not None) if kind == "unique" else fields[0]
+            return row[5] == f"{row[4]}_{part}{cat.SUFFIX[kind]}"
+        return {"prefix": row[5].startswith, "suffix": row[5].endswith, "regex": lambda g: bool(re.search(g, row[5]))}.get(how, row[5].__eq__)(given)
+
+    df = spark.createDataFrame(rows, "target string, module string, function string, arity int, table_name string, name string")
+    made = spark.createDataFrame(calls, cat.SCHEMAS["calls"])
+    got = cat._unhandled(df, made, kind)
+    want = [r for r in rows if not any(handles(r, c) for c in calls)]
+    assert 0 < len(want) < len(rows)
+    order = lambda v: sorted(map(str, v))
+    assert order(tuple(r) for r in got.select(df.columns).collect()) == order(want)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()

@@ -225,6 +225,36 @@ def unique_keys(c: Catalog) -> DataFrame:
 SUFFIX = {"unique": "_index", "foreign_key": "_fkey"}
 
 
+PLACE = ["target", "module", "function", "arity"]
+
+
+def _unhandled(rows: DataFrame, calls: DataFrame, kind: str) -> DataFrame:
+    """The ``rows`` (PLACE, table_name, name) that no call of their function handles.  Exact and inferred names are
+    equal keys; for prefixes and suffixes a name is cut at the lengths that its function's calls have, and the cuts are
+    equal keys.  Patterns are tested on the names that are left."""
+    calls = calls.select(*PLACE, F.coalesce("match", F.lit("exact")).alias("how"), F.col("name").alias("given"), F.col("fields").alias("call_fields"))
+    named = calls.where("given IS NOT NULL").select(*PLACE, "how", "given").distinct()
+    affixes = named.where(F.col("how").isin("prefix", "suffix"))
+    exact = named.where(~F.col("how").isin("prefix", "suffix", "regex")).select(*PLACE, F.col("given").alias("name"))
+    rows = rows.join(exact, [*PLACE, "name"], "left_anti")
+    if kind in SUFFIX:
+        # a composite unique key is named after all fields, a foreign key after the first
+        part = F.array_join("call_fields", "_") if kind == "unique" else F.get("call_fields", F.lit(0))
+        inferred = calls.where("given IS NULL").select(*PLACE, part.alias("_part")).distinct()
+        before, after = F.length("table_name") + 1, len(SUFFIX[kind])
+        fits = F.col("name").startswith(F.concat("table_name", F.lit("_"))) & F.col("name").endswith(SUFFIX[kind]) & (F.length("name") >= before + after)
+        middle = F.when(fits, F.substring(F.col("name"), before + 1, F.length("name") - before - after))
+        rows = rows.withColumn("_part", middle).join(inferred, [*PLACE, "_part"], "left_anti").drop("_part")
+    lengths = affixes.groupBy(*PLACE, "how").agg(F.collect_set(F.length("given")).alias("lengths"))
+    names = rows.select(*PLACE, "name").distinct().join(lengths, PLACE)
+    names = names.select(*PLACE, "name", "how", F.explode(F.filter("lengths", lambda n: n <= F.length("name"))).alias("n"))
+    cut = F.when(F.col("how") == "prefix", F.left("name", F.col("n"))).otherwise(F.right("name", F.col("n")))
+    rows = rows.join(names.withColumn("given", cut).join(affixes, [*PLACE, "how", "given"], "left_semi").select(*PLACE, "name").distinct(), [*PLACE, "name"], "left_anti")
+    patterns = named.where("how = 'regex'").select(*PLACE, "given")
+    matched = rows.select(*PLACE, "name").distinct().join(patterns, PLACE).where("name RLIKE given").select(*PLACE, "name").distinct()
+    return rows.join(matched, [*PLACE, "name"], "left_anti")
+
+
 def _changeset(c: Catalog, options: Mapping[str, Any], kind: str, constraints: DataFrame) -> DataFrame:
     """Functions that take in all fields of a constraint without handling its violation.
 
@@ -240,16 +270,7 @@ def _changeset(c: Catalog, options: Mapping[str, Any], kind: str, constraints: D
     if options.get("modules"):
         rows = rows.where(matches(F.col("module"), options["modules"]))
     rows = rows.join(constraints, TABLE).where((F.size("columns") > 0) & (F.size(F.array_except("columns", "fields")) == 0))
-    place = ["target", "module", "function", "arity"]
-    calls = c.calls.where(F.col("kind") == kind).select(*place, F.col("name").alias("call_name"), F.col("match"), F.col("fields").alias("call_fields"))
-    how, name, given = F.coalesce("match", F.lit("exact")), F.col("name"), F.col("call_name")
-    handled = F.when(how == "suffix", name.endswith(given)).when(how == "prefix", name.startswith(given)).when(how == "regex", F.expr("name rlike call_name")).otherwise(name == given)
-    if kind in SUFFIX:
-        # a composite unique key is named after all fields, a foreign key after the first
-        part = F.array_join("call_fields", "_") if kind == "unique" else F.get("call_fields", F.lit(0))
-        handled = F.when(given.isNull(), name == F.concat("table_name", F.lit("_"), part, F.lit(SUFFIX[kind]))).otherwise(handled)
-    on = reduce(lambda a, b: a & b, [F.col(f"r.{p}") == F.col(f"k.{p}") for p in place]) & F.coalesce(handled, F.lit(False))
-    found = rows.alias("r").join(calls.alias("k"), on, "left_anti")
+    found = _unhandled(rows, c.calls.where(F.col("kind") == kind), kind)
     message = _said(F.col("module"), ".", F.col("function"), "/", F.col("arity").cast("string"), " takes in the fields of ", F.col("name"), " but doesn't handle it")
     return _issues(found, f"unhandled_{kind}", message, constraint="name", columns="columns", module="module", function="function")
 
