@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from veriframe.operators import layout as lay
 from veriframe.streaming import readiness
@@ -172,3 +173,15 @@ def test_readiness_stream(spark, tmp_path):
     q = readiness.ready_stream(stream, wanted, 2).writeStream.format("memory").queryName("ready").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.target, r.ready_frame) for r in spark.table("ready").collect()} == {("a", 3), ("c", 2)}
+
+
+def test_exact_diagnostics(spark):
+    rules, _ = lay.rule_table(spark, [lay.same_width("a", "b", 0.1), lay.above("a", "b", (1, None), 0.2), lay.width("a", 2)])
+    row = lambda rule, code, actual, category="layout": (1, rule, 0, category, code, 'a"', "b", None, None, None, actual)
+    given = [row(0, "size-mismatch", 0.3), row(0, "size-mismatch", 0.1 + 0.2), row(0, "size-mismatch", 1e-7), row(0, "size-mismatch", 1e25), row(0, "size-mismatch", 123456789.125), row(1, "ordering-violation", -0.5), row(1, "gap-out-of-range", -0.0), row(2, "dimension-out-of-range", 1.5), row(0, "missing-element", None, "element-resolution"), row(9, "size-mismatch", 1.0)]
+    df = spark.createDataFrame([(k, *g[1:]) for k, g in enumerate(given)], lay.FINDINGS)
+    got = {r.snapshot_id: r for r in lay.diagnostics(df, rules).withColumn("said", lay.plain(F.col("excess"))).collect()}
+    assert [got[k].said for k in range(10)] == ["0.2", "0.20000000000000004", None, None, "123456789.025", "0.3", None, None, None, None]
+    assert [got[k].expected for k in (0, 5, 6, 7, 8, 9)] == ["at most 0.1px", "at most 0.2px", "gap at least 1px", "across at least 2px", None, None]
+    assert got[0].text == 'rule 0: size-mismatch\nsubject: "a\\""\nreference: "b"\nexpected: at most 0.1px\nactual: 0.3px\nexcess: 0.2px'
+    assert "actual: 0px" in got[6].text and "actual: 0.0000001px" in got[2].text and "actual: 1.0E25px" in got[3].text and got[9].text is None

@@ -12,6 +12,7 @@ import json
 import math
 from collections.abc import Iterable, Mapping
 from dataclasses import asdict, dataclass
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
@@ -410,8 +411,56 @@ def report(findings: DataFrame, snapshots: DataFrame, rules: DataFrame, invalid:
     )
 
 
+def exact(value: Column) -> Column:
+    """A double as the decimal that its shortest text names; null for what has more than 19 digits before the point, or
+    isn't finite.  Digits from the 19th after the point on are rounded."""
+    return value.cast("string").try_cast("decimal(37,18)")
+
+
+def plain(number: Column) -> Column:
+    """A decimal as text, without zeros at its end and without an exponent."""
+    return F.regexp_replace(F.regexp_replace(F.format_number(number, 18), ",", ""), "\\.?0+$", "")
+
+
+def _pixels(value: Column) -> Column:
+    return F.concat(F.coalesce(plain(exact(value)), value.cast("string")), F.lit("px"))
+
+
+#: Findings whose rule allows a tolerance, and how far apart things are from the finding's number.
+_APART = ("alignment-mismatch", "size-mismatch", "containment-overflow", "collection-containment-overflow", "collection-width-mismatch")
+_BEHIND = ("ordering-violation", "collection-ordering-violation")
+
+
+def diagnostics(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """The findings with expected, excess and text.  ``excess`` (decimal) is by how much a tolerance is passed, worked
+    out on decimals, so that 0.3 beyond a tolerance of 0.1 is 0.2; null where nothing is tolerated or the number is
+    beyond ``exact``.  ``text`` is a diagnosis in lines; findings of unknown rules have none of the three."""
+    bounds = ("tolerance", "gap_min", "gap_max", "h_min", "h_max", "v_min", "v_max")
+    rows = findings.join(F.broadcast(rules.select("rule_index", *[F.col(b).alias(f"_{b}") for b in bounds], F.lit(True).alias("_known"))), "rule_index", "left")
+    code, actual = F.col("code"), F.col("actual")
+    apart = F.when(code.isin(*_APART), actual).when(code.isin(*_BEHIND), -actual)
+    excess = exact(apart) - exact(F.col("_tolerance"))
+
+    def within(label: str, low: str, high: str) -> Column:
+        low, high = F.col(f"_{low}"), F.col(f"_{high}")
+        said = F.when(low.isNotNull() & high.isNotNull(), F.concat(_pixels(low), F.lit(" to "), _pixels(high))).when(low.isNotNull(), F.concat(F.lit("at least "), _pixels(low))).when(high.isNotNull(), F.concat(F.lit("at most "), _pixels(high)))
+        return F.concat(F.lit(label), said)
+
+    spans = F.concat_ws(", ", within("gap ", "gap_min", "gap_max"), within("across ", "h_min", "h_max"), within("down ", "v_min", "v_max"))
+    expected = F.when(apart.isNotNull(), F.concat(F.lit("at most "), _pixels(F.col("_tolerance")))).when((F.col("category") == "layout") & (spans != ""), spans)
+    quoted = lambda c: F.to_json(F.struct(c)).substr(F.lit(len(c) + 5), F.length(F.to_json(F.struct(c))) - len(c) - 5)
+    line = lambda label, c: F.concat(F.lit(label), c)
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("rule "), F.col("rule_index").cast("string"), F.lit(": "), code), line("subject: ", quoted("subject")), line("reference: ", quoted("reference")),
+        line("operand: ", F.col("operand")), line("member: ", F.col("member_ix").cast("string")), line("other member: ", F.col("other_ix").cast("string")),
+        line("expected: ", F.col("expected")), line("actual: ", _pixels(actual)), line("excess: ", F.concat(plain(F.col("excess")), F.lit("px"))),
+    )
+    rows = rows.withColumns({"expected": expected, "excess": F.when(excess > 0, excess)})
+    return rows.withColumn("text", F.when(F.col("_known"), text)).select(*findings.columns, "expected", "excess", "text")
+
+
 def describe(finding: Mapping[str, Any]) -> str:
     """A line for people about one finding."""
     where = f" member {finding['member_ix']}" if finding.get("member_ix") is not None else ""
     to = f" and {json.dumps(finding['reference'])}" if finding.get("reference") else ""
-    return f"rule {finding['rule_index']}: {finding['code']} at {json.dumps(finding['subject'])}{where}{to}" + (f" ({finding['actual']:g} px)" if finding.get("actual") is not None else "")
+    return f"rule {finding['rule_index']}: {finding['code']} at {json.dumps(finding['subject'])}{where}{to}" + (f" ({format(Decimal(repr(finding['actual'])), 'f')} px)" if finding.get("actual") is not None else "")

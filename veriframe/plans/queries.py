@@ -195,6 +195,24 @@ for _name, (_rule, _sql) in _GROUPS.items():
     _add(f"layout_{_name}", _layout(_rule, ("code", "member_ix", "other_ix", "actual")), _sql)
 
 
+
+def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules, _ = layout.rule_table(spark, [layout.same_width("item1", "item2", 0.3)])
+    found = layout.diagnostics(layout.evaluate(rules, *snapshots(spark, sf_dir)), rules)
+    return found.select("snapshot_id", "code", "expected", layout.plain(F.col("excess")).alias("excess"), "text")
+
+
+_TEXT = "concat('rule 0: ', code, chr(10), 'subject: \"item1\"', chr(10), 'reference: \"item2\"', {})"
+_add(
+    "layout_diagnostics", _diagnostics,
+    f"""WITH f AS ({_pair_sql(*_PAIRS["same_width"][1:]).replace("> 5 ", "> 0.3 ").replace("round(actual, 6)", "actual")}),
+e AS (SELECT *, CAST(CAST(actual AS VARCHAR) AS DECIMAL(37,18)) AS d FROM f),
+t AS (SELECT *, regexp_replace(CAST(d AS VARCHAR), '\\.?0+$', '') AS a, regexp_replace(CAST(d - CAST(0.3 AS DECIMAL(37,18)) AS VARCHAR), '\\.?0+$', '') AS x FROM e)
+SELECT snapshot_id, code, CASE WHEN actual IS NOT NULL THEN 'at most 0.3px' END AS expected, x AS excess,
+CASE WHEN actual IS NULL THEN {_TEXT.format("chr(10), 'operand: ', operand")} ELSE {_TEXT.format("chr(10), 'expected: at most 0.3px', chr(10), 'actual: ', a, 'px', chr(10), 'excess: ', x, 'px'")} END AS text FROM t""",
+)
+
+
 # Readiness: a user is a session, an event is a frame of two targets; some events hide one or show two of it.
 
 _WAIT_MS = 5 * 24 * 3600 * 1000
