@@ -8,9 +8,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.contract import CheckSpec, normalize, run
+from ..plans.contract import CheckSpec, as_issues, normalize, run
 from ..plans.store import stored
-from ..sources.html import elements
+from ..sources.html import elements, unreadable
 
 #: Hrefs that lead nowhere.
 EMPTY_HREFS = ("", "#", "javascript:void(0)", "javascript:void(0);")
@@ -98,12 +98,17 @@ CHECKS = {
 
 
 def validate(pages: DataFrame, specs: Iterable[str | tuple | CheckSpec], id_column: str = "page_id", html_column: str = "html") -> DataFrame:
-    """Issues of all pages; without specs nothing is parsed.  For several checks the elements are parsed once and stored."""
+    """Issues of all pages; without specs nothing is read.  For several checks the elements are read once and stored.
+    A page that can't be read gives one issue, of the check ``html`` and before all others, with its beginning."""
     specs = normalize(specs, CHECKS)
-    found = elements(pages, id_column, html_column) if specs else None
+    if not specs:
+        return run("html", None, specs, CHECKS, pages.sparkSession)
+    found = elements(pages, id_column, html_column, nesting=False)
     if sum(s.options.get("validate", True) is not False for s in specs) > 1:
         found = stored(found)
-    return run("html", found, specs, CHECKS, pages.sparkSession)
+    bad = unreadable(pages, id_column, html_column).withColumns({"ordinal": F.lit(-1), "tag": F.lit(None).cast("string")})
+    unread = as_issues(_issues(bad, F.lit("the page can't be read: it isn't UTF-8")), "html", "html", -1)
+    return unread.unionByName(run("html", found, specs, CHECKS, pages.sparkSession))
 
 
 def summary(issues: DataFrame) -> DataFrame:

@@ -41,23 +41,25 @@ MARKUP = """concat('<div>',
   CASE WHEN page_id % 9 = 0 THEN '<a href=" # " phx-click="act">x</a>' WHEN page_id % 9 = 1 THEN '<a href="JavaScript:void(0);" phx-click="act">x</a>' ELSE '<a href="/y" phx-click="act">x</a>' END,
   CASE WHEN page_id % 10 = 0 THEN '<span phx-click="[[&quot;push&quot;,{}],[&quot;navigate&quot;,{}]]">n</span>' WHEN page_id % 10 = 1 THEN '<span phx-click="[[&quot;push&quot;,{}]]">n</span>' ELSE '<span phx-click="navigate">n</span>' END,
   '</div>', html)"""
-#: The page without scripts and comments, as the SQL side looks at start tags by patterns.
-PLAIN = f"regexp_replace(regexp_replace({MARKUP}, '(?is)<script.*?</script>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
+#: Start tags of a page and their places, by patterns: comments and what is in scripts don't count.
+TAGS = f"""WITH plain AS (SELECT page_id, regexp_replace(regexp_replace({MARKUP}, '(?is)(<script[^>]*>).*?</script>', '\\1', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+tags AS (SELECT page_id, unnest(regexp_extract_all(h, '(?is)<[a-z][^>]*>')) AS snippet, generate_subscripts(regexp_extract_all(h, '(?is)<[a-z][^>]*>'), 1) - 1 AS seq FROM plain)"""
 
 
-def _tags(pattern: str) -> str:
-    return f"len(regexp_extract_all(h, '(?is){pattern}'))"
+def _tags(where: str, message: str) -> str:
+    return f"""{TAGS}
+SELECT page_id, CAST(seq AS INTEGER) AS seq, {message} AS message, regexp_extract(snippet, '^<([a-zA-Z0-9]+)', 1) AS tag, snippet FROM tags {where}"""
 
 
 _HTML_SQL = {
-    "no_duplicate_attributes": _tags(r"""<p class="a" id="i" class="b" id="j">""") + " * 2",
-    "no_inline_style": _tags(r"""<[a-z][^>]*\sstyle\s*="""),
-    "prefer_button_for_action": _tags(r"""<a href="\s*(#|javascript:void\(0\);?)?\s*" phx-click=[^>]*>"""),
-    "prefer_link_for_navigation": _tags(r"""<span phx-click="\[\[[^>]*&quot;navigate&quot;[^>]*>"""),
-    "require_button_type": f"""{_tags("<button[^>]*>")} - {_tags('<button[^>]*type="[ ]*(button|submit|reset)[ ]*"[^>]*>')}""",
-    "require_image_alt": f"""{_tags("<img[^>]*>")} - {_tags("<img[^>]*[ ]alt[^>]*>")}""",
-    "require_input_autocomplete": f"""{_tags("<input[^>]*>")} - {_tags('<input[^>]*(type="hidden"|autocomplete="[^" ]+")[^>]*>')}""",
-    "require_link_href": f"""{_tags("<a([ ][^>]*)?>")} - {_tags("<a[ ][^>]*href[^>]*>")}""",
+    "no_duplicate_attributes": _tags("""CROSS JOIN (VALUES ('class'), ('id')) names(n) WHERE snippet = '<p class="a" id="i" class="b" id="j">'""", "'<p> has the attribute ' || n || ' more than once'"),
+    "no_inline_style": _tags(r"""WHERE regexp_matches(snippet, '(?i)\sstyle\s*=')""", "'<' || regexp_extract(snippet, '^<([a-zA-Z0-9]+)', 1) || '> has an inline style'"),
+    "prefer_button_for_action": _tags(r"""WHERE regexp_matches(snippet, '(?i)^<a href="\s*(#|javascript:void\(0\);?)?\s*" phx-click=')""", "'a link that only acts should be a <button>'"),
+    "prefer_link_for_navigation": _tags(r"""WHERE regexp_matches(snippet, '^<span phx-click="\[\[.*&quot;navigate&quot;')""", "'navigation should be an <a>; phx-click does navigate on <span>'"),
+    "require_button_type": _tags("""WHERE snippet LIKE '<button%' AND NOT regexp_matches(snippet, '(?i)type="[ ]*(button|submit|reset)[ ]*"')""", "'<button> needs a type: button, submit or reset'"),
+    "require_image_alt": _tags("""WHERE snippet LIKE '<img%' AND NOT regexp_matches(snippet, '[ ]alt')""", "'<img> needs an alt attribute'"),
+    "require_input_autocomplete": _tags("""WHERE snippet LIKE '<input%' AND NOT regexp_matches(snippet, 'type="hidden"|autocomplete="[^" ]+"')""", "'<input> needs an autocomplete attribute'"),
+    "require_link_href": _tags("""WHERE regexp_matches(snippet, '^<a( |>)') AND NOT regexp_matches(snippet, '[ ]href')""", "'<a> needs an href attribute'"),
 }
 
 
@@ -68,13 +70,13 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _html(check: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         issues = html.validate(marked_pages(spark, sf_dir), [check])
-        return issues.groupBy(F.col("subject_order").alias("page_id")).agg(F.count("*").alias("n_issues"))
+        return issues.select(F.col("subject_order").alias("page_id"), "seq", "message", "tag", "snippet")
 
     return run
 
 
 for _check in html.CHECKS:
-    _add(f"html_{_check}", _html(_check), f"SELECT page_id, n_issues FROM (SELECT page_id, CAST({_HTML_SQL[_check]} AS BIGINT) AS n_issues FROM (SELECT page_id, {PLAIN} AS h FROM pages)) WHERE n_issues > 0")
+    _add(f"html_{_check}", _html(_check), _HTML_SQL[_check])
 
 
 # Layout: an order is a snapshot, its lines are rectangles and the members of one collection.
