@@ -28,7 +28,8 @@ def attribute(name: str) -> Column:
 
 
 def has(name: str) -> Column:
-    return F.exists("attrs", lambda a: a["name"] == name)
+    """Whether there is such an attribute; attributes are only worked out where the start tag holds the name at all."""
+    return F.contains(F.lower("snippet"), F.lit(name)) & F.exists("attrs", lambda a: a["name"] == name)
 
 
 def trimmed(c: Column) -> Column:

@@ -442,14 +442,127 @@ _LINT: dict[str, tuple[dict, list[str], str]] = {
 }
 
 
+#: check -> (code, meta) of the issues above, as SQL over orders; the place is the first for each of them.
+_SAID: dict[str, tuple[str, str]] = {
+    "cartesian_joins": ("cartesian_join", """'{"qual":"' || CASE o_orderkey % 4 WHEN 0 THEN 'cross' ELSE 'inner' END || '","schema":"Author"}'"""),
+    "conflicting_where_predicates": ("conflicting_predicates", """'{"field":"title"}'"""),
+    "date_datetime_mixed_comparisons": ("date_datetime_comparison", """'{"field":"day","operators":["' || CASE o_orderkey % 5 WHEN 0 THEN '<' WHEN 1 THEN '==' ELSE '>' END || '"]}'"""),
+    "deterministic_order": ("unstable_order", """'{"fields":["title"]}'"""),
+    "duplicate_joins": ("duplicate_join", """'{"original":0}'"""),
+    "empty_in_predicates": ("empty_in", """'{"field":"title"}'"""),
+    "explicit_visibility_predicates": ("missing_visibility", """'{"field":"deleted_at"}'"""),
+    "half_open_temporal_intervals": ("closed_interval", """'{"field":"at","operators":["' || CASE o_orderkey % 4 WHEN 0 THEN '>' ELSE '<=' END || '"]}'"""),
+    "hard_delete_on_soft_delete_schema": ("hard_delete", """'{"schema":"Post","field":"deleted_at"}'"""),
+    "left_join_where_predicates": ("left_join_rejected", """'{"fields":["' || CASE o_orderkey % 5 WHEN 0 THEN 'at' ELSE 'id' END || '"],"alias":"a"}'"""),
+    "mandatory_join_keys": ("missing_join_key", """'{"keys":["tenant_id"]}'"""),
+    "mandatory_where_keys": ("missing_where_key", """'{"keys":["tenant_id"],"branch":""}'"""),
+    "manual_join_instead_of_assoc": ("manual_join", """'{"associations":["author"]}'"""),
+    "named_bindings": ("unnamed_join", """'{"detail":"0"}'"""),
+    "offset_without_limit": ("offset_without_limit", "CAST(NULL AS VARCHAR)"),
+    "required_order": ("missing_order", """'{"reasons":["limit"' || CASE WHEN o_orderkey % 2 = 1 THEN ',"stream"' ELSE '' END || ']}'"""),
+    "unbounded_deletes": ("unbounded_delete", "CAST(NULL AS VARCHAR)"),
+    "unbounded_updates": ("unbounded_update", "CAST(NULL AS VARCHAR)"),
+    "utc_datetime_naive_comparisons": ("naive_comparison", """'{"field":"at"}'"""),
+}
+
+# A second query for each order is made of its lines: a line gives a condition, a join or an order, and the SQL side
+# tells from the lines which issues there must be. Equal conditions come once, those joined by and before those joined
+# by or, so a query's branches are its and-lines together and each of its or-lines.
+
+_AND, _OR = "and", "or"
+_OF_JOIN = _EQ(_F("tenant_id"), _F("tenant_id", "@"))
+_AS = lambda qual, on="", alias=',"as":"a@"': '{"qual":"%s","schema":"Author","table":"authors"%s%s}' % (qual, alias, f',"on":{on}' if on else "")  # noqa: E731, UP031
+_AT = lambda op, v, t: _EQ(_F("at"), _L(v, t), op)
+_TENANT_IS = lambda v: _EQ(_F("tenant_id"), _L(v, "integer"))
+_BOTH = """(SELECT query_id, {} FROM q LEFT JOIN ln USING (query_id) GROUP BY query_id)"""
+_HAS = lambda *kinds: f"coalesce(bool_or(kind IN ({', '.join(map(str, kinds))})), false)"
+_FIRST = lambda field, code, ops, kinds: f"""SELECT query_id, min(pos) AS seq, '{code}' AS code, '{{"field":"{field}","operators":["' || array_to_string(list_sort(list(DISTINCT CASE kind {ops} END)), '","') || '"]}}' AS meta
+FROM ln WHERE kind IN {kinds} GROUP BY query_id"""
+
+
+def _one_of(code: str, has: str, where: str, meta: str = "CAST(NULL AS VARCHAR)") -> str:
+    return f"SELECT query_id, 0 AS seq, '{code}' AS code, {meta} AS meta FROM {_BOTH.format(has)} WHERE {where}"
+
+
+#: check -> (member of the tree, further members, what a line gives by its supplier's number, the issues as SQL over
+#: q(query_id) and ln(query_id, kind, pos))
+_LINES: dict[str, tuple[str, list[str], list, str]] = {
+    "cartesian_joins": ("joins", [_ALL], [_AS("cross"), _AS("inner", '["lit",true,"boolean"]'), _AS("inner", _OF_JOIN), _AS("left", _OF_JOIN)],
+        """SELECT query_id, pos AS seq, 'cartesian_join' AS code, '{"qual":"' || CASE kind WHEN 0 THEN 'cross' ELSE 'inner' END || '","schema":"Author"}' AS meta FROM ln WHERE kind IN (0, 1)"""),
+    "conflicting_where_predicates": ("wheres", [_ALL], [(_AND, _T1), (_AND, _T2), (_AND, _TENANT_IS(1)), (_AND, _TENANT_IS(2)), (_AND, _EQ(_F("id"), _L(1, "integer"))), (_OR, _EQ(_F("title"), _L('"z"')))],
+        """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY field) - 1 AS seq, 'conflicting_predicates' AS code, '{"field":"' || field || '"}' AS meta
+FROM (SELECT query_id, CASE WHEN kind < 2 THEN 'title' ELSE 'tenant_id' END AS field FROM ln WHERE kind < 4 GROUP BY ALL HAVING count(DISTINCT kind) > 1) WHERE query_id NOT IN (SELECT query_id FROM ln WHERE kind = 5)"""),
+    "date_datetime_mixed_comparisons": ("wheres", [_ALL], [(_AND, _EQ(_F("day"), _F("at"), "<")), (_AND, _EQ(_F("at"), _F("day"))), (_AND, _EQ(_F("day"), f'["type",{_F("at")},"date"]')), (_AND, f'["not",{_EQ(_F("day"), _F("until"), ">")}]'), (_AND, _T1)],
+        _FIRST("day", "date_datetime_comparison", "WHEN 0 THEN '<' WHEN 1 THEN '==' WHEN 3 THEN '>'", "(0, 1, 3)")),
+    "deterministic_order": ("order_by", [_ALL], [_F("title"), _F("tenant_id"), _F("day"), _F("at"), _F("id")],
+        """SELECT query_id, 0 AS seq, 'unstable_order' AS code, '{"fields":["' || string_agg(CASE kind WHEN 0 THEN 'title' WHEN 1 THEN 'tenant_id' WHEN 2 THEN 'day' ELSE 'at' END, '","' ORDER BY pos) || '"]}' AS meta
+FROM ln GROUP BY query_id HAVING NOT bool_or(kind = 4) AND NOT (bool_or(kind = 0) AND bool_or(kind = 1))"""),
+    "duplicate_joins": ("joins", [_ALL], [_AS("inner", alias=""), _AS("inner", _OF_JOIN, ""), _AS("left", alias="")],
+        """SELECT query_id, pos AS seq, 'duplicate_join' AS code, '{"original":' || first || '}' AS meta FROM (SELECT *, min(pos) OVER (PARTITION BY query_id, kind) AS first FROM ln) WHERE pos > first"""),
+    "empty_in_predicates": ("wheres", [_ALL], [(_AND, f'["in",{_F("title")},[]]'), (_AND, _T1), (_OR, f'["in",{_F("tenant_id")},[]]'), (_OR, f'["in",{_F("title")},[]]'), (_OR, _T2)],
+        f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY field) - 1 AS seq, 'empty_in' AS code, '{{"field":"' || field || '"}}' AS meta
+FROM (SELECT DISTINCT query_id, CASE kind WHEN 2 THEN 'tenant_id' ELSE 'title' END AS field FROM ln WHERE kind IN (0, 2, 3)) JOIN {_BOTH.format(f"{_HAS(4)} OR ({_HAS(0, 1)} AND NOT {_HAS(0)}) AS other")} USING (query_id) WHERE NOT other"""),
+    "explicit_visibility_predicates": ("wheres", [_ALL], [(_AND, f'["is_nil",{_F("deleted_at")}]'), (_AND, _TENANT_IS(1)), (_AND, _T1), (_OR, f'["is_nil",{_F("deleted_at")}]'), (_OR, _T2)],
+        _one_of("missing_visibility", f"{_HAS(0, 1, 2, 3, 4)} AS given, {_HAS(4)} OR ({_HAS(1, 2)} AND NOT {_HAS(0)}) AS bare", "bare OR NOT given", """'{"field":"deleted_at"}'""")),
+    "half_open_temporal_intervals": ("wheres", [_ALL], [(_AND, _AT(">", '"2024-01-01"', "utc_datetime")), (_AND, _AT("<", '"2024-01-01"', "utc_datetime")), (_AND, _EQ(_L('"2024-01-01"', "utc_datetime"), _F("at"), ">=")), (_AND, f'["not",{_AT(">", chr(34) + "z" + chr(34), "string")}]'), (_AND, _AT(">=", '"2024-01-01"', "utc_datetime"))],
+        _FIRST("at", "closed_interval", "WHEN 0 THEN '>' WHEN 2 THEN '<='", "(0, 2)")),
+    "left_join_where_predicates": ("wheres", [_ALL, _JOIN("left", _ON)], [(_AND, _EQ(_F("at", "1"), _L('"z"'), ">")), (_AND, f'["is_nil",{_F("id", "1")}]'), (_AND, _T1), (_OR, _EQ(_F("id", "1"), _L(1, "integer"))), (_OR, _T2)],
+        _one_of("left_join_rejected", f"{_HAS(0)} AS by_at, {_HAS(3)} AS by_id, {_HAS(4)} OR ({_HAS(1, 2)} AND NOT {_HAS(0)}) AS kept", "(by_at OR by_id) AND NOT kept", """'{"fields":["' || CASE WHEN by_at AND by_id THEN 'at","id' WHEN by_at THEN 'at' ELSE 'id' END || '"],"alias":"a"}'""")),
+    "mandatory_join_keys": ("joins", [_ALL], [_AS("inner", _OF_JOIN), _AS("inner", _EQ(_F("id"), _F("id", "@"))), _AS("left", f'["or",{_OF_JOIN},{_T1}]'), _AS("left", f'["and",{_T1},{_OF_JOIN}]')],
+        """SELECT query_id, pos AS seq, 'missing_join_key' AS code, '{"keys":["tenant_id"]}' AS meta FROM ln WHERE kind IN (1, 2)"""),
+    "mandatory_where_keys": ("wheres", [_ALL], [(_AND, _TENANT), (_AND, f'["in",{_F("tenant_id")},[["lit",1,"integer"]]]'), (_AND, _EQ(_F("tenant_id"), _F("id"))), (_AND, _T1), (_OR, _TENANT), (_OR, _T2)],
+        _one_of("missing_where_key", f"{_HAS(0, 1, 2, 3, 4, 5)} AS given, {_HAS(5)} OR ({_HAS(2, 3)} AND NOT {_HAS(0, 1)}) AS bare", "bare OR NOT given", """'{"keys":["tenant_id"],"branch":""}'""")),
+    "manual_join_instead_of_assoc": ("joins", [_ALL], [_AS("inner", _OF_JOIN), '{"qual":"inner","assoc":"author","as":"a@"}', _AS("left", _OF_JOIN)],
+        """SELECT query_id, pos AS seq, 'manual_join' AS code, '{"associations":["author"]}' AS meta FROM ln WHERE kind <> 1"""),
+    "named_bindings": ("joins", [_ALL], [_AS("inner", alias=""), _AS("inner", _EQ('["field","p","id"]', '["field","a@","id"]'))],
+        """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS seq, 'unnamed_join' AS code, '{"detail":"' || pos || '"}' AS meta FROM ln WHERE kind = 0"""),
+    "unbounded_deletes": ("wheres", [_DELETE], [(_AND, '["lit",true]'), (_AND, _T1), (_OR, '["lit",false]'), (_OR, _T2), (_OR, '["lit",true]')],
+        _one_of("unbounded_delete", f"NOT {_HAS(0, 1, 2, 3, 4)} OR {_HAS(4)} OR ({_HAS(0)} AND NOT {_HAS(1)}) AS whole", "whole")),
+    "unbounded_updates": ("wheres", [_UPDATE], [(_AND, '["not",["lit",false]]'), (_AND, _T1), (_OR, '["not",["lit",true]]'), (_OR, f'["and",{_T2},["lit",true]]'), (_OR, f'["or",{_T2},["lit",true]]')],
+        _one_of("unbounded_update", f"NOT {_HAS(0, 1, 2, 3, 4)} OR {_HAS(4)} OR ({_HAS(0)} AND NOT {_HAS(1)}) AS whole", "whole")),
+    "utc_datetime_naive_comparisons": ("wheres", [_ALL], [(_AND, _AT(">=", '"2024-01-01T00:00:00"', "naive_datetime")), (_AND, _AT("==", '"2024-01-01T00:00:00Z"', "utc_datetime")), (_AND, _T1), (_OR, _EQ(_L('"t"', "naive_datetime"), _F("at"), "<")), (_OR, _T2)],
+        """SELECT query_id, min(pos) AS seq, 'naive_comparison' AS code, '{"field":"at"}' AS meta FROM ln WHERE kind IN (0, 3) GROUP BY query_id"""),
+}
+
+
+def _line_trees(spark: SparkSession, sf_dir: str, check: str) -> DataFrame:
+    """query_id (the order's number, negative, less one) and tree of each order's second query."""
+    member, others, gives, _ = _LINES[check]
+    texts = [g if isinstance(g, str) else f'{{"op":"{g[0]}","expr":{g[1]}}}' for g in gives]
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % len(gives)).alias("kind"))
+    kinds = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("kind")).alias("kinds"))
+    if member == "wheres":
+        kinds = kinds.withColumn("kinds", F.array_distinct("kinds"))
+    text = F.transform("kinds", lambda k, i: F.replace(F.get(F.array(*map(F.lit, texts)), k.cast("int")), F.lit("@"), (i + 1).cast("string")))
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey").join(kinds, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    head = "{" + ",".join([_ROOT, *others]) + f',"{member}":['
+    return orders.select((-F.col("o_orderkey") - 1).alias("query_id"), F.concat(F.lit(head), F.coalesce(F.array_join(text, ","), F.lit("")), F.lit("]}")).alias("tree"))
+
+
 def _lint(check: str, options: dict, members: list[str]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         trees = _read(spark, sf_dir, "orders").selectExpr("o_orderkey AS query_id", f"{_tree(chr(39) + _ROOT + chr(39), *members)} AS tree")
+        if check in _LINES:
+            trees = trees.union(_line_trees(spark, sf_dir, check))
         issues = querylint.validate(query_facts(spark, trees, querylint.READS[check]), [(check, options)])
-        return issues.groupBy(F.col("subject_order").alias("query_id")).agg(F.lit(check).alias("check_name"))
+        return issues.select(F.col("subject_order").alias("query_id"), "seq", "code", "meta")
 
     return run
 
 
+def _lint_sql(check: str, bad: str) -> str:
+    code, meta = _SAID[check]
+    cases = f"SELECT o_orderkey AS query_id, {1 if check == 'duplicate_joins' else 0} AS seq, '{code}' AS code, {meta} AS meta FROM orders WHERE {bad}"
+    if check not in _LINES:
+        return cases
+    member, _, gives, sql = _LINES[check]
+    each = "SELECT DISTINCT" if member == "wheres" else "SELECT"
+    return f"""WITH q AS (SELECT -o_orderkey - 1 AS query_id FROM orders),
+kinds AS ({each} query_id, l_suppkey % {len(gives)} AS kind FROM q JOIN lineitem ON query_id = -l_orderkey - 1),
+ln AS (SELECT query_id, kind, row_number() OVER (PARTITION BY query_id ORDER BY kind) - 1 AS pos FROM kinds)
+{cases}
+UNION ALL SELECT query_id, seq, code, meta FROM ({sql})"""
+
+
 for _check, (_options, _members, _bad) in _LINT.items():
-    _add(f"query_{_check}", _lint(_check, _options, _members), f"SELECT o_orderkey AS query_id, '{_check}' AS check_name FROM orders WHERE {_bad}")
+    _add(f"query_{_check}", _lint(_check, _options, _members), _lint_sql(_check, _bad))
