@@ -22,14 +22,19 @@ NO_AUTOCOMPLETE = ("button", "checkbox", "file", "hidden", "image", "radio", "re
 NAVIGATION = ("navigate", "patch")
 
 
+def _where_named(name: str, value: Column) -> Column:
+    """``value`` where the start tag holds the name at all, else null: attributes aren't worked out for other elements,
+    as what only one arm of a CASE needs isn't worked out ahead of it."""
+    return F.when(F.contains(F.lower("snippet"), F.lit(name)), value)
+
+
 def attribute(name: str) -> Column:
     """The first value of an attribute; null without it."""
-    return F.get(F.filter("attrs", lambda a: a["name"] == name), F.lit(0))["value"]
+    return _where_named(name, F.get(F.filter("attrs", lambda a: a["name"] == name), F.lit(0))["value"])
 
 
 def has(name: str) -> Column:
-    """Whether there is such an attribute; attributes are only worked out where the start tag holds the name at all."""
-    return F.contains(F.lower("snippet"), F.lit(name)) & F.exists("attrs", lambda a: a["name"] == name)
+    return F.coalesce(_where_named(name, F.exists("attrs", lambda a: a["name"] == name)), F.lit(False))
 
 
 def trimmed(c: Column) -> Column:
@@ -67,7 +72,8 @@ def prefer_button_for_action(e: DataFrame, options: Mapping[str, Any]) -> DataFr
 
 def prefer_link_for_navigation(e: DataFrame, options: Mapping[str, Any]) -> DataFrame:
     """The first navigation command among the JSON list of commands in phx-click; what is no JSON list is ignored."""
-    commands = F.from_json(F.when(F.try_parse_json(attribute("phx-click")).isNotNull(), attribute("phx-click")), "array<string>")
+    click = attribute("phx-click")
+    commands = _where_named("phx-click", F.from_json(F.when(F.try_parse_json(click).isNotNull(), click), "array<string>"))
     first = F.filter(F.transform(commands, lambda c: F.get(F.from_json(c, "array<string>"), F.lit(0))), lambda op: op.isin(*NAVIGATION))
     found = e.where((F.col("tag") != "a") & has("phx-click")).withColumn("op", F.get(first, F.lit(0))).where("op is not null")
     return _issues(found, _said("navigation should be an <a>; phx-click does ", F.col("op"), " on <", F.col("tag"), ">"))

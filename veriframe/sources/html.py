@@ -119,6 +119,7 @@ def elements(pages: DataFrame, id_column: str = "page_id", html_column: str = "h
     ``nesting``, parent (ordinal, null at the top) and depth."""
     html = F.col(f"`{html_column}`").cast("string")
     read = pages.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.when(F.is_valid_utf8(html), html).alias("html"))
+    # the outer form, as for the other one the optimizer asks whether there are tokens first and takes pages apart again
     kept = "^</?[A-Za-z]" if nesting else "^<[A-Za-z]"
     tokens = read.select("doc_id", F.filter(F.regexp_extract_all("html", F.lit(_TOKEN), F.lit(0)), lambda t: t.rlike(kept)).alias("tokens"))
     if nesting:
@@ -126,9 +127,9 @@ def elements(pages: DataFrame, id_column: str = "page_id", html_column: str = "h
         start = lambda t: t.rlike("^<[A-Za-z]")
         tags = F.transform("tokens", lambda t: F.struct(_tag(t).alias("tag"), start(t).alias("start"), F.when(start(t), alone(t)).otherwise(False).alias("alone")))
         nested = tokens.select("doc_id", F.filter("tokens", start).alias("starts"), tags.alias("tags")).select("doc_id", "starts", _nested(F.col("tags")).alias("places"))
-        found = nested.select("doc_id", F.posexplode(F.arrays_zip("starts", "places")).alias("ordinal", "e")).select("doc_id", "ordinal", F.col("e.starts").alias("token"), "e.places.parent", "e.places.depth")
+        found = nested.select("doc_id", F.posexplode_outer(F.arrays_zip("starts", "places")).alias("ordinal", "e")).where("ordinal is not null").select("doc_id", "ordinal", F.col("e.starts").alias("token"), "e.places.parent", "e.places.depth")
     else:
-        found = tokens.select("doc_id", F.posexplode("tokens").alias("ordinal", "token"))
+        found = tokens.select("doc_id", F.posexplode_outer("tokens").alias("ordinal", "token")).where("ordinal is not null")
     tag = _tag(F.col("token"))
     snippet = F.when(tag.isin(*TEXT_ONLY), F.regexp_extract("token", rf"^<{_NAME}{_REST}", 0)).otherwise(F.col("token"))
     attrs = F.transform(F.regexp_extract_all(_inside(F.col("snippet")), F.lit(_ATTRIBUTE), F.lit(0)), _attribute)
