@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veriframe.operators import layout as lay
+from veriframe.plans.queries import QUERIES
 from veriframe.streaming import readiness
 
 T = "snapshot_id bigint, target string, match_count int, hidden boolean, x double, y double, width double, height double"
@@ -185,3 +186,16 @@ def test_exact_diagnostics(spark):
     assert [got[k].expected for k in (0, 5, 6, 7, 8, 9)] == ["at most 0.1px", "at most 0.2px", "gap at least 1px", "across at least 2px", None, None]
     assert got[0].text == 'rule 0: size-mismatch\nsubject: "a\\""\nreference: "b"\nexpected: at most 0.1px\nactual: 0.3px\nexcess: 0.2px'
     assert "actual: 0px" in got[6].text and "actual: 0.0000001px" in got[2].text and "actual: 1.0E25px" in got[3].text and got[9].text is None
+
+
+@pytest.mark.parametrize("name", ["equal_widths", "every_inside", "vertically_ordered", "pairwise_not_overlap"])
+def test_equal_lines_in_any_order(spark, tmp_path, name):
+    """Lines that differ only in being hidden are the same members however the table's rows lie."""
+    line = "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_partkey bigint, l_quantity double, l_discount double"
+    lines = [(1, 1, 3, 5, 4.0, 0.01), (1, 2, 10, 5, 4.0, 0.01), (1, 2, 7, 5, 4.0, 0.01), (1, 2, 20, 102, 4.0, 0.01), (1, 2, 9, 5, 4.0, 0.01)]
+    got = []
+    for k, rows in enumerate((lines, lines[::-1], lines[2:] + lines[:2])):
+        spark.createDataFrame(rows, line).coalesce(1).write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        spark.createDataFrame([(1,)], "o_orderkey bigint").write.parquet(f"{tmp_path}/{k}/orders.parquet")
+        got.append(sorted(map(tuple, QUERIES[f"layout_{name}"](spark, f"{tmp_path}/{k}").collect())))
+    assert got[0] == got[1] == got[2] and [r[2] for r in got[0]] == [3, 4]

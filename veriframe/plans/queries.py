@@ -103,7 +103,8 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 def _by_line():
     from pyspark.sql import Window
 
-    return Window.partitionBy("snapshot_id").orderBy("ix", "x", "width", "height")
+    # the SQL's order, and what else tells two lines apart: lines that stay equal are the same rectangle
+    return Window.partitionBy("snapshot_id").orderBy("ix", "x", "width", "height", "hidden")
 
 
 _RECT = "l.hidden, l.x, l.y, l.width, l.height, l.x + l.width AS r, l.y + l.height AS b"
