@@ -4,6 +4,7 @@ import json
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from veriframe.operators import querylint
 from veriframe.sources import query_ir
@@ -105,3 +106,19 @@ def test_trees_that_cannot_be_read(spark):
         with pytest.raises(Exception, match="null|MALFORMED|malformed"):
             query_ir.compile_queries(spark.createDataFrame([(1, bad)], "query_id long, tree string"), only=["bounded"]).collect()
     assert query_ir.compile_queries(spark.createDataFrame([], "query_id long, tree string"), only=["units"]).count() == 0
+
+
+def test_one_tree_in_several_tasks(spark):
+    """Queries that all have one tree don't meet its facts in one task."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        trees = spark.createDataFrame([(k, '{"operation":"stream","from":{"schema":"Post"}}') for k in range(4000)], "query_id long, tree string")
+        rows = query_ir.compile_queries(trees, only=["operation", "schema"]).groupBy(F.spark_partition_id().alias("task"), "operation", "schema").agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("ids")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in rows) == sum(r.ids for r in rows) == 4000 and {(r.operation, r.schema) for r in rows} == {("stream", "Post")}
+    assert max(r.n for r in rows) < 2000

@@ -9,7 +9,7 @@ a position or an alias, ["parent", name] for a field of the query around, ["lit"
 type], ["fragment", expr...], ["subquery", query].
 
 Nothing here runs in Python.  A tree is all that its facts need, and programs ask the same queries again and again: each
-distinct tree is worked out once and joined back to the queries that have it.  ``from_json`` reads a query
+distinct tree is worked out once for each share of its queries (SHARES) and joined back to the queries that have it.  ``from_json`` reads a query
 whose inner queries and expressions stay text; inner queries are reached by a worklist in ``aggregate``, in preorder, at
 any depth.  An expression's closing brackets come in postorder, so ``aggregate`` over its tokens is a stack machine: atoms
 are pushed, a closing bracket replaces a node's parts by what is known of the node.  What is known is a small algebra for
@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BRANCH_LIMIT = 4096
+#: How many tasks the queries of one tree are dealt to; a tree is worked out at most that many times.
+SHARES = 16
 COMPARISONS = ("==", "!=", "<", "<=", ">", ">=")
 
 _SIDE = "struct<binding:int,field:string,schema:string,cast:string,literal:string>"
@@ -697,13 +699,17 @@ def compile_queries(queries: DataFrame, id_column: str = "query_id", tree_column
     rows = queries.select(F.col(id_column).cast("long").alias("query_id"), tree.alias("tree"))
     # as many tasks as a shuffle has, however few bytes the trees are
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = _facts_of(rows.select("tree").distinct().repartition(parts, "tree"), wanted)
-    return rows.join(found, "tree").select("query_id", *wanted)
+    # rows meet the facts by 128 bits of hash, as trees are long; and what many queries have is dealt to several tasks,
+    # each of which works it out for its own share
+    key = {"h1": F.xxhash64("tree"), "h2": F.xxhash64(F.lit(1), "tree"), "share": F.pmod(F.xxhash64("query_id"), F.lit(SHARES)).cast("int")}
+    rows = rows.withColumns(key)
+    found = _facts_of(rows.select(*key, "tree").distinct().repartition(parts, *key), list(key), wanted)
+    return rows.select("query_id", *key).join(found, list(key)).select("query_id", *wanted)
 
 
-def _facts_of(rows: DataFrame, wanted: list[str]) -> DataFrame:
-    """The facts of each tree."""
-    rows = rows.select("tree", F.size(F.regexp_extract_all("tree", F.lit(rf'"from"{_S}:'), F.lit(0))).alias("n"), all_queries(F.col("tree")).alias("parts"))
+def _facts_of(rows: DataFrame, kept: list[str], wanted: list[str]) -> DataFrame:
+    """The facts of each row's tree, and the columns ``kept``."""
+    rows = rows.select(*kept, F.size(F.regexp_extract_all("tree", F.lit(rf'"from"{_S}:'), F.lit(0))).alias("n"), all_queries(F.col("tree")).alias("parts"))
     q, n = F.get("parts", F.lit(0))["q"], F.col("n")
     sets = F.filter("parts", lambda p: p["path"].isNotNull())
     operation = F.coalesce(q["operation"], F.lit("all"))
@@ -726,4 +732,4 @@ def _facts_of(rows: DataFrame, wanted: list[str]) -> DataFrame:
         rows = _branches(rows, sets)
     facts = F.struct(*[(made[c]() if c in made else F.col(c)).cast(_KINDS.get(c, _PLAIN.get(c, "string"))).alias(c) for c in wanted])
     # a generator of one row: filters of the facts would else be pushed below it, and work them out again there
-    return rows.select("tree", F.inline(F.array(facts)))
+    return rows.select(*kept, F.inline(F.array(facts)))
