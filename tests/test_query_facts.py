@@ -122,3 +122,13 @@ def test_one_tree_in_several_tasks(spark):
             spark.conf.set(k, v)
     assert sum(r.n for r in rows) == sum(r.ids for r in rows) == 4000 and {(r.operation, r.schema) for r in rows} == {("stream", "Post")}
     assert max(r.n for r in rows) < 2000
+
+
+def test_duplicate_joins_stay_in_their_rows(spark):
+    """The first of equal joins is told from the query's own row, without a shuffle of its joins."""
+    join = lambda alias: {"qual": "inner", "schema": "Author", "as": alias}
+    trees = [{"from": {"schema": "Post"}, "joins": [join("a"), join("b") | {"qual": "left"}, join("a"), join("b") | {"qual": "left"}, join("a")]}, {"from": {"schema": "Post"}}]
+    table = facts(spark, trees, only=querylint.READS["duplicate_joins"]).localCheckpoint()
+    issues = querylint.duplicate_joins(querylint.Queries(table, None, None, None), {})
+    assert sorted((r.subject_order, r.seq, json.loads(r.meta)["original"]) for r in issues.collect()) == [(0, 2, 0), (0, 3, 1), (0, 4, 0)]
+    assert "Exchange" not in issues._jdf.queryExecution().executedPlan().toString()

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scope import predicate, rules_of
@@ -143,9 +143,10 @@ def deterministic_order(q: Queries, options: Mapping[str, Any]) -> DataFrame:
 
 
 def duplicate_joins(q: Queries, options: Mapping[str, Any]) -> DataFrame:
-    rows = _scope(q.facts, options).select("query_id", F.explode("joins").alias("j")).select("query_id", F.col("j.join_index").alias("i"), F.col("j.signature").alias("signature"))
-    by = Window.partitionBy("query_id", "signature").orderBy("i")
-    found = rows.withColumn("first", F.first("i").over(by)).where("i > first")
+    # a query's joins are in its row, in order: no row has to move
+    at = lambda j: F.array_position(F.transform("joins", lambda x: x["signature"]), j["signature"]).cast("int") - 1
+    pairs = F.transform("joins", lambda j: F.struct(j["join_index"].alias("i"), F.get("joins", at(j))["join_index"].alias("first")))
+    found = _scope(q.facts, options).select("query_id", F.inline(F.filter(pairs, lambda p: p["i"] > p["first"])))
     return _issues(found, "duplicate_join", F.concat(F.lit("join "), F.col("i").cast("string"), F.lit(" repeats join "), F.col("first").cast("string")), F.col("i"), original="first")
 
 
