@@ -132,3 +132,16 @@ def test_duplicate_joins_stay_in_their_rows(spark):
     issues = querylint.duplicate_joins(querylint.Queries(table, None, None, None), {})
     assert sorted((r.subject_order, r.seq, json.loads(r.meta)["original"]) for r in issues.collect()) == [(0, 2, 0), (0, 3, 1), (0, 4, 0)]
     assert "Exchange" not in issues._jdf.queryExecution().executedPlan().toString()
+
+
+def test_associations_come_to_the_joins(spark):
+    """Joins with one pair of schemas don't meet in one task, even where Spark broadcasts nothing by itself."""
+    table = facts(spark, [{"from": {"schema": "Post"}, "joins": [{"qual": "inner", "schema": "Author"}]}] * 3, only=querylint.READS["manual_join_instead_of_assoc"]).localCheckpoint()
+    related = spark.createDataFrame([("Post", "author", "Author", False)], "schema string, name string, related string, filtered boolean")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        issues = querylint.manual_join_instead_of_assoc(querylint.Queries(table, None, related, None), {})
+        assert issues.count() == 3 and "SortMergeJoin" not in issues._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

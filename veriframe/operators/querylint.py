@@ -238,7 +238,8 @@ def mandatory_where_keys(q: Queries, options: Mapping[str, Any]) -> DataFrame:
 def manual_join_instead_of_assoc(q: Queries, options: Mapping[str, Any]) -> DataFrame:
     rows = _scope(q.facts, options).select("query_id", "schema", F.explode("joins").alias("j")).where("j.assoc is null and j.schema is not null").withColumn("related", F.col("j.schema"))
     known = q.associations.where(~F.col("filtered")).groupBy("schema", "related").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    return _issues(rows.join(known, ["schema", "related"]), "manual_join", F.concat(F.lit("join "), F.col("j.join_index").cast("string"), F.lit(" could use the association "), F.array_join("names", " or ")), F.col("j.join_index"), associations="names")
+    # associations are a program's own, few; most joins share one pair of schemas
+    return _issues(rows.join(F.broadcast(known), ["schema", "related"]), "manual_join", F.concat(F.lit("join "), F.col("j.join_index").cast("string"), F.lit(" could use the association "), F.array_join("names", " or ")), F.col("j.join_index"), associations="names")
 
 
 def named_bindings(q: Queries, options: Mapping[str, Any]) -> DataFrame:
