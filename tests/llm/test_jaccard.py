@@ -131,3 +131,17 @@ def test_keep_one_by_text(spark):
     assert got == sorted([(False, 1, a), (False, 2, b), (True, 0, c), (False, 5, d), (False, 5, d), (False, 7, ""), (False, 7, ""), (True, 0, ""), (False, 8, "")])
     plain = spark.createDataFrame([(1, a), (2, a), (3, b)], "doc_id long, text string")
     assert kept_texts(plain) == [(False, 1, a), (False, 3, b)]
+
+
+def test_rows_that_stay_are_not_shuffled(spark, tmp_path):
+    rows = [(k, " ".join(f"{w}x{k // 2 if k < 40 else k}" for w in range(60))) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs, before = spark.read.parquet(f"{tmp_path}/docs"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jaccard_join.keep_one(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in out.collect()) == [k for k in range(400) if k >= 40 or not k % 2]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Union" in plan and "SortMergeJoin" in plan

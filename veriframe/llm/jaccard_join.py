@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import as_long, discard, free_name, lean, materialize, mix64, release, rows_of, shingle_sets
+from .common import apart, as_long, discard, free_name, lean, materialize, mix64, release, rows_of, shingle_sets
 from .graph import components
 
 #: Sets under a key up to which its pairs are listed.
@@ -443,7 +443,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     name = free_name(docs, "_own")
     gone = of_id.where(F.col("doc_id").isNotNull() & ~F.col("any")).select(F.col("doc_id").alias(name))
     mixed = of_id.where(F.col("doc_id").isNull() | (F.col("any") & ~F.col("all"))).select(F.col("doc_id").alias(name))
-    out = docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
+    some, others = apart(docs, gone.withColumnRenamed(name, "doc_id"))
+    out = others.unionByName(some.join(gone, some["doc_id"].cast("long") == F.col(name), "left_anti"))
     if not mixed.limit(1).count():
         return out
     fp, by_fp = free_name(docs, "_fp"), rows.where("stays").select("doc_id", "fp")
@@ -457,7 +458,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], [*batch.schema.names, fp])
 
     same_id = docs["doc_id"].cast("long").eqNullSafe(F.col(name))
-    plain = out.join(mixed, same_id, "left_anti")
+    plain = out.join(mixed, out["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_anti")
     judged = docs.join(mixed, same_id, "left_semi").mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(fp, LongType())]))
     kept_id, kept_fp = free_name(judged, "_kept_id"), free_name(judged, "_kept_fp")
     stays = by_fp.toDF(kept_id, kept_fp)
