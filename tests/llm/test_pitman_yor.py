@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from veriframe.llm import pitman_yor
+from veriframe.llm import common, pitman_yor
 
 from . import brute
 from .texts import ODD, documents
@@ -221,3 +221,9 @@ def test_own_tables_leave_the_parent():
     share = (customers - d * tables + (theta + d * tables.sum()) * above) / whole
     out = pitman_yor.without_own(share, (customers - d * tables) / customers, np.array([7.0, 0.0]), whole)
     assert np.allclose(out, [(theta + d * 3) * 0.3 / (whole - 7), share[1]])
+
+
+def test_groups_hand_their_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "_give_back", lambda: calls.append(1))
+    assert common.lean_group(lambda key, rows: (key, rows))(1, 2) == (1, 2) and calls == [1]

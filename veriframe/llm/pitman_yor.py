@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import as_long, discard, hash_words, lean, materialize, mix64, release, text_slices
+from .common import as_long, discard, hash_words, lean, lean_group, materialize, mix64, release, text_slices
 
 STOP, SYMBOLS, CLASS_BITS, LEVELS = 256, 257, 5, 4
 #: The hash of the empty word, which ends a text.
@@ -361,7 +361,7 @@ def _tables(gathered: DataFrame) -> DataFrame:
         table = pa.table(dict(zip(names, map(pa.array, zip(*out, strict=True)), strict=True)))
         return table.append_column("part", pa.array([p] * len(out), pa.int32())).cast(pa.schema([("kind", pa.int32()), ("packed", pa.binary()), ("n1", pa.int64()), ("n2", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64()), ("part", pa.int32())]))
 
-    return gathered.groupBy("kind", "part").applyInArrow(run, "kind int, packed binary, n1 long, n2 long, tokens long, words long, part int")
+    return gathered.groupBy("kind", "part").applyInArrow(lean_group(run), "kind int, packed binary, n1 long, n2 long, tokens long, words long, part int")
 
 
 def _words(tables: DataFrame) -> DataFrame:
@@ -521,7 +521,7 @@ def _seat_pairs(pairs: DataFrame, words: DataFrame, totals: Totals, sweep: int)
             out.append((p, packed(**x)))
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "packed": pa.array([b for _, b in out], pa.binary())})
 
-    return pairs.select("part", "packed").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(run, "part int, packed binary")
+    return pairs.select("part", "packed").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(lean_group(run), "part int, packed binary")
 
 
 @dataclass
@@ -711,7 +711,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def answered(kind: int, tables: DataFrame) -> DataFrame:
         asked = buckets.mapInArrow(lean(functools.partial(wanted, kind)), "bucket long, kind int, part int, packed binary")
-        out = asked.groupBy("part").cogroup(tables.groupBy("part")).applyInArrow(answer, "bucket long, kind int, part int, packed binary")
+        out = asked.groupBy("part").cogroup(tables.groupBy("part")).applyInArrow(lean_group(answer), "bucket long, kind int, part int, packed binary")
         return materialize(out, "answers")
 
     # words and pairs one after the other: the disks hold the requests of one kind at a time
@@ -767,7 +767,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return pa.table({"doc_id": pa.chunked_array([c for i in ids for c in i.chunks], docs_type), "n_tokens": np.concatenate(n_all).astype(np.int64), "n_known": np.concatenate(n_known).astype(np.int64), "base_score": np.concatenate(base_all).astype(float), "score": np.concatenate(score_all).astype(float)})
 
     docs_type = to_arrow_type(kind)
-    out = buckets.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, f"doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    out = buckets.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lean_group(run), f"doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(model.totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
