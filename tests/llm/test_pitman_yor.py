@@ -1,4 +1,5 @@
 import math
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -227,3 +228,19 @@ def test_groups_hand_their_memory_back(monkeypatch):
     calls = []
     monkeypatch.setattr(common, "_give_back", lambda: calls.append(1))
     assert common.lean_group(lambda key, rows: (key, rows))(1, 2) == (1, 2) and calls == [1]
+
+
+def test_model_leaves_the_disks(spark):
+    docs = documents(spark)
+    kept = pitman_yor.fit(docs)
+    whole = pitman_yor.score(docs, kept).toPandas()
+    again = pitman_yor.score(docs, kept, drop_model=True)
+    for df in (kept.words, kept.pairs, kept.once):
+        assert not os.path.exists(df._shared_path)
+    assert sorted(again.toPandas().score) == sorted(whole.score)
+
+
+def test_distinct_values():
+    rng = np.random.default_rng(4)
+    for x in (rng.integers(0, 2**63, 1000).astype(np.uint64), rng.integers(0, 9, 1000), np.zeros(0, np.uint64)):
+        assert np.array_equal(common.distinct(x), np.unique(x)) and common.distinct(x).dtype == x.dtype

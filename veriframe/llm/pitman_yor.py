@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import as_long, discard, hash_words, lean, lean_group, materialize, mix64, release, text_slices
+from .common import as_long, discard, distinct, hash_words, lean, lean_group, materialize, mix64, release, text_slices
 
 STOP, SYMBOLS, CLASS_BITS, LEVELS = 256, 257, 5, 4
 #: The hash of the empty word, which ends a text.
@@ -276,7 +276,7 @@ def word_bytes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Arra
 
 def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Sorted distinct keys, the place of one of each, and sums of the values."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
     return key[starts], order[starts], [np.add.reduceat(v[order], starts) if len(key) else v for v in values]
@@ -299,7 +299,7 @@ def _gathered(training: DataFrame, parts: int) -> DataFrame:
             v, w = v[at], w[at]
             rows: list[tuple[int, int, bytes]] = []
             for p, s in _slices(g, parts):
-                order = np.argsort(v[s], kind="stable")  # the same context in a row
+                order = np.argsort(v[s])  # the same context in a row
                 rows.append((0, p, packed(v=v[s][order], w=w[s][order], c=c[s][order].astype(np.uint32))))
             h, at, (c,) = _summed(np.concatenate([x[0] for x in words]), np.concatenate([x[1] for x in words]))
             names = pa.concat_arrays([x[2] for x in words]).take(pa.array(at))
@@ -345,7 +345,7 @@ def _tables(gathered: DataFrame) -> DataFrame:
             _, at, (c,) = _summed(pair(x["v"], x["w"]), x["c"].astype(np.int64))
             v, w = x["v"][at], x["w"][at]
             many, once = np.flatnonzero(c > 1), np.flatnonzero(c == 1)
-            many = many[np.argsort(v[many], kind="stable")]
+            many = many[np.argsort(v[many])]
             out.append((0, packed(v=v[many], w=w[many], c=c[many], t=np.ones(len(many), dtype=np.uint32)), len(once), int((c == 2).sum()), 0, 0))
             out.append((1, packed(g=pair(v[once], w[once])), 0, 0, 0, 0))
             ones, none = np.ones(len(once), dtype=np.int64), np.zeros(len(once), dtype=np.int64)
@@ -494,7 +494,7 @@ def _seat_pairs(pairs: DataFrame, words: DataFrame, totals: Totals, sweep: int)
         for batch in batches:
             for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = unpacked(blob)
-                h = np.unique(np.concatenate([x["v"], x["w"]]))
+                h = distinct(np.concatenate([x["v"], x["w"]]))
                 for s in range(0, len(h), 100_000):
                     own = pa.array(as_long(h[s : s + 100_000]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), p, dtype=np.int32)), own], ["part", "h"])
@@ -649,8 +649,9 @@ def _spread(hit: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
+def score(docs: DataFrame, model: Model, drop_model: bool = False) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row.  ``drop_model``: the model isn't used
+    again, so its tables leave the disks before the texts are dealt out."""
     spark, parts, sweeps = docs.sparkSession, model.parts, model.sweeps
     kind = docs.schema["doc_id"].dataType
     buckets = materialize(_buckets(docs), "buckets")
@@ -660,7 +661,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 token, _, _ = _all_tokens(_rows(blob).column("text"))
-                key = np.unique(token if kind else pair(contexts_of(token), token))
+                key = distinct(token if kind else pair(contexts_of(token), token))
                 asked = [(kind, p, packed(h=key[s])) for p, s in _slices(key, parts)]
                 for k in range(0, len(asked), 16):
                     of, p, data = zip(*asked[k : k + 16], strict=True)
@@ -718,6 +719,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     answers = answered(1, words)
     release(spark)
     answers = answers.union(answered(0, pairs))
+    if drop_model:
+        discard(model.words, model.pairs, model.once)
     release(spark)
     shared = spark.sparkContext.broadcast(model.totals)
 
