@@ -243,4 +243,4 @@ def test_model_leaves_the_disks(spark):
 def test_distinct_values():
     rng = np.random.default_rng(4)
     for x in (rng.integers(0, 2**63, 1000).astype(np.uint64), rng.integers(0, 9, 1000), np.zeros(0, np.uint64)):
-        assert np.array_equal(common.distinct(x), np.unique(x)) and common.distinct(x).dtype == x.dtype
+        assert np.array_equal(common.distinct_values(x), np.unique(x)) and common.distinct_values(x).dtype == x.dtype

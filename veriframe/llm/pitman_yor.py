@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import as_long, discard, distinct, hash_words, lean, lean_group, materialize, mix64, release, text_slices
+from .common import as_long, discard, distinct_values, hash_words, lean, lean_group, materialize, mix64, release, text_slices
 
 STOP, SYMBOLS, CLASS_BITS, LEVELS = 256, 257, 5, 4
 #: The hash of the empty word, which ends a text.
@@ -494,7 +494,7 @@ def _seat_pairs(pairs: DataFrame, words: DataFrame, totals: Totals, sweep: int)
         for batch in batches:
             for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = unpacked(blob)
-                h = distinct(np.concatenate([x["v"], x["w"]]))
+                h = distinct_values(np.concatenate([x["v"], x["w"]]))
                 for s in range(0, len(h), 100_000):
                     own = pa.array(as_long(h[s : s + 100_000]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), p, dtype=np.int32)), own], ["part", "h"])
@@ -661,7 +661,7 @@ def score(docs: DataFrame, model: Model, drop_model: bool = False) -> DataFrame:
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 token, _, _ = _all_tokens(_rows(blob).column("text"))
-                key = distinct(token if kind else pair(contexts_of(token), token))
+                key = distinct_values(token if kind else pair(contexts_of(token), token))
                 asked = [(kind, p, packed(h=key[s])) for p, s in _slices(key, parts)]
                 for k in range(0, len(asked), 16):
                     of, p, data = zip(*asked[k : k + 16], strict=True)
